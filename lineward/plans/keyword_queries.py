@@ -20,9 +20,8 @@ def contains_sql(cols: list[str], keywords: list[str]) -> str:
 
 
 @query("kw_parse", """
-SELECT p_partkey, array_to_string(list_filter(list_transform(
-         string_split(replace(p_name, ' ', ',,'), ','), x -> trim(x)), x -> x <> ''), '|') AS keywords,
-       len(list_filter(string_split(replace(p_name, ' ', ',,'), ','), x -> x <> '')) AS n
+SELECT p_partkey, array_to_string([trim(x) FOR x IN string_split(p_name, ' ') IF x <> ''], '|') AS keywords,
+       len([x FOR x IN string_split(p_name, ' ') IF x <> '']) AS n
 FROM part""")
 def kw_parse(t):
     parsed = K.parse_keywords_col(F.replace("p_name", F.lit(" "), F.lit(" ,, ")))
