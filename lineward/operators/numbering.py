@@ -37,3 +37,16 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "seq",
     number = offsets["_before"] + placed["_at"] - offsets["_from"] + 1
     columns = [placed[c] for c in df.columns]
     return placed.join(offsets, condition).select(*columns, number.alias(name))
+
+
+def number_within(df: DataFrame, group: str, order: list[Column | str], name: str = "seq") -> DataFrame:
+    """1-based numbers within each value of ``group``, of which there may be many and uneven ones.
+
+    All rows are numbered once; a row's number within its group is its distance to the group's
+    first number, which takes an aggregate with one row per group.
+    """
+    numbered = number_rows(df, [group, *order], "_n")
+    first = numbered.groupBy(group).agg(F.min("_n").alias("_first"))
+    placed = numbered.join(first.withColumnRenamed(group, "_g"),
+                           numbered[group].eqNullSafe(F.col("_g")))
+    return placed.select(*df.columns, (F.col("_n") - F.col("_first") + 1).alias(name))
