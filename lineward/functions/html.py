@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -31,7 +32,7 @@ _BLANK_NODE = "^[ \t\n\f\r]+\\z"
 def _entity_value(token: Column) -> Column:
     """Character for one entity token, the token itself when it is unknown."""
     body = F.rtrim(F.substring(token, 2, 40), F.lit(";"))
-    names = F.create_map(*[F.lit(x) for kv in _named_entities().items() for x in kv])
+    names = F.from_json(F.lit(json.dumps(_named_entities())), "map<string,string>")
     hexed = F.regexp_extract(body, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
     decimal = F.regexp_extract(body, "^#([0-9]{1,7})$", 1)
     code = F.coalesce(

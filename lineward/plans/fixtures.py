@@ -130,3 +130,60 @@ def bfs_sql(seeds: str, depth: int = 20) -> str:
         UNION SELECT w.seed, e.dst, CAST(w.depth + 1 AS INTEGER) FROM walk w JOIN edges e ON e.src = w.url
         WHERE w.depth < {depth}),
     reached AS (SELECT seed, url, min(depth) AS depth FROM walk GROUP BY seed, url)"""
+
+
+# --- images --------------------------------------------------------------------------------------
+
+IMAGE_KINDS = [".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif", ".gif"]
+
+
+def _image_path():
+    conv = F.col("conv_id")
+    kind = F.get(F.array(*[F.lit(k) for k in IMAGE_KINDS]), (conv % 7).cast("int"))
+    return F.concat(F.lit("/img/"), conv % 7, F.lit("/i"), conv, kind)
+
+
+def images(t) -> DataFrame:
+    """One image per conversation; its content is the opening turn."""
+    return t.conversations.where("turn = 0").select(
+        "conv_id", _image_path().alias("image_path"), F.encode("text", "utf-8").alias("content"))
+
+
+def img_cache(t) -> DataFrame:
+    """Stored items for the contents of every second image."""
+    from lineward.operators import images as I
+
+    item = F.struct(F.col("text"), F.lit(0.9).alias("confidence"), F.lit("top").alias("position"))
+    known = I.with_md5(images(t).where("conv_id % 2 = 0").withColumn("text", F.decode("content", "utf-8")))
+    return known.groupBy("md5").agg(F.array(F.min(item)).alias("ocr_items"))
+
+
+def ocr_items(t) -> DataFrame:
+    """Every turn as a recognised item with a confidence and a box."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    top = (turn * 97) % 900
+    return t.conversations.select(
+        _image_path().alias("image_path"), "text",
+        (((conv * 31 + turn * 17) % 100) / 100).alias("confidence"), top.alias("y_top"),
+        (top + 40).alias("y_bottom"), F.when(conv % 29 == 0, 0).otherwise(1000).alias("height"))
+
+
+_IMAGE_PATH_SQL = ("'/img/' || (conv_id % 7) || '/i' || conv_id || ["
+                   + ", ".join(Q.lit(k) for k in IMAGE_KINDS) + "][1 + conv_id % 7]")
+IMAGES_SQL = f"(SELECT conv_id, {_IMAGE_PATH_SQL} AS image_path, md5(text) AS md5, text FROM conversations WHERE turn = 0)"
+OCR_SQL = f"""(SELECT {_IMAGE_PATH_SQL} AS image_path, text, ((conv_id * 31 + turn * 17) % 100) / 100.0 AS confidence,
+    CASE WHEN conv_id % 29 = 0 THEN '' WHEN ((turn * 97) % 900 + 20) < 330 THEN 'top'
+         WHEN ((turn * 97) % 900 + 20) < 660 THEN 'middle' ELSE 'bottom' END AS position FROM conversations)"""
+
+
+# --- answers of a scorer -------------------------------------------------------------------------
+
+def responses(t) -> DataFrame:
+    """Answers of five kinds, built from the document texts."""
+    words = F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(50))
+    answer = F.concat(F.lit('{"has_sensitive": true, "matches": [{"keyword": "k'), F.col("doc_id"),
+                      F.lit('", "context": "'), words, F.lit('"}]}'))
+    kind = F.col("doc_id") % 5
+    text = (F.when(kind == 0, answer).when(kind == 1, F.concat(F.lit("Sure: "), answer, F.lit(" done.")))
+            .when(kind == 2, '{"matches": []}').when(kind == 3, "yes, true").otherwise("no {broken} x"))
+    return t.documents.select("doc_id", text.alias("response"))
