@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +51,17 @@ def _bytes(hex_text: str) -> Column:
     return F.unhex(F.lit(hex_text))
 
 
-def _little_endian(data: Column, start: Column | int, width: int) -> Column:
-    """Unsigned number at a 0-based offset; null past the end."""
-    def byte(i: int) -> Column:
-        at = F.lit(start) + i + 1 if isinstance(start, int) else start + i + 1
-        return F.nullif(F.hex(F.substring(data, at, F.lit(1))), F.lit(""))
+def _let(value: Column, body) -> Column:
+    """Bind a value to a lambda variable, so that an expression used often stays small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    return F.conv(F.concat(*[byte(i) for i in reversed(range(width))]), 16, 10).cast("long")
+
+def _little_endian(data: Column, start: Column | int, width: int) -> Column:
+    """Unsigned number of 2 or 4 bytes at a 0-based offset."""
+    at = F.lit(start + 1) if isinstance(start, int) else (start + 1).cast("int")
+    digits = F.hex(F.substring(data, at, F.lit(width)))
+    groups = "".join(f"${i}" for i in range(width, 0, -1))
+    return F.conv(F.regexp_replace(digits, "^" + "(..)" * width + "$", groups), 16, 10).cast("long")
 
 
 def _latin(data: Column) -> Column:
@@ -70,40 +72,52 @@ def zip_directory(content: Column) -> Column:
     """Bytes of the central directory; null when the content is not a ZIP file."""
     size = F.octet_length(content)
     tail = _latin(F.substring(content, F.greatest(size - _END_SEARCH, F.lit(0)) + 1, F.lit(_END_SEARCH)))
-    end = F.encode(F.substring_index(tail, _DIRECTORY_END, -1), "ISO-8859-1")
-    length, start = _little_endian(end, 8, 4), _little_endian(end, 12, 4)
-    found = F.substring(content, (start + 1).cast("int"), length.cast("int"))
-    usable = tail.contains(_DIRECTORY_END) & (start + length <= size)
-    return F.when(usable, found)
+
+    def located(end: Column) -> Column:
+        return F.when(F.octet_length(end) >= 18, F.struct(
+            _little_endian(end, 8, 4).alias("length"), _little_endian(end, 12, 4).alias("start")))
+
+    def cut(at: Column) -> Column:
+        return F.when(at["start"] + at["length"] <= size, F.substring(
+            content, (at["start"] + 1).cast("int"), at["length"].cast("int")))
+
+    def end_record(text: Column) -> Column:
+        found = F.encode(F.substring_index(text, _DIRECTORY_END, -1), "ISO-8859-1")
+        return F.when(text.contains(_DIRECTORY_END), found)
+
+    return _let(_let(_let(tail, end_record), located), cut)
 
 
 def zip_entries(content: Column) -> Column:
     """Array of the directory entries: name, flags, method, raw size, local header position."""
     parts = F.split(_latin(zip_directory(content)), _DIRECTORY_ENTRY, -1)
+    raws = F.transform(F.filter(parts, lambda x: F.length(x) >= 42), lambda x: F.encode(x, "ISO-8859-1"))
 
-    def entry(text: Column) -> Column:
-        raw = F.encode(text, "ISO-8859-1")
-        name = F.substring(raw, F.lit(43), _little_endian(raw, 24, 2).cast("int"))
-        utf8 = _little_endian(raw, 4, 2).bitwiseAND(0x800) != 0
+    def numbers(raw: Column) -> Column:
         return F.struct(
-            F.when(utf8 & F.is_valid_utf8(name.cast("string")), name.cast("string"))
-            .otherwise(_latin(name)).alias("name"),
+            F.substring(raw, F.lit(43), _little_endian(raw, 24, 2).cast("int")).alias("name"),
             _little_endian(raw, 4, 2).cast("int").alias("flags"),
             _little_endian(raw, 6, 2).cast("int").alias("method"),
-            _little_endian(raw, 16, 4).alias("raw_size"),
-            _little_endian(raw, 38, 4).alias("at"))
+            _little_endian(raw, 16, 4).alias("raw_size"), _little_endian(raw, 38, 4).alias("at"))
 
-    return F.transform(F.filter(parts, lambda x: F.length(x) >= 42), entry)
+    def named(e: Column) -> Column:
+        utf8 = (e["flags"].bitwiseAND(0x800) != 0) & F.is_valid_utf8(e["name"].cast("string"))
+        return e.withField("name", F.when(utf8, e["name"].cast("string")).otherwise(_latin(e["name"])))
+
+    return F.transform(F.transform(raws, numbers), named)
 
 
 def zip_names(content: Column) -> Column:
     return F.transform(zip_entries(content), lambda e: e["name"])
 
 
+def _any_locked(entries: Column) -> Column:
+    return F.coalesce(F.exists(entries, lambda e: e["flags"].bitwiseAND(1) == 1), F.lit(False))
+
+
 def zip_encrypted(content: Column) -> Column:
     """Some entry has the encryption flag set."""
-    return F.coalesce(
-        F.exists(zip_entries(content), lambda e: e["flags"].bitwiseAND(1) == 1), F.lit(False))
+    return _any_locked(zip_entries(content))
 
 
 def zip_member(content: Column, entry: Column) -> Column:
@@ -116,23 +130,29 @@ def zip_member(content: Column, entry: Column) -> Column:
 
 def detected_ext(extension: Column, content: Column) -> Column:
     """Type by file head; for ZIP heads by the folders inside, Word when none is known."""
-    names = zip_names(content)
-    inner = F.coalesce(*[
-        F.when(F.exists(names, lambda n: n.contains(folder)), kind) for folder, kind in INNER_FOLDERS])
+    def inner(names: Column) -> Column:
+        return F.coalesce(*[
+            F.when(F.exists(names, lambda n: n.contains(folder)), kind) for folder, kind in INNER_FOLDERS],
+            F.lit(".docx"))
+
     return (
-        F.when(F.startswith(content, _bytes(ZIP_HEAD)), F.coalesce(inner, F.lit(".docx")))
+        F.when(F.startswith(content, _bytes(ZIP_HEAD)), _let(zip_names(content), inner))
         .when(F.startswith(content, _bytes(PDF_HEAD)), ".pdf").otherwise(extension))
 
 
 def diagnose(extension: Column, content: Column) -> Column:
     """Why no text came out of a file: encrypted, damaged, missing_lib or unknown."""
-    names = zip_names(content)
-    core = reduce(lambda acc, kv: acc.when(extension == kv[0], kv[1]),
-                  list(CORE_PARTS.items())[1:], F.when(extension == ".docx", CORE_PARTS[".docx"]))
-    ooxml = (
-        F.when(names.isNull(), "damaged").when(zip_encrypted(content), "encrypted")
-        .when(F.exists(names, lambda n: n.contains("EncryptedPackage")), "encrypted")
-        .when(~F.exists(names, lambda n: n.contains(core)), "encrypted").otherwise("damaged"))
+    core = F.try_element_at(F.create_map(*[F.lit(x) for kv in CORE_PARTS.items() for x in kv]), extension)
+
+    def parts(entries: Column) -> Column:
+        def named(text) -> Column:
+            return F.exists(entries, lambda e: e["name"].contains(text))
+
+        return (
+            F.when(entries.isNull(), "damaged").when(_any_locked(entries), "encrypted")
+            .when(named("EncryptedPackage"), "encrypted").when(~named(core), "encrypted").otherwise("damaged"))
+
+    ooxml = _let(zip_entries(content), parts)
     # Stream names of the compound format are stored as UTF-16.
     marker = F.encode(F.lit("EncryptionInfo"), "UTF-16LE")
     ole = (F.when(~F.startswith(content, _bytes(OLE_HEAD)), "damaged")

@@ -187,3 +187,76 @@ def responses(t) -> DataFrame:
     text = (F.when(kind == 0, answer).when(kind == 1, F.concat(F.lit("Sure: "), answer, F.lit(" done.")))
             .when(kind == 2, '{"matches": []}').when(kind == 3, "yes, true").otherwise("no {broken} x"))
     return t.documents.select("doc_id", text.alias("response"))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+FILE_KINDS = [".txt", ".PDF", ".docx", ".xlsx", ".pptx", ".doc", ".zip", ".bin"]
+
+
+def _file_path():
+    doc = F.col("doc_id")
+    kind = F.get(F.array(*[F.lit(k) for k in FILE_KINDS]), (doc % 8).cast("int"))
+    return F.concat(F.lit("/data/"), "source", F.lit("/"), F.when(doc % 17 == 0, ".").otherwise(""),
+                    F.lit("d"), doc, kind)
+
+
+def _reversed_hex(n):
+    """Four bytes, lowest first."""
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+
+
+def _tiny_zip(text, inner: str, locked):
+    """A ZIP head, the text, and a directory with one entry of the given name."""
+    name = inner.encode().hex().upper()
+    entry = F.concat(F.lit("504B0102" + "00" * 4), F.when(locked, "0100").otherwise("0000"),
+                     F.lit("00" * 18 + "%02X00" % len(inner) + "00" * 16 + name))
+    length = 46 + len(inner)
+    end = F.concat(F.lit("504B0506" + "00000000" + "01000100"), _reversed_hex(F.lit(length)),
+                   _reversed_hex(F.octet_length(text) + 4), F.lit("0000"))
+    return F.concat(F.unhex(F.lit("504B0304")), text, F.unhex(entry), F.unhex(end))
+
+
+def files(t) -> DataFrame:
+    """Documents as files of many types, with heads that fit their extension or do not."""
+    doc = F.col("doc_id")
+    head = (F.floor(doc / 8) % 7).cast("int")
+    body = F.encode("text", "utf-8")
+    locked = doc % 13 == 0
+    content = (
+        F.when(head == 2, F.concat(F.encode(F.lit("%PDF"), "utf-8"), body))
+        .when(head == 3, _tiny_zip(body, "word/document.xml", locked))
+        .when(head == 4, _tiny_zip(body, "xl/workbook.xml", locked))
+        .when(head == 5, F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), body))
+        .when(head == 6, F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit("xl/"), "utf-8"), body))
+        .otherwise(body))
+    padding = F.when(doc % 10 == 0, 20000).otherwise(0)
+    return t.documents.select(
+        "doc_id", _file_path().alias("path"), content.alias("content"),
+        (F.octet_length(body) + padding).cast("long").alias("size"),
+        F.when(doc % 11 == 0, None).when(doc % 10 == 0, "   ab ").otherwise(F.col("text")).alias("text"),
+        F.when(locked, "encrypted").otherwise("ok").alias("extract_status"))
+
+
+_EXT_SQL = "lower([" + ", ".join(Q.lit(k) for k in FILE_KINDS) + "][1 + doc_id % 8])"
+_TYPED_SQL = f"""(SELECT doc_id, '/data/' || source || '/' || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || 'd' || doc_id
+        || [{', '.join(Q.lit(k) for k in FILE_KINDS)}][1 + doc_id % 8] AS path,
+    {_EXT_SQL} AS ext, (doc_id // 8) % 7 AS head, doc_id % 13 = 0 AS locked, doc_id % 17 = 0 AS is_hidden,
+    CASE WHEN doc_id % 8 < 6 THEN 'document' WHEN doc_id % 8 = 6 THEN 'archive' ELSE 'unsupported' END AS route,
+    octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 20000 ELSE 0 END AS size,
+    CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN '   ab ' ELSE text END AS text FROM documents)"""
+TYPED_SQL = f"""(SELECT *, CASE WHEN route <> 'document' THEN ext WHEN head = 2 THEN '.pdf'
+    WHEN head IN (3, 6) THEN '.docx' WHEN head = 4 THEN '.xlsx' ELSE ext END AS detected_ext FROM {_TYPED_SQL})"""
+_DIAGNOSIS_SQL = """CASE
+    WHEN detected_ext IN ('.docx', '.xlsx', '.pptx') THEN
+        CASE WHEN head = 4 OR (head = 3 AND locked) THEN 'encrypted' ELSE 'damaged' END
+    WHEN detected_ext IN ('.doc', '.xls', '.ppt') THEN CASE WHEN head = 5 THEN 'missing_lib' ELSE 'damaged' END
+    WHEN detected_ext = '.pdf' THEN 'damaged' ELSE 'unknown' END"""
+CHECKED_SQL = f"""(SELECT *, CASE WHEN reason IN ('ok', 'encrypted') THEN reason ELSE 'damaged' END AS status FROM (
+    SELECT *, CASE WHEN text IS NULL THEN {_DIAGNOSIS_SQL} WHEN locked THEN 'encrypted'
+        WHEN size > 10240 AND length({Q.strip('text')}) < 10 THEN
+            CASE WHEN {_DIAGNOSIS_SQL} = 'encrypted' THEN 'encrypted' ELSE 'low_text' END
+        ELSE 'ok' END AS reason FROM {TYPED_SQL}))"""
+ARCHIVES_SQL = f"""(SELECT doc_id, path, ext, CASE WHEN head NOT IN (3, 4) THEN 'damaged' WHEN locked THEN 'encrypted' ELSE 'ok' END AS status
+    FROM {_TYPED_SQL} WHERE route = 'archive')"""
