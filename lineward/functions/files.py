@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def _bytes(hex_text: str) -> Column:
     return F.unhex(F.lit(hex_text))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Bind a value to a lambda variable, so that an expression used often stays small."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -85,7 +87,7 @@ def zip_directory(content: Column) -> Column:
         found = F.encode(F.substring_index(text, _DIRECTORY_END, -1), "ISO-8859-1")
         return F.when(text.contains(_DIRECTORY_END), found)
 
-    return _let(_let(_let(tail, end_record), located), cut)
+    return let(let(let(tail, end_record), located), cut)
 
 
 def zip_entries(content: Column) -> Column:
@@ -136,15 +138,15 @@ def detected_ext(extension: Column, content: Column) -> Column:
             F.lit(".docx"))
 
     return (
-        F.when(F.startswith(content, _bytes(ZIP_HEAD)), _let(zip_names(content), inner))
+        F.when(F.startswith(content, _bytes(ZIP_HEAD)), let(zip_names(content), inner))
         .when(F.startswith(content, _bytes(PDF_HEAD)), ".pdf").otherwise(extension))
 
 
 def diagnose(extension: Column, content: Column) -> Column:
     """Why no text came out of a file: encrypted, damaged, missing_lib or unknown."""
-    core = F.try_element_at(F.create_map(*[F.lit(x) for kv in CORE_PARTS.items() for x in kv]), extension)
+    parts = F.from_json(F.lit(json.dumps(CORE_PARTS)), "map<string,string>")
 
-    def parts(entries: Column) -> Column:
+    def ooxml(entries: Column, core: Column) -> Column:
         def named(text) -> Column:
             return F.exists(entries, lambda e: e["name"].contains(text))
 
@@ -152,16 +154,20 @@ def diagnose(extension: Column, content: Column) -> Column:
             F.when(entries.isNull(), "damaged").when(_any_locked(entries), "encrypted")
             .when(named("EncryptedPackage"), "encrypted").when(~named(core), "encrypted").otherwise("damaged"))
 
-    ooxml = _let(zip_entries(content), parts)
     # Stream names of the compound format are stored as UTF-16.
-    marker = F.encode(F.lit("EncryptionInfo"), "UTF-16LE")
+    marker = _bytes("EncryptionInfo".encode("utf-16-le").hex())
     ole = (F.when(~F.startswith(content, _bytes(OLE_HEAD)), "damaged")
            .when(F.contains(content, marker), "encrypted").otherwise("missing_lib"))
-    pdf = (F.when(F.startswith(content, _bytes(PDF_HEAD)) & F.contains(content, F.encode(F.lit("/Encrypt"), "UTF-8")),
-                  "encrypted").otherwise("damaged"))
-    return (
-        F.when(extension.isin(list(CORE_PARTS)), ooxml).when(extension.isin(".doc", ".xls", ".ppt"), ole)
-        .when(extension == ".pdf", pdf).otherwise("unknown"))
+    pdf = F.when(F.startswith(content, _bytes(PDF_HEAD)) & F.contains(content, _bytes(b"/Encrypt".hex())),
+                 "encrypted").otherwise("damaged")
+
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind.isin(list(CORE_PARTS)),
+                   let(zip_entries(content), lambda e: ooxml(e, F.try_element_at(parts, kind))))
+            .when(kind.isin(".doc", ".xls", ".ppt"), ole).when(kind == ".pdf", pdf).otherwise("unknown"))
+
+    return let(extension, by_kind)
 
 
 def low_text(size: Column, text: Column) -> Column:

@@ -26,10 +26,13 @@ _BATCH_BYTES = 32 << 20
 
 def with_types(files: DataFrame) -> DataFrame:
     """Add extension, route and detected type; archives keep their extension."""
-    typed = files.withColumn("ext", P.ext(F.col("path")))
-    typed = typed.withColumns({"route": P.route(F.col("ext")), "is_hidden": P.is_hidden(F.col("path"))})
-    kind = F.when(F.col("route") == "document", P.detected_ext(F.col("ext"), F.col("content")))
-    return typed.withColumn("detected_ext", F.coalesce(kind, F.col("ext")))
+    def described(ext: Column) -> Column:
+        detected = F.when(ext.isin(P.DOCUMENT_EXTS), P.detected_ext(ext, F.col("content"))).otherwise(ext)
+        return F.struct(ext.alias("ext"), P.route(ext).alias("route"), detected.alias("detected_ext"))
+
+    typed = files.withColumn("_kind", P.let(P.ext(F.col("path")), described))
+    others = [c for c in typed.columns if c != "_kind"]
+    return typed.select(*others, "_kind.*", P.is_hidden(F.col("path")).alias("is_hidden"))
 
 
 def type_mismatch(typed: DataFrame) -> DataFrame:
@@ -185,17 +188,24 @@ def with_status(extracted: DataFrame) -> DataFrame:
     In order: no text, judged by the file's structure; what the extractor reported; a sizeable file
     with next to no text. Everything unreadable for another reason than encryption is damaged.
     """
-    if "diagnosis" not in extracted.columns:
-        extracted = extracted.withColumn("diagnosis", P.diagnose(F.col("detected_ext"), F.col("content")))
     low = P.low_text(F.col("size"), F.col("text"))
-    reason = (
-        F.when(F.col("text").isNull(), F.col("diagnosis"))
-        .when(F.col("extract_status").isin(ENCRYPTED, DAMAGED, MISSING_READER), F.col("extract_status"))
-        .when(low & (F.col("diagnosis") == ENCRYPTED), ENCRYPTED).when(low, "low_text").otherwise(OK))
-    status = (
-        F.when(F.col("reason") == OK, OK).when(F.col("reason") == ENCRYPTED, ENCRYPTED)
-        .when(F.col("reason") == MISSING_READER, MISSING_READER).otherwise(DAMAGED))
-    return extracted.withColumn("reason", reason).withColumn("status", status)
+    why = (F.col("diagnosis") if "diagnosis" in extracted.columns
+           else P.diagnose(F.col("detected_ext"), F.col("content")))
+    text, told = F.col("text"), F.col("extract_status")
+
+    def reason(diagnosis: Column) -> Column:
+        return (
+            F.when(text.isNull(), diagnosis).when(told.isin(ENCRYPTED, DAMAGED, MISSING_READER), told)
+            .when(diagnosis == ENCRYPTED, ENCRYPTED).when(diagnosis.isNotNull(), "low_text").otherwise(OK))
+
+    def outcome(reason: Column) -> Column:
+        status = F.when(reason.isin(OK, ENCRYPTED, MISSING_READER), reason).otherwise(DAMAGED)
+        return F.struct(reason.alias("reason"), status.alias("status"))
+
+    # Only files that need a diagnosis get one.
+    needed = F.when(text.isNull() | low, why)
+    checked = extracted.withColumn("_check", P.let(P.let(needed, reason), outcome))
+    return checked.select(*[c for c in checked.columns if c != "_check"], "_check.*")
 
 
 def findings(checked: DataFrame, keywords: list[str]) -> DataFrame:

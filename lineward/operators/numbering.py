@@ -29,14 +29,15 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "seq",
 
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-
-    condition = placed["_part"] == offsets["_part"]
-    for c in by:
-        condition &= placed[c].eqNullSafe(offsets[c])
-    number = offsets["_before"] + placed["_at"] - offsets["_from"] + 1
-    columns = [placed[c] for c in df.columns]
-    return placed.join(offsets, condition).select(*columns, number.alias(name))
+    offsets = counts.select(
+        F.col("_part").alias("_in"), "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+
+    condition = F.col("_part") == F.col("_in")
+    for i, c in enumerate(by):
+        condition &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    number = F.col("_before") + F.col("_at") - F.col("_from") + 1
+    return placed.join(offsets, condition).select(*df.columns, number.alias(name))
 
 
 def number_within(df: DataFrame, group: str, order: list[Column | str], name: str = "seq") -> DataFrame:
