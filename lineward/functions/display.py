@@ -28,7 +28,7 @@ def sanitize(text: Column, limit: int = SUMMARY_CHARS) -> Column:
 
 def trim_keywords(joined: Column, shown: int = KEYWORDS_SHOWN) -> Column:
     """The first few keywords and the total when there are more."""
-    parts = F.filter(F.transform(F.split(joined, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(joined, ","), lambda x: F.trim(x)), lambda x: x != "")
     short = F.concat(F.array_join(F.slice(parts, 1, shown), ", "), F.lit(" and more, "),
                      F.size(parts).cast("string"), F.lit(" in all"))
     return F.when(F.size(parts) > shown, short).otherwise(joined)

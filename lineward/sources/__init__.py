@@ -1,0 +1 @@
+"""Sources, stored state and sinks."""

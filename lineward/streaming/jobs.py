@@ -1,4 +1,108 @@
-"""x"""
+"""Streaming forms of the scan: stateless findings, change detection, removal of copies."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-def first_of_each(df, order):
-    return df.groupBy("md5").agg(F.min(order).alias(order))
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lineward.operators import web as W
+from lineward.operators.keyword_scan import line_findings
+from lineward.schemas import PAGE_STATE
+from lineward.session import ensure_checkpoint_dir
+from lineward.sources.state import load_state, save_state
+
+
+def scan_stream(stream: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
+    """Findings of arriving documents; row-wise, so it runs in append mode without state."""
+    return line_findings(stream, keywords, text)
+
+
+def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Follow the versions of one page in fetch order."""
+    content_hash, etag, modified = state.get if state.exists else (None, "", "")
+    rows = pd.concat(list(frames)).sort_values("fetched_at", kind="stable")
+    out = []
+    for row in rows.itertuples(index=False):
+        known = content_hash is not None
+        validated = known and ((row.etag and row.etag == etag) or (row.last_modified and row.last_modified == modified))
+        if validated or (known and row.content_hash == content_hash):
+            status = W.NOT_MODIFIED
+        else:
+            status = W.CHANGED if known and row.content_hash else W.NEW
+            if row.content_hash:
+                content_hash = row.content_hash
+                etag, modified = row.etag or etag, row.last_modified or modified
+        out.append((key[0], row.fetched_at, row.content_hash, status))
+    if content_hash is not None:
+        state.update((content_hash, etag, modified))
+    yield pd.DataFrame(out, columns=["url", "fetched_at", "content_hash", "status"])
+
+
+def detect_changes(stream: DataFrame) -> DataFrame:
+    """``url, fetched_at, content_hash, status`` for every fetched page version.
+
+    The state per url is its last hash and validators. Only these short columns are shuffled and
+    kept, never the bodies; the versions of one url within one trigger are handled together, and
+    the trigger limits their number.
+    """
+    rows = stream.select(
+        "url", F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")).alias("fetched_at"),
+        W.content_hash(F.col("html")).alias("content_hash"),
+        F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"))
+    return rows.groupBy("url").applyInPandasWithState(
+        _track, "url string, fetched_at timestamp, content_hash string, status string",
+        "content_hash string, etag string, last_modified string", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_versions(pages: DataFrame) -> DataFrame:
+    """Last fetched version per url, merged before rows are shuffled."""
+    others = [c for c in pages.columns if c not in ("url", "fetched_at")]
+    best = F.max_by(F.struct("fetched_at", *others), F.col("fetched_at"))
+    return pages.groupBy("url").agg(best.alias("_v")).select("url", "_v.*")
+
+
+def incremental_scan_stream(stream: DataFrame, keywords: list[str], state_path: str,
+                            findings_path: str) -> DataStreamWriter:
+    """Incremental page scan per trigger over versioned state.
+
+    Each batch reads the newest state older than its own version and writes its version and its
+    findings under the batch number, so a batch that runs again after a failure gives the same.
+    A trigger stands for one visit of the site: of several versions of a page in it the last one
+    is scanned; ``detect_changes`` reports every version.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ensure_checkpoint_dir(spark)
+        version = batch_id + 1
+        state = load_state(spark, state_path, PAGE_STATE, before=version)
+        scanned = W.rescan(W.classify(latest_versions(batch), state), keywords).checkpoint()
+        ok, message = save_state(W.upsert_state(state, scanned), state_path, version)
+        if not ok:
+            raise RuntimeError(f"state not saved: {message}")
+        W.incremental_findings(scanned).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(findings_path)
+
+    return stream.writeStream.foreachBatch(run)
+
+
+def first_of_each(df: DataFrame, order: str, key: str = "md5") -> DataFrame:
+    """One row per distinct content, the least by ``order``; copies merge before the shuffle."""
+    return df.groupBy(key).agg(F.min(order).alias(order))
+
+
+def dedupe_stream(stream: DataFrame, key: str = "md5", time: str | None = None,
+                  delay: str = "1 day") -> DataFrame:
+    """Drop contents seen before; with a time column only as far back as the watermark."""
+    if time is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def read_pages(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
+    """Page snapshots arriving in a landing directory."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
