@@ -206,9 +206,10 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
              f"**Keywords**: {', '.join(keywords)}", f"**Method**: {method}", "", "---", "", "## 1. Summary", ""),
         table_lines(summary_rows.withColumn("_n", F.col("seq") + 1), ["Module", "Checked", "Matched", "Note"],
                     ["module", "checked", "matched", "note"], "_n"),
-        grand_total(summary_rows).select(F.lit(0).alias("seq"), F.inline(F.array(
+        grand_total(summary_rows).select(F.posexplode(F.array(
             F.struct(F.lit("").alias("line")),
-            F.struct(F.format_string("**Matched in all**: %s", F.col("matched").cast("string")))))),
+            F.struct(F.format_string("**Matched in all**: %s", F.col("matched").cast("string")).alias("line"))))
+                                         ).select(F.col("pos").alias("seq"), "col.line"),
         text("", "---", "", "## 2. Web pages", ""),
     ]
     if web is None:

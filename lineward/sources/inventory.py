@@ -150,7 +150,11 @@ def read_listed(inventory: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, roots: str | list[str], inventory: DataFrame,
                exts: list[str]) -> DataFrame:
-    """Contents of all inventoried files of the given types, hidden names included."""
+    """Contents of all inventoried files of the given types, hidden names included.
+
+    The inventory decides what is read, so files reached again through links are left out.
+    """
     skipped = F.col("path").rlike(r"/[._][^/]*(/|\z)")
-    hidden = inventory.where(F.col("ext").isin(exts) & skipped)
-    return read_binary(spark, roots, exts).unionByName(read_listed(hidden))
+    wanted = inventory.where(F.col("ext").isin(exts)).select("path", "size")
+    plain = read_binary(spark, roots, exts).join(wanted.where(~skipped).select("path"), "path", "left_semi")
+    return plain.unionByName(read_listed(wanted.where(skipped)))
