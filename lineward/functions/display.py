@@ -9,7 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lineward.functions.files import base_name, let
+from lineward.functions.binding import let
+from lineward.functions.files import base_name
 
 # Widths of the report's columns.
 SUMMARY_CHARS = 40

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineward.functions.binding import let
+
 # File types by extension, and the bytes their files start with.
 DOCUMENT_EXTS = [".txt", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".pdf"]
 ARCHIVE_EXTS = [".zip", ".rar", ".7z"]
@@ -53,11 +55,6 @@ def _bytes(hex_text: str) -> Column:
     return F.unhex(F.lit(hex_text))
 
 
-def let(value: Column, body) -> Column:
-    """Bind a value to a lambda variable, so that an expression used often stays small."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _little_endian(data: Column, start: Column | int, width: int) -> Column:
     """Unsigned number of 2 or 4 bytes at a 0-based offset."""
     at = F.lit(start + 1) if isinstance(start, int) else (start + 1).cast("int")

@@ -94,6 +94,11 @@ def search_pattern(keywords: list[str]) -> str | None:
     return "(?=[" + "".join(map(_escape, firsts)) + "])(?:" + pattern + ")"
 
 
+def is_padded(keywords: list[str]) -> bool:
+    """Some keyword starts or ends with white space, so that trimming a line may undo its match."""
+    return any(k != k.strip() for k in keywords)
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
     return F.btrim(c, F.lit(WHITESPACE))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineward.functions.binding import let
 from lineward.functions.keywords import strip
 
 # Lines per request, characters per request, and limits of what is shown.
@@ -28,8 +29,8 @@ _INSTRUCTION = (
     '"context": "words around it, copied", "reason": "..."}}]}}\n'
     "Text:\n"
 )
-_ANSWER = ("has_sensitive string, matches array<struct<keyword:string,context:string,reason:string>>,"
-           " _bad string")
+_MATCH = "keyword:string,context:string,reason:string"
+_ANSWER = f"has_sensitive:string,matches:array<struct<{_MATCH}>>"
 
 
 def truncate(text: Column) -> Column:
@@ -55,41 +56,41 @@ def parse(response: Column) -> Column:
 
     The text from the first opening to the last closing brace is read as JSON, with missing fields
     defaulted. Anything else is judged by affirmative words, with one match of unknown keyword.
+    The braces are read as the only element of an array: text between two objects, which would be
+    passed over behind an object, then makes the whole unreadable.
     """
-    text = strip(response)
-    body = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
-    answer = F.from_json(body, _ANSWER, {
-        "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    valid = (body != "") & answer["_bad"].isNull() & _single_object(body)
-    said = ~F.coalesce(answer["has_sensitive"], F.lit("")).isin("", "false", "null", "0", "[]", "{}")
-    matches = F.transform(
-        F.coalesce(answer["matches"], F.array().cast("array<struct<keyword:string,context:string,reason:string>>")),
-        lambda m: F.struct(
-            F.coalesce(m["keyword"], F.lit(UNKNOWN)).alias("keyword"),
-            F.coalesce(m["context"], F.lit("")).alias("context"),
-            F.coalesce(m["reason"], F.lit("")).alias("reason")))
-    affirmative = reduce(lambda a, b: a | b, [text.contains(w) for w in AFFIRMATIVE])
-    guess = F.array(F.struct(
-        F.lit(UNKNOWN).alias("keyword"), F.left(text, F.lit(FALLBACK_CHARS)).alias("context"),
-        F.lit("unreadable answer").alias("reason")))
-    return F.when(response.isNotNull(), F.struct(
-        F.when(valid, said).otherwise(affirmative).alias("has_sensitive"),
-        F.when(valid, matches).otherwise(guess).alias("matches"),
-        F.when(valid, "json").otherwise("inferred").alias("parse_status")))
-
-
-def _single_object(body: Column) -> Column:
-    """The text is one object, not an object with more text behind it.
-
-    Wrapped into an array, trailing text makes the whole unreadable.
-    """
-    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>",
-                          {"allowSingleQuotes": "false"})
-    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
+    def read(text: Column) -> Column:
+        body = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
+        answers = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{_ANSWER}>>",
+                              {"allowSingleQuotes": "false"})
+        return F.struct(text.alias("text"), F.when(body != "", answers).alias("answers"))
+
+    def judge(r: Column) -> Column:
+        answer, text = F.get(r["answers"], F.lit(0)), r["text"]
+        valid = F.coalesce(F.size(r["answers"]) == 1, F.lit(False))
+        said = ~F.coalesce(answer["has_sensitive"], F.lit("")).isin("", "false", "null", "0", "[]", "{}")
+        matches = F.transform(
+            F.coalesce(answer["matches"], F.array().cast(f"array<struct<{_MATCH}>>")),
+            lambda m: F.struct(
+                F.coalesce(m["keyword"], F.lit(UNKNOWN)).alias("keyword"),
+                F.coalesce(m["context"], F.lit("")).alias("context"),
+                F.coalesce(m["reason"], F.lit("")).alias("reason")))
+        affirmative = reduce(lambda a, b: a | b, [text.contains(w) for w in AFFIRMATIVE])
+        guess = F.array(F.struct(
+            F.lit(UNKNOWN).alias("keyword"), F.left(text, F.lit(FALLBACK_CHARS)).alias("context"),
+            F.lit("unreadable answer").alias("reason")))
+        return F.when(text.isNotNull(), F.struct(
+            F.when(valid, said).otherwise(affirmative).alias("has_sensitive"),
+            F.when(valid, matches).otherwise(guess).alias("matches"),
+            F.when(valid, "json").otherwise("inferred").alias("parse_status")))
+
+    return let(let(strip(response), read), judge)
 
 
 def locate(lines: Column, start: Column, context: Column) -> Column:
     """Number of the first line holding the beginning of the context, else of the first line."""
-    short = strip(F.left(context, F.lit(LOCATE_CHARS)))
-    hit = F.array_position(F.transform(lines, lambda x: x.contains(short)), True)
-    return (start + F.when((short != "") & (hit > 0), hit.cast("int")).otherwise(1)).cast("int")
+    def first(short: Column) -> Column:
+        hit = F.when(short != "", F.array_position(F.transform(lines, lambda x: x.contains(short)), True))
+        return (start + F.coalesce(F.nullif(hit, F.lit(0)), F.lit(1))).cast("int")
+
+    return let(strip(F.left(context, F.lit(LOCATE_CHARS))), first)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineward.functions import files as P
+from lineward.functions.binding import let
 from lineward.operators import extract as E
 from lineward.operators.keyword_scan import line_findings
 from lineward.session import ensure_checkpoint_dir
@@ -30,7 +31,7 @@ def with_types(files: DataFrame) -> DataFrame:
         detected = F.when(ext.isin(P.DOCUMENT_EXTS), P.detected_ext(ext, F.col("content"))).otherwise(ext)
         return F.struct(ext.alias("ext"), P.route(ext).alias("route"), detected.alias("detected_ext"))
 
-    typed = files.withColumn("_kind", P.let(P.ext(F.col("path")), described))
+    typed = files.withColumn("_kind", let(P.ext(F.col("path")), described))
     others = [c for c in typed.columns if c != "_kind"]
     return typed.select(*others, "_kind.*", P.is_hidden(F.col("path")).alias("is_hidden"))
 
@@ -204,7 +205,7 @@ def with_status(extracted: DataFrame) -> DataFrame:
 
     # Only files that need a diagnosis get one.
     needed = F.when(text.isNull() | low, why)
-    checked = extracted.withColumn("_check", P.let(P.let(needed, reason), outcome))
+    checked = extracted.withColumn("_check", let(let(needed, reason), outcome))
     return checked.select(*[c for c in checked.columns if c != "_check"], "_check.*")
 
 

@@ -34,24 +34,22 @@ def matching_rows(df: DataFrame, column: str, keywords: list[str]) -> DataFrame:
 def matching_lines(df: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
     """Lines with a match, as ``line_no``, ``line`` and the array ``matches``.
 
-    A match never spans a line feed, so whole texts without any match are dropped before they
-    are split, and lines are only trimmed once they are known to hold one.
+    A match never spans a line feed, so texts without any match are not split at all, and lines
+    are only trimmed once they are known to hold one. The test of the whole text is part of the
+    generator and not a filter, which would be pushed down and make a computed text be computed twice.
     """
     pattern = K.search_pattern(keywords)
     others = [c for c in df.columns if c != text]
     if pattern is None:
         pattern, df = "x", df.where(F.lit(False))
-    raw = (
-        df.where(K.has_match(F.col(text), pattern))
-        .select(*others, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_pos", "_raw"))
-        .where(K.has_match(F.col("_raw"), pattern))
-    )
+    split = F.when(K.has_match(F.col(text), pattern), F.split(F.col(text), "\n", -1))
+    raw = df.select(*others, F.posexplode(split).alias("_pos", "_raw")).where(
+        K.has_match(F.col("_raw"), pattern))
     lines = raw.select(
         *others, (F.col("_pos") + 1).alias("line_no"), K.strip(F.col("_raw")).alias("line")
     )
     found = lines.withColumn("matches", K.all_matches(F.col("line"), pattern))
-    padded = any(k != k.strip() for k in keywords)
-    return found.where(F.size("matches") > 0) if padded else found
+    return found.where(F.size("matches") > 0) if K.is_padded(keywords) else found
 
 
 def explode_matches(df: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:

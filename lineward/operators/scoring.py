@@ -69,8 +69,9 @@ def batch_findings(scored: DataFrame, ids: list[str]) -> DataFrame:
 
     The first one is found by a minimum, which is taken before rows are shuffled.
     """
-    hits = verdicts(scored).where("verdict.has_sensitive").select(
-        *ids, "batch_no", "start", "lines", F.posexplode("verdict.matches").alias("_pos", "_m"))
+    positive = F.when(F.col("verdict.has_sensitive"), F.col("verdict.matches"))
+    hits = verdicts(scored).select(
+        *ids, "batch_no", "start", "lines", F.posexplode(positive).alias("_pos", "_m"))
     placed = hits.select(
         *ids, "batch_no", "_pos", S.locate(F.col("lines"), F.col("start"), F.col("_m.context")).alias("line_no"),
         F.left(F.col("_m.context"), F.lit(S.CONTENT_CHARS)).alias("content"), F.col("_m.keyword").alias("keyword"))
@@ -102,7 +103,8 @@ def table_findings(spec: B.TableSpec, keywords: list[str], scorer: Scorer,
         rows = B.with_record_id(rows, []).withColumn("_key", F.array("record_id"))
     asked = prompts(
         B.cells(rows, ["_key", "record_id"], texts).where(strip(F.col("value")) != ""), keywords, "value")
-    said = verdicts(scorer(asked)).where("verdict.has_sensitive")
+    positive = F.when(F.col("verdict.has_sensitive"), F.array("verdict"))
+    said = verdicts(scorer(asked)).select("_key", "record_id", "field", F.explode(positive).alias("verdict"))
     contexts = F.filter(F.col("verdict.matches.context"), lambda c: c != "")
     found = said.select(
         "_key", "record_id", "field", F.col("verdict.matches.keyword").alias("_kws"),

@@ -128,8 +128,8 @@ def cells(df: DataFrame, ids: list[str], columns: list[str] | None = None) -> Da
 
 def cell_keywords(value: Column, pattern: str) -> Column:
     """Array of the joined surface texts of each matching line of a cell."""
-    per_line = F.transform(
-        F.split(value, "\n", -1), lambda x: K.joined_forms(K.all_matches(K.strip(x), pattern)))
+    lines = F.filter(F.split(value, "\n", -1), lambda x: K.has_match(x, pattern))
+    per_line = F.transform(lines, lambda x: K.joined_forms(K.all_matches(K.strip(x), pattern)))
     return F.array_distinct(F.filter(per_line, lambda x: x != ""))
 
 
@@ -156,8 +156,9 @@ def findings(spec: TableSpec, keywords: list[str], ignore_case: bool = True,
         cells(values, ["_key", "record_id"], texts)
         .where(K.has_match(F.col("value"), pattern))
         .select("_key", "record_id", "field", cell_keywords(F.col("value"), pattern).alias("_kws"))
-        .where(F.size("_kws") > 0)
     )
+    if K.is_padded(keywords):
+        found = found.where(F.size("_kws") > 0)
     if not (spec.unique_key or not spec.keys):
         found = (
             found.select("_key", "record_id", "field", F.explode("_kws").alias("_kw")).distinct()
@@ -195,7 +196,7 @@ def table_stats(spec: TableSpec, keywords: list[str], ignore_case: bool = True,
             F.lit(0).cast("long").alias("matched_records"), *sizes)
     hit = reduce(lambda a, b: a | b,
                  [F.size(cell_keywords(as_text(df, c), pattern)) > 0
-                  if any(k != k.strip() for k in keywords)
+                  if K.is_padded(keywords)
                   else K.has_match(as_text(df, c), pattern) for c in texts])
     flagged = df.select(
         _is_candidate(df, keywords, ignore_case, prefilter).alias("_cand"), hit.alias("_hit"),

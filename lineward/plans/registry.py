@@ -7,6 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineward.session import spread
+
+# Tables whose texts are costly to match.
+_TEXTS = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -23,7 +28,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._seen:
-            self._seen[name] = self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+            self._seen[name] = spread(table) if name in _TEXTS else table
         return self._seen[name]
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Size of a full scan split.
+SPLIT_BYTES = 128 << 20
 
 
 def build_session(app: str = "lineward", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +51,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return sc.getCheckpointDir()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores; leave a large one as it is read.
+
+    An input below one full scan split per core comes from few files or row groups, so that most
+    cores would idle while a few match texts. Its size is Spark's own estimate, taken from the files.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
