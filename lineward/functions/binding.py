@@ -15,3 +15,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     without it every mention would be a copy, and copies of copies multiply.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """The same for an expression in SQL; ``body`` refers to the value by ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lineward.functions.binding import let
+from lineward.functions.binding import let_sql
 
 # File types by extension, and the bytes their files start with.
 DOCUMENT_EXTS = [".txt", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".pdf"]
@@ -51,120 +49,83 @@ def is_hidden(path: Column) -> Column:
     return base_name(path).startswith(".")
 
 
-def _bytes(hex_text: str) -> Column:
-    return F.unhex(F.lit(hex_text))
-
+# The ZIP structure is read with SQL expressions over the name of a binary column. They are long,
+# and one piece of text reaches the JVM in one call where nested Columns take thousands.
 
-def _little_endian(data: Column, start: Column | int, width: int) -> Column:
-    """Unsigned number of 2 or 4 bytes at a 0-based offset."""
-    at = F.lit(start + 1) if isinstance(start, int) else (start + 1).cast("int")
-    digits = F.hex(F.substring(data, at, F.lit(width)))
+def _number(data: str, start: str | int, width: int) -> str:
+    """Unsigned number of 2 or 4 bytes, lowest first, at a 0-based offset."""
+    digits = f"hex(substring({data}, cast({start} + 1 as int), {width}))"
     groups = "".join(f"${i}" for i in range(width, 0, -1))
-    return F.conv(F.regexp_replace(digits, "^" + "(..)" * width + "$", groups), 16, 10).cast("long")
-
-
-def _latin(data: Column) -> Column:
-    return F.decode(data, "ISO-8859-1")
+    return f"cast(conv(regexp_replace({digits}, '^{'(..)' * width}$', '{groups}'), 16, 10) as bigint)"
 
 
-def zip_directory(content: Column) -> Column:
+def _directory(content: str) -> str:
     """Bytes of the central directory; null when the content is not a ZIP file."""
-    size = F.octet_length(content)
-    tail = _latin(F.substring(content, F.greatest(size - _END_SEARCH, F.lit(0)) + 1, F.lit(_END_SEARCH)))
-
-    def located(end: Column) -> Column:
-        return F.when(F.octet_length(end) >= 18, F.struct(
-            _little_endian(end, 8, 4).alias("length"), _little_endian(end, 12, 4).alias("start")))
-
-    def cut(at: Column) -> Column:
-        return F.when(at["start"] + at["length"] <= size, F.substring(
-            content, (at["start"] + 1).cast("int"), at["length"].cast("int")))
-
-    def end_record(text: Column) -> Column:
-        found = F.encode(F.substring_index(text, _DIRECTORY_END, -1), "ISO-8859-1")
-        return F.when(text.contains(_DIRECTORY_END), found)
+    tail = f"decode(substring({content}, greatest(octet_length({content}) - {_END_SEARCH}, 0) + 1, {_END_SEARCH}), 'ISO-8859-1')"
+    end = let_sql(tail, "t", f"""if(contains(t, '{_DIRECTORY_END}'),
+        encode(substring_index(t, '{_DIRECTORY_END}', -1), 'ISO-8859-1'), null)""")
+    place = let_sql(end, "e", f"""if(octet_length(e) >= 18,
+        named_struct('length', {_number('e', 8, 4)}, 'start', {_number('e', 12, 4)}), null)""")
+    return let_sql(place, "d", f"""if(d.start + d.length <= octet_length({content}),
+        substring({content}, cast(d.start + 1 as int), cast(d.length as int)), null)""")
 
-    return let(let(let(tail, end_record), located), cut)
 
-
-def zip_entries(content: Column) -> Column:
+def _entries(content: str) -> str:
     """Array of the directory entries: name, flags, method, raw size, local header position."""
-    parts = F.split(_latin(zip_directory(content)), _DIRECTORY_ENTRY, -1)
-    raws = F.transform(F.filter(parts, lambda x: F.length(x) >= 42), lambda x: F.encode(x, "ISO-8859-1"))
-
-    def numbers(raw: Column) -> Column:
-        return F.struct(
-            F.substring(raw, F.lit(43), _little_endian(raw, 24, 2).cast("int")).alias("name"),
-            _little_endian(raw, 4, 2).cast("int").alias("flags"),
-            _little_endian(raw, 6, 2).cast("int").alias("method"),
-            _little_endian(raw, 16, 4).alias("raw_size"), _little_endian(raw, 38, 4).alias("at"))
+    raws = f"""transform(filter(split(decode({_directory(content)}, 'ISO-8859-1'), '{_DIRECTORY_ENTRY}', -1),
+        p -> length(p) >= 42), p -> encode(p, 'ISO-8859-1'))"""
+    name = f"substring(r, 43, cast({_number('r', 24, 2)} as int))"
+    return f"""transform({raws}, r -> named_struct(
+        'name', if({_number('r', 4, 2)} & 2048 != 0 and is_valid_utf8(cast({name} as string)),
+                   cast({name} as string), decode({name}, 'ISO-8859-1')),
+        'flags', cast({_number('r', 4, 2)} as int), 'method', cast({_number('r', 6, 2)} as int),
+        'raw_size', {_number('r', 16, 4)}, 'at', {_number('r', 38, 4)}))"""
 
-    def named(e: Column) -> Column:
-        utf8 = (e["flags"].bitwiseAND(0x800) != 0) & F.is_valid_utf8(e["name"].cast("string"))
-        return e.withField("name", F.when(utf8, e["name"].cast("string")).otherwise(_latin(e["name"])))
 
-    return F.transform(F.transform(raws, numbers), named)
+_LOCKED_ENTRY = "x -> x.flags & 1 = 1"
 
 
-def zip_names(content: Column) -> Column:
-    return F.transform(zip_entries(content), lambda e: e["name"])
+def zip_entries(content: str) -> Column:
+    return F.expr(_entries(content))
 
 
-def _any_locked(entries: Column) -> Column:
-    return F.coalesce(F.exists(entries, lambda e: e["flags"].bitwiseAND(1) == 1), F.lit(False))
+def is_zip(content: str) -> Column:
+    return F.expr(f"startswith({content}, X'{ZIP_HEAD}') and {_directory(content)} is not null")
 
 
-def zip_encrypted(content: Column) -> Column:
+def zip_encrypted(content: str) -> Column:
     """Some entry has the encryption flag set."""
-    return _any_locked(zip_entries(content))
+    return F.expr(f"coalesce(exists({_entries(content)}, {_LOCKED_ENTRY}), false)")
 
 
-def zip_member(content: Column, entry: Column) -> Column:
-    """Raw, still compressed bytes of one entry."""
-    name_size = _little_endian(content, entry["at"] + 26, 2)
-    extra_size = _little_endian(content, entry["at"] + 28, 2)
-    start = entry["at"] + 30 + name_size + extra_size
-    return F.substring(content, (start + 1).cast("int"), entry["raw_size"].cast("int"))
+def zip_member(content: str, entry: str) -> Column:
+    """Raw, still compressed bytes of one entry, which follow its local header."""
+    sizes = f"{_number(content, f'{entry}.at + 26', 2)} + {_number(content, f'{entry}.at + 28', 2)}"
+    return F.expr(f"substring({content}, cast({entry}.at + 31 + {sizes} as int), cast({entry}.raw_size as int))")
 
 
-def detected_ext(extension: Column, content: Column) -> Column:
+def detected_ext(extension: str, content: str) -> Column:
     """Type by file head; for ZIP heads by the folders inside, Word when none is known."""
-    def inner(names: Column) -> Column:
-        return F.coalesce(*[
-            F.when(F.exists(names, lambda n: n.contains(folder)), kind) for folder, kind in INNER_FOLDERS],
-            F.lit(".docx"))
-
-    return (
-        F.when(F.startswith(content, _bytes(ZIP_HEAD)), let(zip_names(content), inner))
-        .when(F.startswith(content, _bytes(PDF_HEAD)), ".pdf").otherwise(extension))
+    inner = " ".join(f"when exists(z, x -> contains(x.name, '{folder}')) then '{kind}'" for folder, kind in INNER_FOLDERS)
+    return F.expr(f"""case when startswith({content}, X'{ZIP_HEAD}')
+            then {let_sql(_entries(content), "z", f"case {inner} else '.docx' end")}
+        when startswith({content}, X'{PDF_HEAD}') then '.pdf' else {extension} end""")
 
 
-def diagnose(extension: Column, content: Column) -> Column:
+def diagnose(extension: str, content: str) -> Column:
     """Why no text came out of a file: encrypted, damaged, missing_lib or unknown."""
-    parts = F.from_json(F.lit(json.dumps(CORE_PARTS)), "map<string,string>")
-
-    def ooxml(entries: Column, core: Column) -> Column:
-        def named(text) -> Column:
-            return F.exists(entries, lambda e: e["name"].contains(text))
-
-        return (
-            F.when(entries.isNull(), "damaged").when(_any_locked(entries), "encrypted")
-            .when(named("EncryptedPackage"), "encrypted").when(~named(core), "encrypted").otherwise("damaged"))
-
+    core = "case k " + " ".join(f"when '{kind}' then '{part}'" for kind, part in CORE_PARTS.items()) + " end"
+    ooxml = f"""case when z is null then 'damaged' when exists(z, {_LOCKED_ENTRY}) then 'encrypted'
+        when exists(z, x -> contains(x.name, 'EncryptedPackage')) then 'encrypted'
+        when not exists(z, x -> contains(x.name, {core})) then 'encrypted' else 'damaged' end"""
     # Stream names of the compound format are stored as UTF-16.
-    marker = _bytes("EncryptionInfo".encode("utf-16-le").hex())
-    ole = (F.when(~F.startswith(content, _bytes(OLE_HEAD)), "damaged")
-           .when(F.contains(content, marker), "encrypted").otherwise("missing_lib"))
-    pdf = F.when(F.startswith(content, _bytes(PDF_HEAD)) & F.contains(content, _bytes(b"/Encrypt".hex())),
-                 "encrypted").otherwise("damaged")
-
-    def by_kind(kind: Column) -> Column:
-        return (
-            F.when(kind.isin(list(CORE_PARTS)),
-                   let(zip_entries(content), lambda e: ooxml(e, F.try_element_at(parts, kind))))
-            .when(kind.isin(".doc", ".xls", ".ppt"), ole).when(kind == ".pdf", pdf).otherwise("unknown"))
-
-    return let(extension, by_kind)
+    marker = "EncryptionInfo".encode("utf-16-le").hex()
+    return F.expr(let_sql(extension, "k", f"""case
+        when k in ('.docx', '.xlsx', '.pptx') then {let_sql(_entries(content), "z", ooxml)}
+        when k in ('.doc', '.xls', '.ppt') then case when not startswith({content}, X'{OLE_HEAD}') then 'damaged'
+            when contains({content}, X'{marker}') then 'encrypted' else 'missing_lib' end
+        when k = '.pdf' then if(startswith({content}, X'{PDF_HEAD}') and contains({content}, X'{b"/Encrypt".hex()}'),
+            'encrypted', 'damaged') else 'unknown' end"""))
 
 
 def low_text(size: Column, text: Column) -> Column:

@@ -27,13 +27,16 @@ _BATCH_BYTES = 32 << 20
 
 def with_types(files: DataFrame) -> DataFrame:
     """Add extension, route and detected type; archives keep their extension."""
+    # Bound once, the extension is not copied into every place that mentions it.
     def described(ext: Column) -> Column:
-        detected = F.when(ext.isin(P.DOCUMENT_EXTS), P.detected_ext(ext, F.col("content"))).otherwise(ext)
-        return F.struct(ext.alias("ext"), P.route(ext).alias("route"), detected.alias("detected_ext"))
+        return F.struct(ext.alias("ext"), P.route(ext).alias("route"))
 
     typed = files.withColumn("_kind", let(P.ext(F.col("path")), described))
-    others = [c for c in typed.columns if c != "_kind"]
-    return typed.select(*others, "_kind.*", P.is_hidden(F.col("path")).alias("is_hidden"))
+    others = [c for c in files.columns]
+    detected = F.when(F.col("_kind.route") == "document", P.detected_ext("_kind.ext", "content"))
+    return typed.select(
+        *others, "_kind.ext", "_kind.route", F.coalesce(detected, F.col("_kind.ext")).alias("detected_ext"),
+        P.is_hidden(F.col("path")).alias("is_hidden"))
 
 
 def type_mismatch(typed: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def extract(typed: DataFrame, extractors: dict[str, list[Callable[[bytes], str |
     and do not come back: what a missing text means is worked out beforehand.
     """
     table = {**E.BUILT_IN, **(extractors or {})}
-    judged = typed.withColumn("diagnosis", P.diagnose(F.col("detected_ext"), F.col("content")))
+    judged = typed.withColumn("diagnosis", P.diagnose("detected_ext", "content"))
     keep = [f for f in judged.schema.fields if f.name not in ("content", "text", "extract_status")]
     schema = T.StructType(keep + [T.StructField("text", T.StringType()),
                                   T.StructField("extract_status", T.StringType())])
@@ -97,11 +100,10 @@ def extract(typed: DataFrame, extractors: dict[str, list[Callable[[bytes], str |
 
 # --- archives ------------------------------------------------------------------------------------
 
-def archive_status(ext: Column, content: Column) -> Column:
+def archive_status(ext: Column, content: str) -> Column:
     """ok, encrypted or damaged for ZIP files; missing_reader for the kinds without a reader."""
     return (
-        F.when(ext != ".zip", MISSING_READER)
-        .when(~F.startswith(content, F.unhex(F.lit(P.ZIP_HEAD))) | P.zip_directory(content).isNull(), DAMAGED)
+        F.when(ext != ".zip", MISSING_READER).when(~P.is_zip(content), DAMAGED)
         .when(P.zip_encrypted(content), ENCRYPTED).otherwise(OK))
 
 
@@ -129,24 +131,23 @@ _MEMBER_COLUMNS = ["path", "member_path", "depth", "content", "status"]
 _MEMBER_SCHEMA = "path string, member_path string, depth int, content binary, status string"
 
 
-def open_archives(archives: DataFrame) -> DataFrame:
-    """One row per member of each archive (``path, member_path, depth, content``).
+def open_archives(archives: DataFrame, exts: list[str]) -> DataFrame:
+    """One row per member of the wanted types (``path, member_path, depth, content, status``).
 
     The archive is cut into its compressed members by its directory, in the JVM, and the members
     are dealt out to all tasks before anything is decompressed. So one archive that holds most of
     the members is worked on everywhere.
     """
-    entry = F.explode(F.filter(P.zip_entries(F.col("content")), lambda e: ~e["name"].endswith("/"))).alias("e")
     inner = F.when(F.col("member_path") == "", F.col("e.name")).otherwise(
         F.concat(F.col("member_path"), F.lit("!"), F.col("e.name")))
-    wanted = P.ext(F.col("e.name")).isin(P.DOCUMENT_EXTS + P.ARCHIVE_EXTS)
     raw = (
         archives.where(F.col("status") == OK)
-        .select("path", "member_path", "depth", "content", entry)
-        .where(wanted)
+        .select("path", "member_path", "depth", "content", F.explode(P.zip_entries("content")).alias("e"))
+        .where(P.ext(F.col("e.name")).isin(exts))
         .select("path", inner.alias("member_path"), "depth", F.col("e.method").alias("method"),
-                P.zip_member(F.col("content"), F.col("e")).alias("raw")))
-    return raw.repartition(_spread(archives)).mapInPandas(_inflate, _MEMBER_SCHEMA)
+                P.zip_member("content", "e").alias("raw")))
+    opened = raw.repartition(_spread(archives)).mapInPandas(_inflate, _MEMBER_SCHEMA)
+    return opened.withColumn("ext", P.ext(F.col("member_path")))
 
 
 def _spread(df: DataFrame) -> int:
@@ -158,8 +159,8 @@ def expand_archives(files: DataFrame, max_depth: int = MAX_ARCHIVE_DEPTH) -> tup
     """Members of the archives among ``files``, nested archives followed to ``max_depth``.
 
     Returns the members (documents only) and the status of every archive met. Archives nested
-    deeper are left alone. Each round handles one level; nested archives are checkpointed between
-    rounds so that no level is unpacked twice.
+    deeper are left alone. Each round opens one level. Only nested archives are written to a
+    checkpoint between rounds; documents are decompressed when the result is used.
     """
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
@@ -169,13 +170,13 @@ def expand_archives(files: DataFrame, max_depth: int = MAX_ARCHIVE_DEPTH) -> tup
     statuses = spark.createDataFrame([], "path string, member_path string, depth int, status string")
     for depth in range(max_depth + 1):
         name = F.when(F.col("member_path") == "", F.col("path")).otherwise(F.col("member_path"))
-        level = level.withColumn("status", archive_status(P.ext(name), F.col("content")))
+        level = level.withColumn("status", archive_status(P.ext(name), "content"))
         statuses = statuses.unionByName(level.select("path", "member_path", "depth", "status"))
-        opened = open_archives(level).withColumn("ext", P.ext(F.col("member_path"))).checkpoint()
-        nested = F.col("ext").isin(P.ARCHIVE_EXTS)
-        members = members.unionByName(opened.where(~nested))
-        level = opened.where(nested).select(
-            "path", "member_path", (F.col("depth") + 1).cast("int").alias("depth"), "content")
+        members = members.unionByName(open_archives(level, P.DOCUMENT_EXTS))
+        if depth == max_depth:
+            break
+        level = open_archives(level, P.ARCHIVE_EXTS).select(
+            "path", "member_path", (F.col("depth") + 1).cast("int").alias("depth"), "content").checkpoint()
         if level.isEmpty():
             break
     return members, statuses
@@ -191,7 +192,7 @@ def with_status(extracted: DataFrame) -> DataFrame:
     """
     low = P.low_text(F.col("size"), F.col("text"))
     why = (F.col("diagnosis") if "diagnosis" in extracted.columns
-           else P.diagnose(F.col("detected_ext"), F.col("content")))
+           else P.diagnose("detected_ext", "content"))
     text, told = F.col("text"), F.col("extract_status")
 
     def reason(diagnosis: Column) -> Column:

@@ -23,9 +23,11 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "seq",
     """
     by = by or []
     ensure_checkpoint_dir(df.sparkSession)
-    position = F.monotonically_increasing_id()
+    position = F.monotonically_increasing_id
     # Sorting reads its input twice, to find the ranges and to place the rows: compute it once.
-    placed = df.checkpoint().sort(*by, *order).withColumn("_at", position).checkpoint()
+    # The position in that copy breaks ties, so that even equal rows are spread over the ranges.
+    copy = df.checkpoint().withColumn("_tie", position())
+    placed = copy.sort(*by, *order, "_tie").drop("_tie").withColumn("_at", position()).checkpoint()
     placed = placed.withColumn("_part", F.shiftright("_at", _ROW_BITS))
 
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))

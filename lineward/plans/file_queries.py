@@ -18,7 +18,7 @@ def checked(t):
 
 def archives(t):
     zips = L.with_types(X.files(t)).where("route = 'archive'")
-    return zips.select("doc_id", "path", L.archive_status(F.col("ext"), F.col("content")).alias("status"))
+    return zips.select("doc_id", "path", L.archive_status(F.col("ext"), "content").alias("status"))
 
 
 def findings(t):

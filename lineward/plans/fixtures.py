@@ -260,3 +260,24 @@ CHECKED_SQL = f"""(SELECT *, CASE WHEN reason IN ('ok', 'encrypted') THEN reason
         ELSE 'ok' END AS reason FROM {TYPED_SQL}))"""
 ARCHIVES_SQL = f"""(SELECT doc_id, path, ext, CASE WHEN head NOT IN (3, 4) THEN 'damaged' WHEN locked THEN 'encrypted' ELSE 'ok' END AS status
     FROM {_TYPED_SQL} WHERE route = 'archive')"""
+
+
+def zip_of(data, name):
+    """A ZIP file with one stored entry, built from its bytes and its name."""
+    size, label = _reversed_hex(F.octet_length(data)), F.encode(name, "utf-8")
+    label_size = F.substring(_reversed_hex(F.octet_length(label)), 1, 4)
+    common = F.concat(F.lit("0000" + "0000" + "00000000" + "00000000"), size, size, label_size, F.lit("0000"))
+    head = F.concat(F.unhex(F.concat(F.lit("504B0304" + "1400"), common)), label, data)
+    entry = F.concat(F.unhex(F.concat(F.lit("504B0102" + "1400" + "1400"), common, F.lit("00" * 14))), label)
+    end = F.concat(F.lit("504B0506" + "00000000" + "01000100"), _reversed_hex(F.octet_length(entry)),
+                   _reversed_hex(F.octet_length(head)), F.lit("0000"))
+    return F.concat(head, entry, F.unhex(end))
+
+
+def archives(t) -> DataFrame:
+    """Every document in an archive of its own, every third one in an archive within an archive."""
+    doc, body = F.col("doc_id"), F.encode("text", "utf-8")
+    one = zip_of(body, F.concat(F.lit("d"), doc, F.lit(".txt")))
+    two = zip_of(one, F.lit("inner.zip"))
+    return t.documents.select(
+        F.concat(F.lit("/z/"), doc, F.lit(".zip")).alias("path"), F.when(doc % 3 == 0, two).otherwise(one).alias("content"))
