@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineward.functions import html as H
+from lineward.functions.binding import let
 from lineward.functions import urls as U
 from lineward.operators import web as W
 from lineward.operators.numbering import number_within
@@ -203,8 +204,7 @@ def _file_path():
 
 def _reversed_hex(n):
     """Four bytes, lowest first."""
-    h = F.lpad(F.hex(n), 8, "0")
-    return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+    return F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1")
 
 
 def _tiny_zip(text, inner: str, locked):
@@ -264,20 +264,29 @@ ARCHIVES_SQL = f"""(SELECT doc_id, path, ext, CASE WHEN head NOT IN (3, 4) THEN
 
 def zip_of(data, name):
     """A ZIP file with one stored entry, built from its bytes and its name."""
-    size, label = _reversed_hex(F.octet_length(data)), F.encode(name, "utf-8")
-    label_size = F.substring(_reversed_hex(F.octet_length(label)), 1, 4)
-    common = F.concat(F.lit("0000" + "0000" + "00000000" + "00000000"), size, size, label_size, F.lit("0000"))
-    head = F.concat(F.unhex(F.concat(F.lit("504B0304" + "1400"), common)), label, data)
-    entry = F.concat(F.unhex(F.concat(F.lit("504B0102" + "1400" + "1400"), common, F.lit("00" * 14))), label)
-    end = F.concat(F.lit("504B0506" + "00000000" + "01000100"), _reversed_hex(F.octet_length(entry)),
-                   _reversed_hex(F.octet_length(head)), F.lit("0000"))
-    return F.concat(head, entry, F.unhex(end))
+    def fields(x):
+        size, label_size = _reversed_hex(F.octet_length(x["data"])), _reversed_hex(F.octet_length(x["label"]))
+        common = F.concat(F.lit("00" * 12), size, size, F.substring(label_size, 1, 4), F.lit("0000"))
+        return F.struct(x["data"].alias("data"), x["label"].alias("label"), common.alias("common"))
+
+    def parts(x):
+        head = F.concat(F.unhex(F.concat(F.lit("504B0304" + "1400"), x["common"])), x["label"], x["data"])
+        entry = F.concat(F.unhex(F.concat(F.lit("504B0102" + "1400" + "1400"), x["common"], F.lit("00" * 14))), x["label"])
+        return F.struct(head.alias("head"), entry.alias("entry"))
+
+    def whole(x):
+        end = F.concat(F.lit("504B0506" + "00000000" + "01000100"), _reversed_hex(F.octet_length(x["entry"])),
+                       _reversed_hex(F.octet_length(x["head"])), F.lit("0000"))
+        return F.concat(x["head"], x["entry"], F.unhex(end))
+
+    given = F.struct(data.alias("data"), F.encode(name, "utf-8").alias("label"))
+    return let(let(let(given, fields), parts), whole)
 
 
 def archives(t) -> DataFrame:
     """Every document in an archive of its own, every third one in an archive within an archive."""
     doc, body = F.col("doc_id"), F.encode("text", "utf-8")
     one = zip_of(body, F.concat(F.lit("d"), doc, F.lit(".txt")))
-    two = zip_of(one, F.lit("inner.zip"))
+    twice = lambda z: F.when(doc % 3 == 0, zip_of(z, F.lit("inner.zip"))).otherwise(z)
     return t.documents.select(
-        F.concat(F.lit("/z/"), doc, F.lit(".zip")).alias("path"), F.when(doc % 3 == 0, two).otherwise(one).alias("content"))
+        F.concat(F.lit("/z/"), doc, F.lit(".zip")).alias("path"), let(one, twice).alias("content"))
