@@ -84,8 +84,9 @@ def classify(snapshot: DataFrame, state: DataFrame) -> DataFrame:
     flagged ``failed``, and is never stored.
     """
     cols = [c for c in ("etag", "last_modified") if c not in snapshot.columns]
-    page = snapshot.withColumns({c: F.lit("") for c in cols}).withColumn(
-        "content_hash", content_hash(F.col("html")))
+    page = snapshot.withColumns({c: F.lit("") for c in cols})
+    if "content_hash" not in page.columns:
+        page = page.withColumn("content_hash", content_hash(F.col("html")))
     stored = state.select("url", *[F.col(c).alias(f"old_{c}") for c in state.columns if c != "url"],
                           F.lit(True).alias("_known"))
     joined = page.join(stored, "url", "left")
@@ -93,10 +94,10 @@ def classify(snapshot: DataFrame, state: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("_known").isNull(), NEW)
         .when(validated, NOT_MODIFIED)
-        .when(F.col("html").isNull(), NEW)
+        .when(F.col("content_hash").isNull(), NEW)
         .when(F.col("content_hash") == F.col("old_content_hash"), NOT_MODIFIED)
         .otherwise(CHANGED))
-    failed = F.col("html").isNull() & (F.col("status") != NOT_MODIFIED)
+    failed = F.col("content_hash").isNull() & (F.col("status") != NOT_MODIFIED)
     return joined.withColumn("status", status).withColumn("failed", failed).drop("_known")
 
 
@@ -119,17 +120,36 @@ def effective_links(classified: DataFrame) -> DataFrame:
     return fresh.unionByName(stored)
 
 
+def scan_pages(snapshot: DataFrame, keywords: list[str]) -> DataFrame:
+    """Replace the bodies by their hash, links and findings, row by row.
+
+    Put before ``classify``, the join with the state and everything after it move these short
+    columns and never a body. That costs the scan of pages that turn out unchanged, which is less
+    than shuffling all bodies unless nearly all pages are unchanged and the state is small enough
+    to be broadcast.
+    """
+    html = F.col("html")
+    others = [c for c in snapshot.columns if c != "html"]
+    return snapshot.select(
+        *others, content_hash(html).alias("content_hash"), link_array(F.col("url"), html).alias("new_links"),
+        finding_array(H.visible_text(html), keywords).alias("new_findings"))
+
+
 def rescan(classified: DataFrame, keywords: list[str]) -> DataFrame:
     """One row per snapshot page with the findings and links that hold for it now.
 
-    Read pages are scanned, pages that did not change take over what is stored. The bodies are
-    dropped, so this is the small frame to checkpoint when findings, counters, edges and the next
+    Read pages are scanned (unless ``scan_pages`` did that already), pages that did not change take
+    over what is stored. The bodies are dropped, so this is the small frame to checkpoint when findings, counters, edges and the next
     state are all wanted: each page is then parsed once.
     """
     fresh = (F.col("status") != NOT_MODIFIED) & ~F.col("failed")
     kept = F.col("status") == NOT_MODIFIED
     checked = F.col("fetched_at") if "fetched_at" in classified.columns else F.lit(None)
-    text = H.visible_text(F.col("html"))
+    if "new_findings" in classified.columns:
+        links, findings = F.col("new_links"), F.col("new_findings")
+    else:
+        links = link_array(F.col("url"), F.col("html"))
+        findings = finding_array(H.visible_text(F.col("html")), keywords)
 
     def validator(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"old_{c}"), F.lit("")).alias(c)
@@ -137,10 +157,8 @@ def rescan(classified: DataFrame, keywords: list[str]) -> DataFrame:
     return classified.select(
         "url", "status", "failed", "content_hash", validator("etag"), validator("last_modified"),
         checked.cast("timestamp").alias("last_checked"),
-        F.when(fresh, link_array(F.col("url"), F.col("html")))
-        .when(kept, F.col("old_links")).alias("links"),
-        F.when(fresh, finding_array(text, keywords))
-        .when(kept, F.col("old_findings")).alias("findings"))
+        F.when(fresh, links).when(kept, F.col("old_links")).alias("links"),
+        F.when(fresh, findings).when(kept, F.col("old_findings")).alias("findings"))
 
 
 def incremental_findings(scanned: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def incremental_scan_stream(stream: DataFrame, keywords: list[str], state_path:
         ensure_checkpoint_dir(spark)
         version = batch_id + 1
         state = load_state(spark, state_path, PAGE_STATE, before=version)
-        scanned = W.rescan(W.classify(latest_versions(batch), state), keywords).checkpoint()
+        pages = latest_versions(W.scan_pages(batch, keywords))
+        scanned = W.rescan(W.classify(pages, state), keywords).checkpoint()
         ok, message = save_state(W.upsert_state(state, scanned), state_path, version)
         if not ok:
             raise RuntimeError(f"state not saved: {message}")
