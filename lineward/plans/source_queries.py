@@ -118,7 +118,7 @@ def _counter():
     return lambda prompt: str(len(prompt))
 
 
-@query("llm_score", f"SELECT doc_id, CAST(length(prompt) AS VARCHAR) AS response, NULL AS error FROM ({SQL['llm_prompt']})")
+@query("llm_score", f"SELECT doc_id, CAST(length(prompt) AS VARCHAR) AS response, CAST(NULL AS VARCHAR) AS error FROM ({SQL['llm_prompt']})")
 def llm_score(t):
     asked = M.prompts(t.documents.select("doc_id", "text"), KW, "text")
     return M.python_scorer(_counter)(asked).select("doc_id", "response", "error")
