@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.tokentable(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return token_files.token_table(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
