@@ -1 +1,284 @@
-"""Near-duplicates of word shingles by MinHash."""
+"""Near-duplicates of word shingles: one-permutation MinHash, banded buckets, star-shaped candidate edges.
+
+Documents of equal shingle sets are one class, however many they are. A class has one hash per bin of one
+permutation; an empty bin takes the value of another bin, by an order that is the same for all (optimal
+densification). Bands of values are buckets. In each bucket the class that shares most buckets is the centre,
+and only edges from it are candidates. Links are confirmed on the full sets. A bucket whose classes are then
+not all connected is searched again: the classes of different components are compared by their sketches in
+tiles, and what can still be similar is confirmed as well, so that no link depends on the choice of centres.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections import OrderedDict
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lineward.llm.common import chunks, components, mix64, texts_of, written
+
+SHINGLE, SIMILARITY = 4, 80
+BINS, ROWS = 128, 4
+#: Classes of a bucket that are compared by one task with as many others.
+BLOCK = 2048
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Standard deviations that a sketch's estimate may lie below the similarity.
+_DEVIATIONS = 5
+_SETS_HELD = 256
+
+
+def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, text after text, and how many each has.
+
+    Words are maximal runs without ASCII white space, A-Z lower-cased. A text of fewer words is one shingle.
+    """
+    raw = [t.encode("utf-8") + b" " for t in texts]
+    b = np.frombuffer(b"".join(raw), np.uint8)
+    ends_of = np.cumsum([len(r) for r in raw])
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    code = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64) + np.uint64(1)
+    word = ~space
+    starts = np.flatnonzero(word & ~np.append(False, word[:-1]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    ends = np.flatnonzero(word & ~np.append(word[1:], False)) + 1
+    # A word's hash: its bytes weighted by their place, as a difference of running sums.
+    place = np.arange(len(b)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(b)]])))
+    weight = mix64(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(word, code * weight, np.uint64(0)))])
+    names = mix64(run[ends] - run[starts])
+    owner = np.searchsorted(ends_of, starts, "right")
+    n_words = np.bincount(owner, minlength=len(texts))
+    # Shingles start at every word that has enough words after it; short texts have one at their first.
+    first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+    left = (np.repeat(n_words, n_words) - (np.arange(len(names)) - np.repeat(first, n_words)))
+    total = np.zeros(len(names), np.uint64)
+    padded = np.append(names, np.zeros(size, np.uint64))
+    for i in range(size):
+        own = np.where(left > i, padded[i:i + len(names)], np.uint64(0))  # zero where the text has ended
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + own)
+    at = np.flatnonzero((left >= size) | ((np.repeat(n_words, n_words) < size) & (left == np.repeat(n_words, n_words))))
+    values, of = total[at], owner[at]
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.append(True, (values[1:] != values[:-1]) | (of[1:] != of[:-1]))
+    values, of = values[new], of[new]
+    return values, np.bincount(of, minlength=len(texts))
+
+
+def _orders() -> np.ndarray:
+    """For each bin the order in which it asks the others for a value."""
+    rng = np.random.default_rng(11)
+    return np.stack([rng.permutation(BINS) for _ in range(BINS)])
+
+
+_ORDERS = _orders()
+
+
+def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of BINS values for each text with shingles."""
+    counts = counts[counts > 0]
+    out = np.full((len(counts), BINS), _EMPTY)
+    of = np.repeat(np.arange(len(counts)), counts)
+    slot = of * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    lowest = np.append(True, slot[1:] != slot[:-1]) if len(slot) else np.zeros(0, bool)
+    out.reshape(-1)[slot[lowest]] = values[lowest]
+    full = out != _EMPTY
+    row, bin_ = np.nonzero(~full)
+    for i in range(BINS):
+        if not len(row):
+            break
+        ask = _ORDERS[bin_, i]
+        has = full[row, ask]
+        out[row[has], bin_[has]] = out[row[has], ask[has]]
+        row, bin_ = row[~has], bin_[~has]
+    return out
+
+
+def bands(sketch: np.ndarray) -> np.ndarray:
+    """Bucket of each band; the band is part of it."""
+    total = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64) + np.uint64(1), (len(sketch), BINS // ROWS)).copy()
+    for i in range(ROWS):
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + sketch[:, i::ROWS])
+    return total.view(np.int64)
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """A row for each document without its text: number of shingles, digest of the set, sketch, buckets."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks([len(t) for t in texts]):
+                values, counts = shingles(texts[a:b])
+                sketch = sketches(values, counts)
+                short = (sketch & np.uint64(0xFFFF)).astype("<u2")
+                buckets = bands(sketch)
+                ends = np.cumsum(counts)
+                keys, short_of, bands_of, i = [], [], [], 0
+                for end, n in zip(ends.tolist(), counts.tolist()):
+                    if n:
+                        keys.append(hashlib.blake2b(values[end - n:end].tobytes(), digest_size=16).digest())
+                        short_of.append(short[i].tobytes())
+                        bands_of.append(buckets[i])
+                        i += 1
+                    else:
+                        keys.append(None)
+                        short_of.append(None)
+                        bands_of.append(None)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0).slice(a, b - a), "text_key": batch.column(2).slice(a, b - a), "n_shingles": counts,
+                    "set_key": pa.array(keys, pa.binary()), "sketch": pa.array(short_of, pa.binary()),
+                    "buckets": pa.array(bands_of, pa.list_(pa.int64()))})
+
+    return texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary, buckets array<long>")
+
+
+def _possible(n_a, n_b, agree):
+    """Whether sizes and the share of equal bins leave room for the similarity; numpy arrays."""
+    low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    share = SIMILARITY / 100
+    least = share - _DEVIATIONS * np.sqrt(share * (1 - share) / np.minimum(low, BINS))
+    return (100 * low >= SIMILARITY * high) & (agree >= least)
+
+
+def _sketch_test(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+    own = classes.select("node", "n_shingles", "sketch")
+    joined = (pairs.join(own.toDF("a", "n_a", "sketch_a"), "a").join(own.toDF("b", "n_b", "sketch_b"), "b"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+                ok = _possible(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (sa == sb).mean(1))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough, on the full sets of both texts."""
+    joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+              .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
+
+    def run(batches):
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def sets(nodes, column):
+            new = {k: i for i, k in enumerate(nodes) if k not in held}
+            values, counts = shingles([column[i].as_py() for i in new.values()])
+            held.update(zip(new, np.split(values, np.cumsum(counts)[:-1])))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                sets(a, part.column("text_a"))
+                sets(b, part.column("text_b"))
+                ok = []
+                for x, y in zip(a, b):
+                    both = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    ok.append(100 * both >= SIMILARITY * (len(held[x]) + len(held[y]) - both))
+                while len(held) > _SETS_HELD:
+                    held.popitem(last=False)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket in different components that the sketches don't rule out."""
+    a, b = (pdf[pdf["side"] == s].sort_values("node") for s in (0, 1))
+    out = []
+    if len(a) and len(b):
+        sb = np.frombuffer(b"".join(b["sketch"]), "<u2").reshape(-1, BINS)
+        nb, lb, kb = (b[c].to_numpy() for c in ("n_shingles", "label", "node"))
+        for n, label, node, sketch in zip(a["n_shingles"], a["label"], a["node"], a["sketch"]):
+            own = np.flatnonzero((lb != label) & (kb != node) & (100 * np.minimum(nb, n) >= SIMILARITY * np.maximum(nb, n)))
+            if len(own):
+                agree = (sb[own] == np.frombuffer(sketch, "<u2")).mean(1)
+                own = own[_possible(np.int64(n), nb[own], agree)]
+                out.append(pd.DataFrame({"a": np.minimum(kb[own], node), "b": np.maximum(kb[own], node)}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (bucket, node) of buckets that hold more than one component, with their component."""
+    placed = components(links)
+    named = members.join(placed, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return named.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``.
+
+    A link: 100 * intersection >= 80 * union of the sets of distinct 4-word shingles. Null, empty and blank
+    texts have no shingles and link with nothing. component_id is the smallest doc_id reachable by links; kept
+    is doc_id = component_id. Repeated rows have equal sets and so one component; a row without id has
+    the component of its links, or null, and isn't kept. Two texts at the threshold share a bucket with a
+    probability of 1 - 5e-8.
+    """
+    rows = written(_sketched(docs), "sketches")
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
+        F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    members = classes.select("node", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(shared, "bucket")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = written(members.join(degree, "node").select("bucket", "node", "degree"), "members")
+    ids = classes.join(degree.select("node"), "node", "left_semi").select(
+        "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    whole = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
+    texts = written(whole.join(ids, whole["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
+                    .groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("n"))).alias("top")).select(
+        "bucket", (-F.col("top.n")).alias("a"))
+    star = members.join(centre, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    links = written(_confirmed(_sketch_test(star, classes), texts), "links")
+
+    # Buckets with more than one component left: compare their classes across components, block by block.
+    rest = written(_labelled(members, links), "rest")
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rest = (rest.join(blocks, "bucket").join(classes.select("node", "n_shingles", "sketch"), "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    sides = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "node", "label", "n_shingles", "sketch", F.explode(F.array(
+            F.struct(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side")),
+            F.struct(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side")))).alias("at"))
+    sides = sides.select("bucket", "node", "label", "n_shingles", "sketch", "at.*").where("x <= y")
+    across = sides.groupBy("bucket", "x", "y").applyInPandas(_across, "a long, b long").distinct()
+    more = written(_confirmed(across, texts), "links")
+
+    placed = components(links.union(more))
+    named = classes.select("node", "set_key", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.join(lowest, "component").select("set_key", "component_id")
+    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each group of near-duplicates, all columns.
+
+    The document with the smallest id stays. Rows without id stay, since nothing names them; of rows that
+    repeat an id that stays, one stays for each different text.
+    """
+    found = near_duplicates(docs)
+    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineward.llm import byte_bpe, mixing, privacy, quality, secrets, token_files, vectors
+from lineward.llm import (
+    byte_bpe,
+    fingerprints,
+    minhash,
+    mixing,
+    privacy,
+    quality,
+    secrets,
+    suffixes,
+    token_files,
+    vectors,
+)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +36,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -38,6 +53,10 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find(table(spark, sf_dir, "documents"))
 
@@ -46,7 +65,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_files, op4_quality, op5_secrets, op6_vectors, op8_privacy, op9_byte_bpe)}
+    f.__name__: f for f in (
+        op1_mixing, op2_token_files, op3_fingerprints, op4_quality, op5_secrets, op6_vectors, op7_suffixes, op8_privacy,
+        op9_byte_bpe, op10_minhash)}
 
 SQL: dict[str, str] = {}
