@@ -135,15 +135,16 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     def run(keys, texts):
         ids, sizes = features(texts)
         each = [np.unique(x, return_counts=True) for x in np.split(ids, np.cumsum(sizes)[:-1])]
-        return {"doc_id": keys, "ids": pa.array([x for x, _ in each], pa.list_(pa.int32())),
-                "counts": pa.array([n.astype(np.int32) for _, n in each], pa.list_(pa.int32()))}
+        return {"doc_id": keys, "ids": pa.array([x.astype("<i4").tobytes() for x, _ in each], pa.binary()),
+                "counts": pa.array([n.astype("<i4").tobytes() for _, n in each], pa.binary())}
 
     rows = (map_texts(texts_of(docs).join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-                      run, "doc_id long, ids array<int>, counts array<int>")
-            .join(sample, "doc_id").orderBy("doc_id").toPandas())
-    if rows["quality"].nunique() < 2:
+                      run, "doc_id long, ids binary, counts binary")
+            .join(sample, "doc_id").orderBy("doc_id").collect())
+    if len({r["quality"] for r in rows}) < 2:
         return QualityModel(np.zeros(BUCKETS, np.float32), 0.0)
-    return fit(list(rows["ids"]), list(rows["counts"]), rows["quality"].to_numpy(np.int64))
+    ids, counts = ([np.frombuffer(r[c], "<i4") for r in rows] for c in ("ids", "counts"))
+    return fit(ids, counts, np.array([r["quality"] for r in rows]))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
