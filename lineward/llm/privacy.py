@@ -31,6 +31,8 @@ _WORD = re.compile(r"\w{4,}")
 #: A term is disclosing if so many documents hold both, the entity is in this share of the term's documents,
 #: and knowing the term raises the entity's likelihood by so many bits.
 LEAST_DOCS, LEAST_SHARE, LEAST_BITS = 3, 0.9, 6.0
+#: Up to so many terms near entities are sent to all tasks; more are joined by a shuffle, with equal results.
+_SENT_TERMS = 100_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -121,10 +123,10 @@ def _term_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             found = batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in found]):
+            for a, b in chunks([len(t) for t in found], 1 << 20):
                 for text in found[a:b]:
                     counts.update({w.lower() for w in _WORD.findall(text)})
-                if len(counts) > 200_000:
+                if len(counts) > 100_000:
                     yield out()
                     counts.clear()
         yield out()
@@ -142,9 +144,12 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     near = near.select(F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), "row_key")
     repeats = found.where(F.size("near") > 0).groupBy("row_key").agg(F.count("*").alias("rows"))
     near = near.distinct().join(repeats, "row_key")
-    both = near.groupBy("entity", "term").agg(F.sum("rows").alias("both")).where(F.col("both") >= LEAST_DOCS)
+    both = written(near.groupBy("entity", "term").agg(F.sum("rows").alias("both")).where(F.col("both") >= LEAST_DOCS), "both")
     entity = near.select("entity", "row_key", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_entity"))
-    seen = (_term_counts(texts).join(both.select("term").distinct(), "term", "left_semi")
+    wanted = written(both.select("term").distinct(), "terms")
+    if wanted.count() <= _SENT_TERMS:
+        wanted = F.broadcast(wanted)  # so that counts of other terms are dropped before the shuffle
+    seen = (_term_counts(texts).join(wanted, "term", "left_semi")
             .groupBy("term").agg(F.sum("n").alias("n_term")))
     total = F.lit(float(max(1, found.count())))
     bits = F.log2(F.col("both") * total / (F.col("n_term") * F.col("n_entity")))
