@@ -112,12 +112,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     amount = mix(docs, cut_last=False)
     copies = amount.groupBy(F.col("row_key").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    columns = docs.columns
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(copies, "_key")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("_key")).join(copies, "_key")
     # Repeated rows share their copies; only those are numbered.
     number = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(number <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    repeated = joined.where("_rows > 1").withColumn("_copies", share.cast("long"))
-    every = joined.where("_rows = 1").unionByName(repeated)
-    return every.where("_copies > 0").withColumn(
-        "_", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    repeated = rows.where("_rows > 1").withColumn("_copies", share.cast("long")).where("_copies > 0")
+    every = rows.where("_rows = 1").unionByName(repeated)
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

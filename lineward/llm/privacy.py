@@ -205,20 +205,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text if it is there.
     """
     _, spans = _term_spans(docs)
-    spans = spans.withColumnRenamed("row_key", "_row_key").withColumnRenamed("terms", "_terms")
     key = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit(":"),
                    F.sha2(F.coalesce("text", F.lit("")), 256))
     maybe = F.coalesce(F.col("text").rlike(r"@|\+[0-9]|[0-9][ -]?[0-9]|\.[0-9]"), F.lit(False))
-    joined = docs.where(maybe).withColumn("_row_key", key).join(spans, "_row_key", "left").drop("_row_key")
-    rows = joined.unionByName(docs.where(~maybe).withColumn("_terms", F.lit(None).cast("array<struct<start:int,end:int>>")))
-    at = docs.columns.index("text")
+    whole = docs.select(F.struct("*").alias("row"), F.when(maybe, key).alias("row_key"))
+    rows = whole.where("row_key is not null").join(spans, "row_key", "left").select("row", "terms")
+    rows = rows.union(whole.where("row_key is null").select("row", F.lit(None).cast("array<struct<start:int,end:int>>")))
+    columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            table = batch.select(docs.columns)
-            texts, terms = batch.column("text").to_pylist(), batch.column("_terms").to_pylist()
-            new = [None if t is None else _clean(t, x) for t, x in zip(texts, terms)]
-            yield table.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
+            found = batch.column(0).flatten()
+            texts, terms = found[at].to_pylist(), batch.column(1).to_pylist()
+            found[at] = pa.array([None if t is None else _clean(t, x) for t, x in zip(texts, terms)], found[at].type)
+            yield pa.RecordBatch.from_arrays(found, columns)
 
-    out = rows.select(*docs.columns, "_terms").mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

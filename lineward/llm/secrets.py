@@ -28,6 +28,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PER_CHARACTER = 0.7
 #: Documents whose words are the sample of ordinary strings, by a hash of their id; and random strings made.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
+_LEAN = 5.0
 _SYMBOLS = 96  # printable ASCII, and one for all else
 
 
@@ -35,13 +36,14 @@ def _codes(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 32) & (raw < 127), raw - 31, 0)
 
 
-def _counts(strings: list[str]) -> np.ndarray:
-    """How often each symbol follows each, with one more of each for what the sample lacks."""
-    counts = np.ones((_SYMBOLS, _SYMBOLS))
+def _transitions(strings: list[str]) -> np.ndarray:
+    """Probability of each symbol after each; rare pairs lean on how frequent the symbol is at all."""
+    counts = np.zeros((_SYMBOLS, _SYMBOLS))
     for s in strings:
         c = _codes(np.frombuffer(s.encode("ascii", "replace"), np.uint8).astype(np.int64))
         np.add.at(counts, (c[:-1], c[1:]), 1)
-    return counts
+    alone = (counts.sum(0) + 1) / (counts.sum() + _SYMBOLS)
+    return (counts + _LEAN * alone) / (counts.sum(1, keepdims=True) + _LEAN)
 
 
 @dataclass
@@ -61,8 +63,7 @@ class RandomnessModel:
 
 
 def fit(random_strings: list[str], ordinary: list[str]) -> RandomnessModel:
-    a, b = _counts(random_strings), _counts(ordinary)
-    return RandomnessModel(np.log(a / a.sum(1, keepdims=True)) - np.log(b / b.sum(1, keepdims=True)))
+    return RandomnessModel(np.log(_transitions(random_strings)) - np.log(_transitions(ordinary)))
 
 
 def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
@@ -77,7 +78,8 @@ def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
         for form, group in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0)):
             keys += [m.group(group) for m in form.finditer(text) if len(m.group(group)) >= 16]
             text = form.sub(" ", text)
-        words += re.findall(r"[A-Za-z0-9]{2,}", text)
+        # Long runs with letters and digits are what is looked for, whatever they stand in.
+        words += [w for w in re.findall(r"[A-Za-z0-9]{2,}", text) if len(w) < 16 or w.isalpha()]
     words = words or ["the", "and", "of"]
     names = []
     for i in range(SAMPLE_RANDOM):
