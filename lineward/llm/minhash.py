@@ -4,8 +4,9 @@ Documents of equal shingle sets are one class, however many they are. A class ha
 permutation; an empty bin takes the value of another bin, by an order that is the same for all (optimal
 densification). Bands of values are buckets. In each bucket the class that shares most buckets is the centre,
 and only edges from it are candidates. Links are confirmed on the full sets. A bucket whose classes are then
-not all connected is searched again: the classes of different components are compared by their sketches in
-tiles, and what can still be similar is confirmed as well, so that no link depends on the choice of centres.
+not all connected is searched again: its classes are compared with those of the other components in blocks,
+first by their sketches, then by their full sets, so that no link depends on the choice of centres. A block
+hands on no candidates, only links that join components.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from lineward.llm.common import chunks, components, mix64, texts_of, written
 
 SHINGLE, SIMILARITY = 4, 80
 BINS, ROWS = 128, 4
-#: Classes of a bucket that are compared by one task with as many others.
-BLOCK = 2048
+#: Classes of a family that are compared by one task with as many others.
+BLOCK = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Standard deviations that a sketch's estimate may lie below the similarity.
 _DEVIATIONS = 5
@@ -193,27 +194,73 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket in different components that the sketches don't rule out."""
-    a, b = (pdf[pdf["side"] == s].sort_values("node") for s in (0, 1))
-    out = []
+    """Links between two blocks of a family, as far as they join components: confirmed on the full sets.
+
+    A pair is looked at if its components are still apart and the sketches leave room for the similarity.
+    """
+    x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+    a, b = (pdf[pdf["block"] == k].sort_values("node") for k in (x, y))
+    links: list[tuple[int, int]] = []
     if len(a) and len(b):
-        sb = np.frombuffer(b"".join(b["sketch"]), "<u2").reshape(-1, BINS)
-        nb, lb, kb = (b[c].to_numpy() for c in ("n_shingles", "label", "node"))
-        for n, label, node, sketch in zip(a["n_shingles"], a["label"], a["node"], a["sketch"]):
-            own = np.flatnonzero((lb != label) & (kb != node) & (100 * np.minimum(nb, n) >= SIMILARITY * np.maximum(nb, n)))
-            if len(own):
-                agree = (sb[own] == np.frombuffer(sketch, "<u2")).mean(1)
-                own = own[_possible(np.int64(n), nb[own], agree)]
-                out.append(pd.DataFrame({"a": np.minimum(kb[own], node), "b": np.maximum(kb[own], node)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (bucket, node) of buckets that hold more than one component, with their component."""
+        label_of, labels = np.unique(np.concatenate([a["label"], b["label"]]), return_inverse=True)
+        now = np.arange(len(label_of))  # components that have met count as one
+        la, lb = labels[:len(a)], labels[len(a):]
+        sa, sb = (np.frombuffer(b"".join(f["sketch"]), "<u2").reshape(-1, BINS) for f in (a, b))
+        na, nb, ka, kb, ta, tb = (f[c].to_numpy() for c in ("n_shingles", "node", "text") for f in (a, b))
+        sets: dict[int, np.ndarray] = {}
+
+        def whole(key, text):
+            if key not in sets:
+                sets[key] = shingles([text])[0]
+            return sets[key]
+
+        for j in range(len(b)):
+            some = np.flatnonzero((now[la] != now[lb[j]]) & (100 * np.minimum(na, nb[j]) >= SIMILARITY * np.maximum(na, nb[j])))
+            if x == y:
+                some = some[some < j]
+            if not len(some):
+                continue
+            agree = (sa[some] == sb[j]).mean(1)
+            likely = _possible(na[some], nb[j], agree)
+            for i in some[likely][np.argsort(-agree[likely], kind="stable")].tolist():
+                if now[la[i]] == now[lb[j]]:
+                    continue
+                one, other = whole(ka[i], ta[i]), whole(kb[j], tb[j])
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * both >= SIMILARITY * (len(one) + len(other) - both):
+                    links.append((ka[i], kb[j]))
+                    now[now == now[lb[j]]] = now[la[i]]
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _families(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(hub, node, label): classes of buckets with more than one component, beside the largest one of their bucket.
+
+    Two classes of a bucket are in the family of its hub. A family holds what shares a bucket with its hub,
+    not what shares one with that in turn.
+    """
     placed = components(links)
-    named = members.join(placed, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return named.join(mixed.select("bucket"), "bucket", "left_semi")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n_own"))
+    placed = placed.join(sizes, "component")
+    named = members.select("bucket", "node").join(placed, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("label"), F.coalesce("n_own", F.lit(1)).alias("n_own"))
+    mixed = named.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("n_own", "label")).alias("top")
+    ).where("lo <> hi").select("bucket", F.col("top.label").alias("hub"))
+    return named.join(mixed, "bucket").select("hub", "node", "label").distinct()
+
+
+def _block_pairs(family: DataFrame) -> DataFrame:
+    """Each class with every pair (x, y) of blocks of its family that it is in; pairs within the hub are left out."""
+    own = F.col("label") == F.col("hub")
+    counts = family.groupBy("hub").agg(
+        F.ceil(F.count_if(own) / BLOCK).alias("b_own"), F.ceil(F.count_if(~own) / BLOCK).alias("b_other"))
+    place = F.xxhash64("node")
+    dealt = family.join(counts, "hub").withColumn("block", F.when(own, F.pmod(place, F.col("b_own"))).otherwise(
+        F.col("b_own") + F.pmod(place, F.col("b_other"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_own") + F.col("b_other") - 1)))
+    return dealt.select("hub", "node", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                        "b_own").where("y >= b_own").drop("b_own")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -247,18 +294,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.join(centre, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = written(_confirmed(_sketch_test(star, classes), texts), "links")
 
-    # Buckets with more than one component left: compare their classes across components, block by block.
-    rest = written(_labelled(members, links), "rest")
-    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rest = (rest.join(blocks, "bucket").join(classes.select("node", "n_shingles", "sketch"), "node")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    sides = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "node", "label", "n_shingles", "sketch", F.explode(F.array(
-            F.struct(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side")),
-            F.struct(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side")))).alias("at"))
-    sides = sides.select("bucket", "node", "label", "n_shingles", "sketch", "at.*").where("x <= y")
-    across = sides.groupBy("bucket", "x", "y").applyInPandas(_across, "a long, b long").distinct()
-    more = written(_confirmed(across, texts), "links")
+    # Buckets with more than one component left: their classes are compared across components, block by block.
+    pairs = _block_pairs(written(_families(members, links), "families"))
+    pairs = pairs.join(classes.select("node", "n_shingles", "sketch"), "node").join(texts, "node")
+    more = written(pairs.groupBy("hub", "x", "y").applyInPandas(_across, "a long, b long"), "links")
 
     placed = components(links.union(more))
     named = classes.select("node", "set_key", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
