@@ -60,26 +60,33 @@ def _number(data: str, start: str | int, width: int) -> str:
 
 
 def _directory(content: str) -> str:
-    """Bytes of the central directory; null when the content is not a ZIP file."""
+    """Bytes of the central directory and how far the archive lies behind where it says it starts.
+
+    The directory ends where the end record begins; the last end mark whose comment ends with the file counts,
+    so that marks inside a comment don't. Bytes before the first header move all positions. Null when the
+    content is not a ZIP file.
+    """
     tail = f"decode(substring({content}, greatest(octet_length({content}) - {_END_SEARCH}, 0) + 1, {_END_SEARCH}), 'ISO-8859-1')"
-    end = let_sql(tail, "t", f"""if(contains(t, '{_DIRECTORY_END}'),
-        encode(substring_index(t, '{_DIRECTORY_END}', -1), 'ISO-8859-1'), null)""")
-    place = let_sql(end, "e", f"""if(octet_length(e) >= 18,
-        named_struct('length', {_number('e', 8, 4)}, 'start', {_number('e', 12, 4)}), null)""")
-    return let_sql(place, "d", f"""if(d.start + d.length <= octet_length({content}),
-        substring({content}, cast(d.start + 1 as int), cast(d.length as int)), null)""")
+    # What follows each end mark, to the end of the file.
+    ends = let_sql(f"split({tail}, '{_DIRECTORY_END}', -1)", "p", f"""if(size(p) < 2, array(), transform(sequence(2, size(p)),
+        i -> encode(concat_ws('{_DIRECTORY_END}', slice(p, i, size(p))), 'ISO-8859-1')))""")
+    end = f"element_at(filter({ends}, e -> octet_length(e) >= 18 and octet_length(e) = 18 + {_number('e', 16, 2)}), -1)"
+    place = let_sql(f"try_{end}", "e", f"""if(e is null, null, named_struct('length', {_number('e', 8, 4)}, 'start', {_number('e', 12, 4)},
+        'end', octet_length({content}) - octet_length(e) - 4))""")
+    return let_sql(place, "d", f"""if(d.end >= d.length, named_struct('bytes', substring({content},
+        cast(d.end - d.length + 1 as int), cast(d.length as int)), 'shift', d.end - d.length - d.start), null)""")
 
 
 def _entries(content: str) -> str:
     """Array of the directory entries: name, flags, method, raw size, local header position."""
-    raws = f"""transform(filter(split(decode({_directory(content)}, 'ISO-8859-1'), '{_DIRECTORY_ENTRY}', -1),
+    raws = f"""transform(filter(split(decode(dir.bytes, 'ISO-8859-1'), '{_DIRECTORY_ENTRY}', -1),
         p -> length(p) >= 42), p -> encode(p, 'ISO-8859-1'))"""
     name = f"substring(r, 43, cast({_number('r', 24, 2)} as int))"
-    return f"""transform({raws}, r -> named_struct(
+    return let_sql(_directory(content), "dir", f"""transform({raws}, r -> named_struct(
         'name', if({_number('r', 4, 2)} & 2048 != 0 and is_valid_utf8(cast({name} as string)),
                    cast({name} as string), decode({name}, 'ISO-8859-1')),
         'flags', cast({_number('r', 4, 2)} as int), 'method', cast({_number('r', 6, 2)} as int),
-        'raw_size', {_number('r', 16, 4)}, 'at', {_number('r', 38, 4)}))"""
+        'raw_size', {_number('r', 16, 4)}, 'at', {_number('r', 38, 4)} + dir.shift))""")
 
 
 _LOCKED_ENTRY = "x -> x.flags & 1 = 1"
@@ -90,7 +97,7 @@ def zip_entries(content: str) -> Column:
 
 
 def is_zip(content: str) -> Column:
-    return F.expr(f"startswith({content}, X'{ZIP_HEAD}') and {_directory(content)} is not null")
+    return F.expr(f"{_directory(content)} is not null")
 
 
 def zip_encrypted(content: str) -> Column:
@@ -98,10 +105,15 @@ def zip_encrypted(content: str) -> Column:
     return F.expr(f"coalesce(exists({_entries(content)}, {_LOCKED_ENTRY}), false)")
 
 
-def zip_member(content: str, entry: str) -> Column:
-    """Raw, still compressed bytes of one entry, which follow its local header."""
-    sizes = f"{_number(content, f'{entry}.at + 26', 2)} + {_number(content, f'{entry}.at + 28', 2)}"
-    return F.expr(f"substring({content}, cast({entry}.at + 31 + {sizes} as int), cast({entry}.raw_size as int))")
+def zip_members(content: str) -> Column:
+    """Array of name, method and raw (still compressed) bytes of all entries; the content is read once.
+
+    The bytes of an entry follow its local header, whose own name and extra field lengths count.
+    """
+    sizes = f"{_number('c', 'x.at + 26', 2)} + {_number('c', 'x.at + 28', 2)}"
+    raw = f"substring(c, cast(x.at + 31 + {sizes} as int), cast(x.raw_size as int))"
+    return F.expr(let_sql(content, "c", f"""transform({_entries('c')},
+        x -> named_struct('name', x.name, 'method', x.method, 'raw', {raw}))"""))
 
 
 def detected_ext(extension: str, content: str) -> Column:
@@ -129,7 +141,7 @@ def diagnose(extension: str, content: str) -> Column:
 
 
 def low_text(size: Column, text: Column) -> Column:
-    """A sizeable file that yields next to no text counts as unreadable."""
+    """A sizeable file that yields next to no text: labelled, and scanned like any other."""
     from lineward.functions.keywords import strip
 
     return (size > LOW_TEXT_SIZE) & (F.char_length(strip(text)) < LOW_TEXT_CHARS)

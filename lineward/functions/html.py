@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,22 +29,28 @@ HREF = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _BLANK_NODE = "^[ \t\n\f\r]+\\z"
 
 
+# What the numbers 128 to 159 stand for in pages, by the standard (as in Windows-1252).
+_HIGH_CONTROLS = {cp: bytes([cp]).decode("cp1252") for cp in range(128, 160) if cp not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def _entity_value(token: Column) -> Column:
-    """Character for one entity token, the token itself when it is unknown."""
-    body = F.rtrim(F.substring(token, 2, 40), F.lit(";"))
+    """Character for one entity token, the token itself when it is unknown. Leading zeros of a number don't count."""
+    body = F.rtrim(F.substring(token, F.lit(2), F.length(token)), F.lit(";"))
     names = F.from_json(F.lit(json.dumps(_named_entities())), "map<string,string>")
-    hexed = F.regexp_extract(body, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
-    decimal = F.regexp_extract(body, "^#([0-9]{1,7})$", 1)
+    hexed = F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]{1,6})$", 1)
+    decimal = F.regexp_extract(body, "^#0*([0-9]{1,7})$", 1)
     code = F.coalesce(
         F.conv(F.nullif(hexed, F.lit("")), 16, 10).cast("int"),
         F.nullif(decimal, F.lit("")).cast("int"))
     usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(F.when(usable, char), F.try_element_at(names, body), token)
+    high = F.get(F.array(*[F.lit(_HIGH_CONTROLS.get(cp, chr(cp))) for cp in range(128, 160)]), code - 128)
+    return F.coalesce(F.when(code.between(128, 159), high), F.when(usable, char), F.try_element_at(names, body), token)
 
 
 def _named_entities() -> dict[str, str]:
-    return {"apos": "'", **{name: chr(cp) for name, cp in name2codepoint.items()}}
+    """All names of the standard, without their semicolons."""
+    return {name.rstrip(";"): value for name, value in html5.items()}
 
 
 def unescape(c: Column) -> Column:

@@ -10,36 +10,43 @@ from pyspark.sql import functions as F
 from lineward.functions.binding import let
 from lineward.functions.keywords import strip
 
-# Lines per request, characters per request, and limits of what is shown.
+# Lines per request, characters per request and how many of them the next one repeats, and
+# limits of what is shown.
 BATCH_LINES = 10
 MAX_CHARS = 4000
+OVERLAP_CHARS = 200
 LOCATE_CHARS = 30
 CONTENT_CHARS = 120
 FALLBACK_CHARS = 200
 AFFIRMATIVE = ["true", "是", "包含", "涉密"]
 UNKNOWN = "unknown"
-TRUNCATED = "...(text cut here)"
 
 _INSTRUCTION = (
-    "Decide whether the text below holds sensitive information.\n"
-    "Keywords: {keywords}\n"
-    "Count every occurrence of a keyword, also in everyday phrases, and variants with blanks or "
-    "symbols between the letters. A text without any of these is not sensitive.\n"
-    'Answer with JSON only: {{"has_sensitive": true or false, "matches": [{{"keyword": "...", '
-    '"context": "words around it, copied", "reason": "..."}}]}}\n'
+    "You are checking a text for confidential terms: {keywords}.\n"
+    "Report each place where one of them is written, however it is spaced or punctuated and whatever it means "
+    "there. If none is written, report nothing.\n"
+    'Reply with one JSON object, {{"has_sensitive": true|false, "matches": [{{"keyword": "", "context": "", '
+    '"reason": ""}}]}}; a context repeats the words of the text around the place.\n'
     "Text:\n"
 )
 _MATCH = "keyword:string,context:string,reason:string"
 _ANSWER = f"has_sensitive:string,matches:array<struct<{_MATCH}>>"
 
 
-def truncate(text: Column) -> Column:
-    return F.when(F.char_length(text) > MAX_CHARS,
-                  F.concat(F.left(text, F.lit(MAX_CHARS)), F.lit(TRUNCATED))).otherwise(text)
+def windows(text: Column) -> Column:
+    """Array of (window_no, part): a text that is too long for one request in overlapping parts, all of it."""
+    step = MAX_CHARS - OVERLAP_CHARS
+    more = F.greatest(F.lit(0), F.ceil((F.char_length(text) - MAX_CHARS) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), more), lambda i: F.struct(
+        i.alias("window_no"), F.substring(text, i * step + 1, F.lit(MAX_CHARS)).alias("part")))
 
 
-def prompt(text: Column, keywords: list[str]) -> Column:
-    return F.concat(F.lit(_INSTRUCTION.format(keywords=", ".join(keywords))), truncate(text))
+def instruction(keywords: list[str]) -> str:
+    return _INSTRUCTION.format(keywords=", ".join(keywords))
+
+
+def prompt(part: Column, keywords: list[str]) -> Column:
+    return F.concat(F.lit(instruction(keywords)), part)
 
 
 def batches(text: Column) -> Column:
@@ -88,9 +95,15 @@ def parse(response: Column) -> Column:
 
 
 def locate(lines: Column, start: Column, context: Column) -> Column:
-    """Number of the first line holding the beginning of the context, else of the first line."""
-    def first(short: Column) -> Column:
-        hit = F.when(short != "", F.array_position(F.transform(lines, lambda x: x.contains(short)), True))
-        return (start + F.coalesce(F.nullif(hit, F.lit(0)), F.lit(1))).cast("int")
-
-    return let(strip(F.left(context, F.lit(LOCATE_CHARS))), first)
+    """Number of the line where the context is: the first that holds the context's first line, else the
+    first that holds its beginning, else the first of all."""
+    def position(short: Column) -> Column:
+        return F.nullif(F.array_position(F.transform(lines, lambda x: x.contains(short)), True), F.lit(0))
+
+    def first(c: Column) -> Column:
+        hit = F.when(c["line"] != "", F.coalesce(position(c["line"]), F.when(c["short"] != "", position(c["short"]))))
+        return (start + F.coalesce(hit, F.lit(1))).cast("int")
+
+    whole = strip(context)
+    return let(F.struct(strip(F.substring_index(whole, "\n", 1)).alias("line"),
+                        strip(F.left(context, F.lit(LOCATE_CHARS))).alias("short")), first)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from lineward.operators.keyword_scan import line_findings
 from lineward.session import ensure_checkpoint_dir
 
 OK, ENCRYPTED, DAMAGED, MISSING_READER = "ok", "encrypted", "damaged", "missing_reader"
-MAX_ARCHIVE_DEPTH = 3
+LOW_TEXT, TOO_DEEP = "low_text", "too_deep"
 _BATCH_BYTES = 32 << 20
 
 
@@ -142,24 +143,18 @@ def open_archives(archives: DataFrame, exts: list[str]) -> DataFrame:
         F.concat(F.col("member_path"), F.lit("!"), F.col("e.name")))
     raw = (
         archives.where(F.col("status") == OK)
-        .select("path", "member_path", "depth", "content", F.explode(P.zip_entries("content")).alias("e"))
+        .select("path", "member_path", "depth", F.explode(P.zip_members("content")).alias("e"))
         .where(P.ext(F.col("e.name")).isin(exts))
-        .select("path", inner.alias("member_path"), "depth", F.col("e.method").alias("method"),
-                P.zip_member("content", "e").alias("raw")))
-    opened = raw.repartition(_spread(archives)).mapInPandas(_inflate, _MEMBER_SCHEMA)
+        .select("path", inner.alias("member_path"), "depth", "e.method", "e.raw"))
+    opened = raw.hint("rebalance").mapInPandas(_inflate, _MEMBER_SCHEMA)
     return opened.withColumn("ext", P.ext(F.col("member_path")))
 
 
-def _spread(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-               df.sparkSession.sparkContext.defaultParallelism)
+def expand_archives(files: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members of the archives among ``files``, nested archives followed to the last.
 
-
-def expand_archives(files: DataFrame, max_depth: int = MAX_ARCHIVE_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Members of the archives among ``files``, nested archives followed to ``max_depth``.
-
-    Returns the members (documents only) and the status of every archive met. Archives nested
-    deeper are left alone. Each round opens one level. Only nested archives are written to a
+    Returns the members (documents only) and the status of every archive met. With ``max_depth``
+    archives nested deeper aren't opened and have the status too_deep. Each round opens one level. Only nested archives are written to a
     checkpoint between rounds; documents are decompressed when the result is used.
     """
     spark = files.sparkSession
@@ -168,12 +163,13 @@ def expand_archives(files: DataFrame, max_depth: int = MAX_ARCHIVE_DEPTH) -> tup
         "path", F.lit("").alias("member_path"), F.lit(0).alias("depth"), "content")
     members = spark.createDataFrame([], _MEMBER_SCHEMA + ", ext string")
     statuses = spark.createDataFrame([], "path string, member_path string, depth int, status string")
-    for depth in range(max_depth + 1):
+    for depth in count():
         name = F.when(F.col("member_path") == "", F.col("path")).otherwise(F.col("member_path"))
-        level = level.withColumn("status", archive_status(P.ext(name), "content"))
+        level = level.withColumn("status", archive_status(P.ext(name), "content") if max_depth is None or depth <= max_depth
+                                 else F.lit(TOO_DEEP))
         statuses = statuses.unionByName(level.select("path", "member_path", "depth", "status"))
         members = members.unionByName(open_archives(level, P.DOCUMENT_EXTS))
-        if depth == max_depth:
+        if max_depth is not None and depth > max_depth:
             break
         level = open_archives(level, P.ARCHIVE_EXTS).select(
             "path", "member_path", (F.col("depth") + 1).cast("int").alias("depth"), "content").checkpoint()
@@ -198,7 +194,7 @@ def with_status(extracted: DataFrame) -> DataFrame:
     def reason(diagnosis: Column) -> Column:
         return (
             F.when(text.isNull(), diagnosis).when(told.isin(ENCRYPTED, DAMAGED, MISSING_READER), told)
-            .when(diagnosis == ENCRYPTED, ENCRYPTED).when(diagnosis.isNotNull(), "low_text").otherwise(OK))
+            .when(diagnosis == ENCRYPTED, ENCRYPTED).when(diagnosis.isNotNull(), LOW_TEXT).otherwise(OK))
 
     def outcome(reason: Column) -> Column:
         status = F.when(reason.isin(OK, ENCRYPTED, MISSING_READER), reason).otherwise(DAMAGED)
@@ -211,8 +207,8 @@ def with_status(extracted: DataFrame) -> DataFrame:
 
 
 def findings(checked: DataFrame, keywords: list[str]) -> DataFrame:
-    """Line findings of the readable files: path, line, content, keyword and detected type."""
-    texts = checked.where(F.col("status") == OK).select(
+    """Line findings of all files that gave a text: path, line, content, keyword and detected type."""
+    texts = checked.where((F.col("status") == OK) | (F.col("reason") == LOW_TEXT)).select(
         "path", F.col("detected_ext").alias("file_type"), "text")
     return line_findings(texts, keywords)
 

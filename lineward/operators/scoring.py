@@ -55,8 +55,21 @@ def line_batches(df: DataFrame, text: str = "text") -> DataFrame:
     ).where(strip(F.col("batch_text")) != "")
 
 
+def stored_scorer(answers: DataFrame) -> Scorer:
+    """Answers that were given before, looked up by the md5 of the prompt: ``answers(prompt_key, response)``."""
+    known = answers.groupBy("prompt_key").agg(F.min("response").alias("response"))
+
+    def apply(df: DataFrame) -> DataFrame:
+        asked = df.withColumn("prompt_key", F.md5("prompt")).join(known, "prompt_key", "left").drop("prompt_key")
+        return asked.withColumn("error", F.when(F.col("response").isNull(), "no stored answer"))
+
+    return apply
+
+
 def prompts(batches: DataFrame, keywords: list[str], text: str = "batch_text") -> DataFrame:
-    return batches.withColumn("prompt", S.prompt(F.col(text), keywords))
+    """A row for each request: long texts are asked about in overlapping windows, ``window_no`` from 0."""
+    split = batches.select("*", F.inline(S.windows(F.col(text))))
+    return split.withColumn("prompt", S.prompt(F.col("part"), keywords)).drop("part")
 
 
 def verdicts(scored: DataFrame) -> DataFrame:
@@ -71,11 +84,11 @@ def batch_findings(scored: DataFrame, ids: list[str]) -> DataFrame:
     """
     positive = F.when(F.col("verdict.has_sensitive"), F.col("verdict.matches"))
     hits = verdicts(scored).select(
-        *ids, "batch_no", "start", "lines", F.posexplode(positive).alias("_pos", "_m"))
+        *ids, "batch_no", "window_no", "start", "lines", F.posexplode(positive).alias("_pos", "_m"))
     placed = hits.select(
-        *ids, "batch_no", "_pos", S.locate(F.col("lines"), F.col("start"), F.col("_m.context")).alias("line_no"),
+        *ids, "batch_no", "window_no", "_pos", S.locate(F.col("lines"), F.col("start"), F.col("_m.context")).alias("line_no"),
         F.left(F.col("_m.context"), F.lit(S.CONTENT_CHARS)).alias("content"), F.col("_m.keyword").alias("keyword"))
-    first = F.min(F.struct("batch_no", "_pos", "content"))
+    first = F.min(F.struct("batch_no", "window_no", "_pos", "content"))
     return placed.groupBy(*ids, "line_no", "keyword").agg(first.alias("_first")).select(
         *ids, "line_no", F.col("_first.content").alias("content"), "keyword")
 
@@ -104,15 +117,14 @@ def table_findings(spec: B.TableSpec, keywords: list[str], scorer: Scorer,
     asked = prompts(
         B.cells(rows, ["_key", "record_id"], texts).where(strip(F.col("value")) != ""), keywords, "value")
     positive = F.when(F.col("verdict.has_sensitive"), F.array("verdict"))
-    said = verdicts(scorer(asked)).select("_key", "record_id", "field", F.explode(positive).alias("verdict"))
+    said = verdicts(scorer(asked)).select("_key", "record_id", "field", "window_no", F.explode(positive).alias("verdict"))
     contexts = F.filter(F.col("verdict.matches.context"), lambda c: c != "")
-    found = said.select(
-        "_key", "record_id", "field", F.col("verdict.matches.keyword").alias("_kws"),
-        F.left(F.coalesce(F.get(contexts, F.lit(0)), F.lit("")), F.lit(S.CONTENT_CHARS)).alias("content"))
-    if not (spec.unique_key or not spec.keys):
-        found = found.groupBy("_key", "record_id", "field").agg(
-            F.flatten(F.collect_set("_kws")).alias("_kws"),
-            F.coalesce(F.min(F.nullif("content", F.lit(""))), F.lit("")).alias("content"))
+    content = F.left(F.get(contexts, F.lit(0)), F.lit(S.CONTENT_CHARS))
+    # Windows of a cell, and cells of one key, are merged; what is positive is little.
+    found = said.groupBy("_key", "record_id", "field").agg(
+        F.flatten(F.collect_set("verdict.matches.keyword")).alias("_kws"),
+        F.min(F.when(content.isNotNull(), F.struct("window_no", content.alias("content")))).alias("_first"))
+    found = found.withColumn("content", F.coalesce("_first.content", F.lit("")))
     return found.select(
         F.lit(spec.name).alias("table"), "field", "record_id",
         F.array_join(F.array_sort(F.array_distinct("_kws")), ", ").alias("keyword"), "content")

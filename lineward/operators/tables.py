@@ -83,11 +83,11 @@ def _is_candidate(df: DataFrame, keywords: list[str], ignore_case: bool, prefilt
 
 
 def candidates(df: DataFrame, keywords: list[str], ignore_case: bool = True,
-               prefilter: str = "exact") -> DataFrame:
+               prefilter: str = "fuzzy") -> DataFrame:
     """Rows where some text column contains some keyword.
 
-    ``prefilter='exact'`` looks for keywords as written, so spaced-out variants only show up in
-    rows that also hold an exact keyword; ``'fuzzy'`` lifts that restriction.
+    ``prefilter='fuzzy'`` loses nothing. ``'exact'`` looks for keywords as written, which a source can do
+    itself, so that spaced-out variants only show up in rows that also hold an exact keyword.
     """
     return df.where(_is_candidate(df, keywords, ignore_case, prefilter))
 
@@ -137,7 +137,7 @@ _FINDING = "table string, field string, record_id string, keyword string"
 
 
 def findings(spec: TableSpec, keywords: list[str], ignore_case: bool = True,
-             prefilter: str = "exact") -> DataFrame:
+             prefilter: str = "fuzzy") -> DataFrame:
     """Findings per (table, field, record id), surface texts of all lines of a cell united.
 
     Equal ids of a key that is not unique are merged after a map-side ``distinct``.
@@ -180,7 +180,7 @@ def matched_records(found: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def table_stats(spec: TableSpec, keywords: list[str], ignore_case: bool = True,
-                prefilter: str = "exact") -> DataFrame:
+                prefilter: str = "fuzzy") -> DataFrame:
     """Total, candidate and matched records of a table in one pass over its text columns.
 
     A table without text columns reports zero records, an empty one zero matches.

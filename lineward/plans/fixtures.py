@@ -181,7 +181,7 @@ OCR_SQL = f"""(SELECT {_IMAGE_PATH_SQL} AS image_path, text, ((conv_id * 31 + tu
 
 def responses(t) -> DataFrame:
     """Answers of five kinds, built from the document texts."""
-    words = F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(50))
+    words = F.regexp_replace("text", "[^a-zA-Z ]", "")
     answer = F.concat(F.lit('{"has_sensitive": true, "matches": [{"keyword": "k'), F.col("doc_id"),
                       F.lit('", "context": "'), words, F.lit('"}]}'))
     kind = F.col("doc_id") % 5
@@ -235,7 +235,7 @@ def files(t) -> DataFrame:
     return t.documents.select(
         "doc_id", _file_path().alias("path"), content.alias("content"),
         (F.octet_length(body) + padding).cast("long").alias("size"),
-        F.when(doc % 11 == 0, None).when(doc % 10 == 0, "   ab ").otherwise(F.col("text")).alias("text"),
+        F.when(doc % 11 == 0, None).when(doc % 10 == 0, "  token ").otherwise(F.col("text")).alias("text"),
         F.when(locked, "encrypted").otherwise("ok").alias("extract_status"))
 
 
@@ -245,7 +245,7 @@ _TYPED_SQL = f"""(SELECT doc_id, '/data/' || source || '/' || CASE WHEN doc_id %
     {_EXT_SQL} AS ext, (doc_id // 8) % 7 AS head, doc_id % 13 = 0 AS locked, doc_id % 17 = 0 AS is_hidden,
     CASE WHEN doc_id % 8 < 6 THEN 'document' WHEN doc_id % 8 = 6 THEN 'archive' ELSE 'unsupported' END AS route,
     octet_length(encode(text)) + CASE WHEN doc_id % 10 = 0 THEN 20000 ELSE 0 END AS size,
-    CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN '   ab ' ELSE text END AS text FROM documents)"""
+    CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN '  token ' ELSE text END AS text FROM documents)"""
 TYPED_SQL = f"""(SELECT *, CASE WHEN route <> 'document' THEN ext WHEN head = 2 THEN '.pdf'
     WHEN head IN (3, 6) THEN '.docx' WHEN head = 4 THEN '.xlsx' ELSE ext END AS detected_ext FROM {_TYPED_SQL})"""
 _DIAGNOSIS_SQL = """CASE

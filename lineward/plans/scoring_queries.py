@@ -26,11 +26,12 @@ def _docs(t):
     return t.documents.select("doc_id", "text")
 
 
-def contains_scorer(column: str, keywords: list[str]):
-    """Deterministic scorer: a keyword found as written is a match with its surroundings."""
+def contains_scorer(keywords: list[str]):
+    """Deterministic scorer: a keyword found as written in the prompt's text is a match with its surroundings."""
+    begin = len(S.instruction(keywords)) + 1
 
     def apply(df):
-        text = F.col(column)
+        text = F.col("_asked")
         found = [
             F.when(F.lower(text).contains(k), F.struct(
                 F.lit(k).alias("keyword"),
@@ -38,7 +39,8 @@ def contains_scorer(column: str, keywords: list[str]):
                 F.lit("as written").alias("reason"))) for k in keywords]
         hit = reduce(lambda a, b: a | b, [F.lower(text).contains(k) for k in keywords])
         answer = F.to_json(F.struct(hit.alias("has_sensitive"), F.array_compact(F.array(*found)).alias("matches")))
-        return df.withColumns({"response": answer, "error": F.lit(None).cast("string")})
+        asked = df.withColumn("_asked", F.expr(f"substring(prompt, {begin})"))
+        return asked.withColumns({"response": answer, "error": F.lit(None).cast("string")}).drop("_asked")
 
     return apply
 
@@ -48,21 +50,29 @@ def llm_batches(t):
     return M.line_batches(_docs(t)).select("doc_id", "batch_no", "start", "batch_text")
 
 
-_TRUNCATED = f"CASE WHEN length(text) > {S.MAX_CHARS} THEN substring(text, 1, {S.MAX_CHARS}) || {Q.lit(S.TRUNCATED)} ELSE text END"
+_STEP = S.MAX_CHARS - S.OVERLAP_CHARS
 
 
-@query("llm_truncate", f"SELECT doc_id, {_TRUNCATED} AS text FROM documents")
+def windows_sql(src: str, text: str) -> str:
+    """Rows of ``src`` for each window of a text, with its number ``w`` and ``part``."""
+    return f"""(SELECT *, substring({text}, 1 + w * {_STEP}, {S.MAX_CHARS}) AS part FROM (
+        SELECT *, CAST(unnest(range(1 + greatest(0, CAST(ceil((length({text}) - {S.MAX_CHARS}) / {_STEP}.0) AS INTEGER)))) AS INTEGER) AS w
+        FROM {src}))"""
+
+
+@query("llm_truncate", f"SELECT doc_id, w AS window_no, part AS text FROM {windows_sql('documents', 'text')}")
 def llm_truncate(t):
-    return t.documents.select("doc_id", S.truncate(F.col("text")).alias("text"))
+    """Texts too long for a request are not cut off but asked about in windows."""
+    return t.documents.select("doc_id", F.inline(S.windows(F.col("text")))).withColumnRenamed("part", "text")
 
 
 @query("llm_prompt", f"""
-SELECT doc_id, {Q.lit(S._INSTRUCTION.format(keywords=', '.join(KW)))} || {_TRUNCATED} AS prompt FROM documents""")
+SELECT doc_id, w AS window_no, {Q.lit(S.instruction(KW))} || part AS prompt FROM {windows_sql('documents', 'text')}""")
 def llm_prompt(t):
-    return M.prompts(_docs(t), KW, "text").select("doc_id", "prompt")
+    return M.prompts(_docs(t), KW, "text").select("doc_id", "window_no", "prompt")
 
 
-_WORDS = "substring(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 50)"
+_WORDS = "regexp_replace(text, '[^a-zA-Z ]', '', 'g')"
 
 
 @query("llm_parse", f"""
@@ -87,9 +97,13 @@ def _context_sql(kw: str, text: str = "batch_text") -> str:
 
 
 def _located_sql(context: str) -> str:
+    def place(part: str) -> str:
+        return f"nullif(list_position([contains(x, {part}) FOR x IN lines], TRUE), 0)"
+
+    line = Q.strip(f"split_part({Q.strip(context)}, chr(10), 1)")
     short = Q.strip(f"substring({context}, 1, 30)")
-    return f"""CAST(start + coalesce(CASE WHEN {short} <> '' THEN
-        nullif(list_position([contains(x, {short}) FOR x IN lines], TRUE), 0) END, 1) AS INTEGER)"""
+    return f"""CAST(start + coalesce(CASE WHEN {line} <> '' THEN {place(line)} END,
+        CASE WHEN {line} <> '' AND {short} <> '' THEN {place(short)} END, 1) AS INTEGER)"""
 
 
 @query("llm_locate_line", f"""
@@ -101,28 +115,28 @@ def llm_locate_line(t):
 
 
 _MATCHES = " UNION ALL ".join(
-    f"SELECT doc_id, batch_no, start, lines, {i} AS pos, '{k}' AS keyword, {_context_sql(k)} AS context"
-    f" FROM {_BATCHES} WHERE contains(lower(batch_text), '{k}')" for i, k in enumerate(KW))
+    f"SELECT doc_id, batch_no, w, start, lines, {i} AS pos, '{k}' AS keyword, {_context_sql(k, 'part')} AS context"
+    f" FROM {windows_sql(_BATCHES, 'batch_text')} WHERE contains(lower(part), '{k}')" for i, k in enumerate(KW))
 
 
 @query("llm_findings", f"""
 SELECT doc_id, line_no, substring(context, 1, 120) AS content, keyword FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, keyword ORDER BY batch_no, pos) AS n
+    SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, keyword ORDER BY batch_no, w, pos) AS n
     FROM (SELECT *, {_located_sql('context')} AS line_no FROM ({_MATCHES})))
 WHERE n = 1""")
 def llm_findings(t):
-    return M.scored_findings(_docs(t), "doc_id", KW, contains_scorer("batch_text", KW))
+    return M.scored_findings(_docs(t), "doc_id", KW, contains_scorer(KW))
 
 
 _CELL_MATCHES = " UNION ALL ".join(
-    f"SELECT tbl, field, record_id, {i} AS pos, '{k}' AS keyword, {_context_sql(k, 'value')} AS context"
-    f" FROM {cells_sql('part', KWT)} WHERE contains(lower(value), '{k}')" for i, k in enumerate(KWT))
+    f"SELECT tbl, field, record_id, w * 100 + {i} AS pos, '{k}' AS keyword, {_context_sql(k, 'part')} AS context"
+    f" FROM {windows_sql(cells_sql('part', KWT), 'value')} WHERE contains(lower(part), '{k}')" for i, k in enumerate(KWT))
 
 
 @query("llm_table_findings", f"""
-SELECT tbl AS "table", field, record_id, string_agg(keyword, ', ' ORDER BY keyword) AS keyword,
+SELECT tbl AS "table", field, record_id, string_agg(DISTINCT keyword, ', ' ORDER BY keyword) AS keyword,
        substring(arg_min(context, pos), 1, 120) AS content
 FROM ({_CELL_MATCHES}) GROUP BY tbl, field, record_id""")
 def llm_table_findings(t):
     part = T.TableSpec("part", t.part, keys_of("part"), unique_key=True)
-    return M.table_findings(part, KWT, contains_scorer("value", KWT))
+    return M.table_findings(part, KWT, contains_scorer(KWT))

@@ -113,15 +113,16 @@ def img_apply_ocr(t):
     return I.explode_items(read).select("md5", "text", "position")
 
 
-def _counter():
-    """Stand-in for a model: it answers with the number of characters asked about."""
-    return lambda prompt: str(len(prompt))
-
-
-@query("llm_score", f"SELECT doc_id, CAST(length(prompt) AS VARCHAR) AS response, CAST(NULL AS VARCHAR) AS error FROM ({SQL['llm_prompt']})")
+@query("llm_score", f"""
+WITH asked AS (SELECT doc_id, window_no, md5(prompt) AS k FROM ({SQL['llm_prompt']})),
+known AS (SELECT k, CAST(min(window_no) AS VARCHAR) AS response FROM asked WHERE doc_id % 3 > 0 GROUP BY k)
+SELECT doc_id, window_no, response, CASE WHEN response IS NULL THEN 'no stored answer' END AS error
+FROM asked LEFT JOIN known USING (k)""")
 def llm_score(t):
+    """Stored answers, known for the prompts of two documents in three."""
     asked = M.prompts(t.documents.select("doc_id", "text"), KW, "text")
-    return M.python_scorer(_counter)(asked).select("doc_id", "response", "error")
+    known = asked.where("doc_id % 3 > 0").select(F.md5("prompt").alias("prompt_key"), F.col("window_no").cast("string").alias("response"))
+    return M.stored_scorer(known)(asked).select("doc_id", "window_no", "response", "error")
 
 
 def _drain(writer, folder: str) -> None:

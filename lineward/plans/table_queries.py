@@ -42,7 +42,7 @@ def texts_of(name: str) -> list[str]:
 
 
 def specs(t, names, source_id=""):
-    return [T.TableSpec(n, getattr(t, n), keys_of(n), source_id=source_id) for n in names]
+    return [T.TableSpec(n, getattr(t, n), keys_of(n), unique_key=n != "lineitem", source_id=source_id) for n in names]
 
 
 def id_sql(name: str) -> str:
@@ -56,12 +56,17 @@ def text_sql(name: str) -> list[str]:
     return [f"CAST({c} AS VARCHAR)" for c in texts_of(name)]
 
 
+def candidate_sql(name: str, keywords: list[str]) -> str:
+    """Rows with a match in some text column."""
+    return "(" + " OR ".join(f"coalesce(regexp_matches({c}, {Q.pattern(keywords)}), FALSE)" for c in text_sql(name)) + ")"
+
+
 def cells_sql(name: str, keywords: list[str], src: str | None = None, label: str | None = None) -> str:
     """Text cells of the candidate rows of a table."""
     return "(" + " UNION ALL ".join(
         f"SELECT '{label or name}' AS tbl, '{c}' AS field, {id_sql(name)} AS record_id,"
         f" CAST({c} AS VARCHAR) AS value FROM {src or name}"
-        f" WHERE {contains_sql(text_sql(name), keywords)}" for c in texts_of(name)) + ")"
+        f" WHERE {candidate_sql(name, keywords)}" for c in texts_of(name)) + ")"
 
 
 def findings_group_sql(name: str, keywords: list[str], src=None, label=None) -> str:
@@ -76,7 +81,7 @@ def stats_sql(name: str, keywords: list[str], src: str | None = None, label: str
               source_id: str = "") -> str:
     return f"""SELECT '{source_id}' AS source_id, '{label or name}' AS "table",
         (SELECT count(*) FROM {src or name}) AS total_records,
-        (SELECT count(*) FROM {src or name} WHERE {contains_sql(text_sql(name), keywords)}) AS candidate_records,
+        (SELECT count(*) FROM {src or name} WHERE {candidate_sql(name, keywords)}) AS candidate_records,
         (SELECT count(DISTINCT record_id) FROM ({findings_group_sql(name, keywords, src)})) AS matched_records,
         CAST({len(LAYOUT[name][1])} AS INTEGER) AS n_columns,
         CAST({len(texts_of(name))} AS INTEGER) AS n_text_columns"""
@@ -110,6 +115,15 @@ def tbl_text_columns(t):
     f"SELECT '{n}' AS \"table\", {id_sql(n)} AS record_id FROM {n} WHERE {contains_sql(text_sql(n), KWT)}"
     for n in ("part", "orders", "customer")))
 def tbl_candidates(t):
+    return T._union(
+        T.candidates(s.df, KWT, prefilter="exact").select(F.lit(s.name).alias("table"), T.record_id(list(s.keys)).alias("record_id"))
+        for s in specs(t, ["part", "orders", "customer"]))
+
+
+@query("tbl_candidates_fuzzy", union_sql(
+    f"SELECT '{n}' AS \"table\", {id_sql(n)} AS record_id FROM {n} WHERE {candidate_sql(n, KWT)}"
+    for n in ("part", "orders", "customer")))
+def tbl_candidates_fuzzy(t):
     return T._union(
         T.candidates(s.df, KWT).select(F.lit(s.name).alias("table"), T.record_id(list(s.keys)).alias("record_id"))
         for s in specs(t, ["part", "orders", "customer"]))
@@ -125,7 +139,7 @@ SELECT CAST(row_number() OVER (ORDER BY p_name, p_brand, p_type) AS VARCHAR) AS
        p_name, p_brand, p_type
 FROM part WHERE {contains_sql(text_sql('part'), KWT)}""")
 def tbl_record_id_position(t):
-    rows = T.candidates(t.part, KWT).select("p_name", "p_brand", "p_type")
+    rows = T.candidates(t.part, KWT, prefilter="exact").select("p_name", "p_brand", "p_type")
     return T.with_record_id(rows, [])
 
 
@@ -141,9 +155,7 @@ def tbl_cells(t):
     [findings_group_sql("part", KWT), findings_group_sql("orders", KWT)]
     + [f"""SELECT 'documents' AS "table", 'text' AS field, CAST(doc_id AS VARCHAR) AS record_id,
         array_to_string(list_sort(list(DISTINCT kw)), ', ') AS keyword
-        FROM (SELECT doc_id, {Q.joined('ms')} AS kw FROM {Q.matches(
-            f"(SELECT doc_id, text FROM documents WHERE {contains_sql(['text', 'lang', 'source'], KW)})",
-            'doc_id', KW)}) GROUP BY doc_id"""]))
+        FROM (SELECT doc_id, {Q.joined('ms')} AS kw FROM {Q.matches("documents", 'doc_id', KW)}) GROUP BY doc_id"""]))
 def tbl_findings(t):
     docs = T.TableSpec("documents", t.documents, ("doc_id",), unique_key=True)
     return T.database_findings(specs(t, ["part", "orders"]), KWT).unionByName(T.findings(docs, KW))
@@ -154,6 +166,12 @@ def tbl_findings_composite_key(t):
     return T.database_findings(specs(t, ["lineitem"]), KWD)
 
 
+@query("tbl_findings_shared_key", findings_group_sql("orders", KWD).replace(id_sql("orders"), "CAST(o_custkey AS VARCHAR)"))
+def tbl_findings_shared_key(t):
+    """A key that many rows share: their findings are merged."""
+    return T.findings(T.TableSpec("orders", t.orders, ("o_custkey",)), KWD)
+
+
 @query("tbl_matched_records", f"""
 SELECT "table", count(DISTINCT record_id) AS matched_records
 FROM ({union_sql([findings_group_sql('part', KWT), findings_group_sql('customer', KWT)])}) GROUP BY "table" """)

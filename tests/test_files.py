@@ -131,10 +131,24 @@ def test_archives(spark):
     assert got[("plain.zip", "")] == "ok" and got[("locked.zip", "")] == "encrypted" and got[("cut.zip", "")] == "damaged"
     assert got[("notzip.zip", "")] == "damaged" and got[("inner.zip", "lock.zip")] == "encrypted"
     assert got[("inner.zip", "r.rar")] == "missing_reader" and got[("a.7z", "")] == "missing_reader"
-    assert len([k for k in got if k[0] == "deep4.zip"]) == 4 and len([k for k in got if k[0] == "deep3.zip"]) == 4
+    assert len([k for k in got if k[0] == "deep4.zip"]) == 5 and len([k for k in got if k[0] == "deep3.zip"]) == 4
     found = {(r.path[3:], r.member_path, r.file_type) for r in L.member_findings(members, ["token", "秘密"]).collect()}
     assert found == {("plain.zip", "x/a.txt", "[in archive .txt]"), ("plain.zip", "b.docx", "[in archive .docx]"),
-                     ("plain.zip", "机.txt", "[in archive .txt]"), ("deep3.zip", "n2.zip!n1.zip!n0.zip!t.txt", "[in archive .txt]")}
+                     ("plain.zip", "机.txt", "[in archive .txt]"), ("deep3.zip", "n2.zip!n1.zip!n0.zip!t.txt", "[in archive .txt]"),
+                     ("deep4.zip", "n3.zip!n2.zip!n1.zip!n0.zip!t.txt", "[in archive .txt]")}
+    _, limited = L.expand_archives(frame(spark, {"/z/deep4.zip": files["/z/deep4.zip"]}), max_depth=2)
+    assert {r.depth: r.status for r in limited.collect()} == {0: "ok", 1: "ok", 2: "ok", 3: "too_deep"}
+
+
+def test_readable_archives_of_other_shapes(spark):
+    plain = pack({"a.txt": "token"})
+    with_comment = plain[:-2] + (6).to_bytes(2, "little") + b"PK\x05\x06xy"
+    empty = b"PK\x05\x06" + b"\0" * 18
+    files = {"/z/prefix.zip": b"#!/bin/sh\n" + plain, "/z/comment.zip": with_comment, "/z/empty.zip": empty, "/z/none.zip": b""}
+    members, statuses = L.expand_archives(frame(spark, files))
+    assert {r.path: r.status for r in statuses.collect()} == {
+        "/z/prefix.zip": "ok", "/z/comment.zip": "ok", "/z/empty.zip": "ok", "/z/none.zip": "damaged"}
+    assert {r.path for r in L.member_findings(members, ["token"]).collect()} == {"/z/prefix.zip", "/z/comment.zip"}
 
 
 def test_damaged_member(spark):

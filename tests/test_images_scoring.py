@@ -7,6 +7,7 @@ from lineward.functions.images import position
 from lineward.operators import images as I
 from lineward.operators import scoring as M
 from lineward.operators import tables as T
+from lineward.plans.scoring_queries import contains_scorer
 
 
 def test_position_limits(spark):
@@ -87,3 +88,20 @@ def test_table_cells(spark):
     spec = T.TableSpec("t", df, ("id",))
     got = sorted(tuple(r) for r in M.table_findings(spec, ["red"], M.python_scorer(make)).collect())
     assert got == [("t", "a", "1", "", ""), ("t", "a", "2", "", "")]
+
+
+def test_long_texts_are_asked_about_whole(spark):
+    """Ten long lines are more than one request holds; the last of them counts too."""
+    text = "\n".join(["x" * 450] * 9 + ["here is the token" + "." * 5000 + " and the secret"])
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    asked = M.prompts(M.line_batches(df), ["token"])
+    assert asked.count() == 3 and all(len(r.prompt) <= len(S.instruction(["token"])) + S.MAX_CHARS for r in asked.collect())
+    got = sorted(tuple(r) for r in M.scored_findings(df, "id", ["token", "secret"], contains_scorer(["token", "secret"])).select(
+        "id", "line_no", "keyword").collect())
+    assert got == [(1, 10, "secret"), (1, 10, "token")]
+
+
+def test_line_of_a_context_is_found_by_its_whole_first_line(spark):
+    lines = ["the same beginning of a long line, one", "the same beginning of a long line, two"]
+    df = spark.createDataFrame([(lines, lines[1] + "\nmore")], "lines array<string>, context string")
+    assert df.select(S.locate(F.col("lines"), F.lit(0), F.col("context"))).first()[0] == 2

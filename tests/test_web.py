@@ -100,3 +100,9 @@ def test_traversal(spark):
     assert len(got) == 13 + 2 + 1
     assert W.bfs(edges, seeds, max_depth=0).count() == 3
     assert {r.depth for r in W.bfs(edges, seeds, max_depth=2).collect()} == {0, 1, 2}
+
+
+def test_character_references_of_all_kinds(spark):
+    body = "to&#x0000006b;en &#0000107;ey&NewLine;&lbrace;x&rbrace;&period; &#146;s &unknown; &amp;lt; &#99999999;"
+    text = spark.createDataFrame([(body,)], "h string").select(H.unescape(F.col("h"))).first()[0]
+    assert text == "token key\n{x}. \u2019s &unknown; &lt; &#99999999;"
