@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ from lineward.operators.numbering import number_rows
 #: Bytes of a string and of an anchor, and surroundings in one shard.
 LENGTH, ANCHOR, SHARD = 100, 32, 16_384
 _SIDE = LENGTH - ANCHOR
-_CHUNK_BYTES = 1 << 22
+_CHUNK_BYTES, _SHARD_BYTES = 1 << 22, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -276,69 +275,77 @@ def _starts(ords: np.ndarray, starts: np.ndarray):
     return [int(ords[a]) for a in cut], [starts[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(ords)])]
 
 
-_FOUND = "ord long, starts binary, run string, w0 long, w1 long, at long"
-_FOUND_SCHEMA = pa.schema([("ord", pa.int64()), ("starts", pa.binary()), ("run", pa.string()), ("w0", pa.int64()), ("w1", pa.int64()), ("at", pa.int64())])
+_HEAD = np.dtype([("w0", "<u8"), ("w1", "<u8"), ("ord", "<i8"), ("at", "<i8")])
+_FOUND = "ord long, starts binary, target int, run binary"
+_FOUND_SCHEMA = pa.schema([("ord", pa.int64()), ("starts", pa.binary()), ("target", pa.int32()), ("run", pa.binary())])
 
 
-def _sort_shards(batches):
-    """Repeats within each shard; of an anchor in several shards also the first of each, by a digest of its bytes."""
+def _sort_shards(parts: int):
+    """Repeats within each shard; of an anchor in several shards also runs with the first of each, by a digest of its bytes."""
 
     def shard(rows: dict):
         snippets = rows["snippet"]
         ords, starts = np.array(rows["ord"]), np.array(rows["start"])
         ord_, start, first, owner, offset = repeats(snippets, np.array(rows["place"]), ords, starts)
         a, b = _starts(ord_[~first], start[~first])
-        out = {"ord": a, "starts": b, "run": [None] * len(a), "w0": [None] * len(a), "w1": [None] * len(a), "at": [None] * len(a)}
-        split = np.array(rows["salt"]) >= 0
-        for o, s, w, x in zip(*(v[first & split[owner]].tolist() for v in (ord_, start, owner, offset))):
-            digest = np.frombuffer(hashlib.blake2b(snippets[w][x:x + LENGTH], digest_size=16).digest(), "<i8")
-            for name, value in (("ord", o), ("starts", None), ("run", f"{rows['key'][w]}:{rows['salt'][w]}"), ("w0", int(digest[0])), ("w1", int(digest[1])), ("at", s)):
-                out[name].append(value)
-        return pa.RecordBatch.from_pydict(out, _FOUND_SCHEMA)
-
-    held: dict = {}
-    size, last = 0, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = (row["key"], row["salt"])
-            if held and now != last and size >= _CHUNK_BYTES:
-                yield shard(held)
-                held, size = {}, 0
-            last = now
-            for name, value in row.items():
-                held.setdefault(name, []).append(value)
-            size += len(row["snippet"])
-    if held:
-        yield shard(held)
+        handed = first & (np.array(rows["salt"]) >= 0)[owner]
+        heads = np.zeros(int(handed.sum()), _HEAD)
+        digests = b"".join(hashlib.blake2b(snippets[w][x:x + LENGTH], digest_size=16).digest()
+                           for w, x in zip(owner[handed].tolist(), offset[handed].tolist()))
+        words = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        heads["w0"], heads["w1"], heads["ord"], heads["at"] = words[:, 0], words[:, 1], ord_[handed], start[handed]
+        target = (heads["w0"] % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((heads["w1"], heads["w0"], target))
+        heads, target = heads[order], target[order]
+        runs = np.unique(target)
+        cuts = [*np.searchsorted(target, runs).tolist(), len(heads)]
+        no = [None] * len(runs)
+        return pa.RecordBatch.from_pydict({
+            "ord": a + no, "starts": b + no, "target": [None] * len(a) + runs.tolist(),
+            "run": [None] * len(a) + [heads[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]}, _FOUND_SCHEMA)
+
+    def run(batches):
+        held: dict = {}
+        size, last = 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = (row["key"], row["salt"])
+                if held and now != last and size >= _SHARD_BYTES:
+                    yield shard(held)
+                    held, size = {}, 0
+                last = now
+                for name, value in row.items():
+                    held.setdefault(name, []).append(value)
+                size += len(row["snippet"])
+        if held:
+            yield shard(held)
+
+    return run
 
 
 def _merge_runs(batches):
     """Sorted runs of different shards: a string that another run has earlier is a repeat."""
-    rows = [batch.to_pandas() for batch in batches]
-    rows = [r for r in rows if len(r)]
-    if not rows:
+    runs = [np.frombuffer(x, _HEAD) for batch in batches for x in batch.column(0).to_pylist()]
+    if not runs:
         return
-    table = rows[0] if len(rows) == 1 else pd.concat(rows)
-    word = np.zeros(len(table), [("w0", "<i8"), ("w1", "<i8")])
-    word["w0"], word["w1"] = table["w0"], table["w1"]
-    ord_, at = table["ord"].to_numpy(), table["at"].to_numpy()
-    best_word, best = word[:0], np.zeros(0, np.int64)  # merged so far: strings in order, and their first row
-    runs = [np.flatnonzero(table["run"].to_numpy() == r) for r in sorted(set(table["run"]))]
-    covered = np.zeros(len(table), bool)
-    for run in runs:
-        run = run[np.argsort(word[run])]
-        place = np.searchsorted(best_word, word[run])
-        hit = place < len(best_word)
-        hit[hit] = best_word[place[hit]] == word[run][hit]
-        old, new = best[place[hit]], run[hit]
-        other = (ord_[old] != ord_[new]) | (at[old] != at[new])
-        earlier = (ord_[old] < ord_[new]) | ((ord_[old] == ord_[new]) & (at[old] < at[new]))
-        covered[new[other & earlier]] = True
-        covered[old[other & ~earlier]] = True
-        best[place[hit]] = np.where(earlier, old, new)
-        best = np.insert(best, place[~hit], run[~hit])
-        best_word = np.insert(best_word, place[~hit], word[run][~hit])
-    a, b = _starts(ord_[covered], at[covered])
+    word = [np.zeros(len(r), [("w0", "<u8"), ("w1", "<u8")]) for r in runs]
+    for w, r in zip(word, runs):
+        w["w0"], w["w1"] = r["w0"], r["w1"]
+    merged, known = runs[0], word[0]  # the first of each string so far, in order of the digests
+    gone = []
+    for r, w in zip(runs[1:], word[1:]):
+        place = np.searchsorted(known, w)
+        hit = place < len(known)
+        hit[hit] = known[place[hit]] == w[hit]
+        old, new = merged[place[hit]], r[hit]
+        same = (old["ord"] == new["ord"]) & (old["at"] == new["at"])
+        earlier = (old["ord"] < new["ord"]) | ((old["ord"] == new["ord"]) & (old["at"] <= new["at"]))
+        gone += [new[earlier & ~same], old[~earlier]]
+        merged = merged.copy()
+        merged[place[hit]] = np.where(earlier, old, new)
+        merged, known = np.insert(merged, place[~hit], r[~hit]), np.insert(known, place[~hit], w[~hit])
+    found = np.concatenate([*gone, np.zeros(0, _HEAD)])
+    a, b = _starts(found["ord"], found["at"])
     yield pa.RecordBatch.from_pydict({"ord": pa.array(a, pa.int64()), "starts": pa.array(b, pa.binary())})
 
 
@@ -429,8 +436,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     shards = snippets.join(many, "key", "left").withColumn(
         "salt", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / SHARD))).cast("int"))
     shards = shards.select("key", "salt", "ord", "start", "place", "snippet").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
-    found = written(shards.mapInArrow(_sort_shards, _FOUND), "repeats")
-    runs = found.where("run is not null").select("ord", "run", "w0", "w1", "at").repartition(parts, "w0")
+    found = written(shards.mapInArrow(_sort_shards(parts), _FOUND), "repeats")
+    runs = found.where("run is not null").repartitionById(parts, "target").select("run")
     merged = runs.mapInArrow(_merge_runs, "ord long, starts binary")
     strings = found.where("run is null").select("ord", "starts").union(merged)
 
