@@ -44,15 +44,31 @@ def src_list_databases(t):
     return J.list_databases(names, "mysql")
 
 
-@query("src_file_inventory")
+def _document_files(t) -> str:
+    """A folder tree with the documents as text files, ten to a file, in order."""
+    path = _folder(t)
+    lines = t.documents.select("doc_id", F.floor(F.col("doc_id") / 10).alias("ten"), F.col("text").alias("value"))
+    lines.repartition("ten").sortWithinPartitions("ten", "doc_id").select("ten", "value").write.partitionBy("ten").text(path)
+    return path
+
+
+_DOCUMENT_FILES = """(SELECT doc_id // 10 AS ten, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)"""
+
+
+def _ten() -> F.Column:
+    return F.regexp_extract("path", "/ten=([0-9]+)/", 1).cast("long").alias("ten")
+
+
+@query("src_file_inventory", f"""
+SELECT ten, octet_length(encode(content)) AS size, '.txt' AS ext, 'document' AS route, FALSE AS is_hidden FROM {_DOCUMENT_FILES}""")
 def src_file_inventory(t):
-    """The table files themselves."""
-    return N.file_inventory(t.spark, [t.root], [".parquet"])[0].select("path", "size", "ext", "is_hidden")
+    found, _ = N.file_inventory(t.spark, _document_files(t))
+    return found.where("not is_hidden").select(_ten(), "size", "ext", "route", "is_hidden")
 
 
-@query("src_binary")
+@query("src_binary", f"SELECT ten, octet_length(encode(content)) AS size, md5(content) AS md5 FROM {_DOCUMENT_FILES}")
 def src_binary(t):
-    return N.read_binary(t.spark, [t.root], [".parquet"]).select("path", "size", F.md5("content").alias("md5"))
+    return N.read_binary(t.spark, _document_files(t), [".txt"]).select(_ten(), "size", F.md5("content").alias("md5"))
 
 
 @query("state_save_load", f"SELECT url, content_hash, etag, last_modified FROM {X.STATE_SQL}")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lineward.functions import files as P
 from lineward.session import ensure_checkpoint_dir
 
-_ENTRY = "root string, path string, is_dir boolean, size long"
+_COLUMNS = ["root", "path", "is_dir", "size", "error"]
+_ENTRY = "root string, path string, is_dir boolean, size long, error string"
 _ROWS = 5000
 
 
@@ -32,20 +33,24 @@ def _local(path: str) -> str | None:
     return None
 
 
-def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+def _entries(folder: str) -> Iterator[tuple[str, bool, int | None, str | None]]:
+    """Path, whether it is a folder, size, and why the entry can't be read, of everything in a folder."""
     local = _local(folder)
     if local is not None:
         with os.scandir(local) as found:
             for e in found:
-                is_dir = e.is_dir(follow_symlinks=False)
-                yield e.path, is_dir, 0 if is_dir else e.stat().st_size
+                try:
+                    is_dir = e.is_dir(follow_symlinks=False)
+                    yield e.path, is_dir, 0 if is_dir else e.stat().st_size, None
+                except OSError as error:  # a link to nothing, for example: the others still count
+                    yield e.path, False, None, f"{type(error).__name__}: {error.strerror}"
         return
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
     prefix = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
     for info in store.get_file_info(fs.FileSelector(base)):
-        yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0
+        yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, None
 
 
 def _exists(folder: str) -> bool:
@@ -63,15 +68,19 @@ def _list_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for root, folder in zip(pdf["root"], pdf["path"]):
             try:
-                for path, is_dir, size in _entries(folder):
-                    rows.append((root, path, is_dir, size))
+                for entry in _entries(folder):
+                    rows.append((root, *entry))
                     if len(rows) == _ROWS:
-                        yield pd.DataFrame(rows, columns=["root", "path", "is_dir", "size"])
+                        yield _frame(rows)
                         rows = []
-            except OSError:  # a folder that vanished or is closed to us is left out
-                continue
+            except OSError as error:  # a folder that vanished or is closed to us
+                rows.append((root, folder, False, None, f"{type(error).__name__}: {error.strerror}"))
         if rows:
-            yield pd.DataFrame(rows, columns=["root", "path", "is_dir", "size"])
+            yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"size": "Int64"})
 
 
 def file_inventory(spark: SparkSession, roots: str | list[str],
@@ -79,8 +88,8 @@ def file_inventory(spark: SparkSession, roots: str | list[str],
     """Files under the roots, and the roots that do not exist.
 
     One job per directory level, in which the folders are listed in parallel. Supported types are
-    kept, and hidden files whatever their type. Each level is checkpointed, so a folder is listed
-    once.
+    kept, and hidden files whatever their type. What can't be read, a folder or an entry, is a row with its
+    ``error`` and no size. Each level is checkpointed, so a folder is listed once.
     """
     ensure_checkpoint_dir(spark)
     wanted = exts or P.DOCUMENT_EXTS + P.ARCHIVE_EXTS
@@ -92,17 +101,17 @@ def file_inventory(spark: SparkSession, roots: str | list[str],
     while present:
         entries = folders.repartition(spark.sparkContext.defaultParallelism).mapInPandas(
             _list_all, _ENTRY).checkpoint()
-        levels.append(entries.where("not is_dir").select("root", "path", "size"))
+        levels.append(entries.where("not is_dir").select("root", "path", "size", "error"))
         folders = entries.where("is_dir").select("root", "path")
         if folders.isEmpty():
             break
     if not levels:
-        levels = [spark.createDataFrame([], "root string, path string, size long")]
+        levels = [spark.createDataFrame([], "root string, path string, size long, error string")]
     files = reduce(DataFrame.unionByName, levels).withColumn("ext", P.ext(F.col("path")))
     typed = files.withColumns({
         "is_hidden": P.is_hidden(F.col("path")), "is_archive": F.col("ext").isin(P.ARCHIVE_EXTS),
         "route": P.route(F.col("ext"))})
-    return typed.where(F.col("ext").isin(wanted) | F.col("is_hidden")), missing
+    return typed.where(F.col("ext").isin(wanted) | F.col("is_hidden") | F.col("error").isNotNull()), missing
 
 
 def _any_case(ext: str) -> str:

@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 
 from lineward.operators import files as L
@@ -30,6 +31,17 @@ def test_inventory(spark, scratch):
     assert N.file_inventory(spark, ["/no/such"])[0].count() == 0
 
 
+def test_entries_that_cannot_be_read_lose_no_others(spark, scratch):
+    tree(scratch)
+    os.symlink("/no/such/file.txt", os.path.join(scratch, "link.txt"))
+    files, _ = N.file_inventory(spark, scratch)
+    rows = {r.path[len(scratch) + 1:]: r for r in files.collect()}
+    assert {"a.txt", "_under.txt", ".dot", "sub/b.TXT", "link.txt"} <= set(rows)
+    assert rows["link.txt"].error.startswith("FileNotFoundError") and rows["link.txt"].size is None and rows["a.txt"].error is None
+    gone = pd.DataFrame({"root": [scratch], "path": [scratch + "/gone"]})
+    assert [len(f) for f in N._list_all(iter([gone]))] == [1]
+
+
 def test_contents(spark, scratch):
     tree(scratch)
     plain = {r.path[len(scratch) + 1:]: bytes(r.content) for r in N.read_binary(spark, scratch, [".txt"]).collect()}
