@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lineward.functions import files as P
 from lineward.functions.images import MIN_CONFIDENCE
 from lineward.operators.keyword_scan import line_findings
+from lineward.session import ensure_checkpoint_dir
 from lineward.schemas import OCR_ITEM
 
 
@@ -108,9 +109,11 @@ def scan(images: DataFrame, cache: DataFrame, make_engine: Callable[[], Callable
          keywords: list[str], path: str = "image_path") -> tuple[DataFrame, DataFrame]:
     """Findings of all images and the cache entries to add.
 
-    Empty results are stored too, failures are not.
+    Empty results are stored too, failures are not. What was read is checkpointed, as both results use
+    it and a recogniser is costly.
     """
-    read = apply_ocr(cache_misses(images, cache, path), make_engine, path)
+    ensure_checkpoint_dir(images.sparkSession)
+    read = apply_ocr(cache_misses(images, cache, path), make_engine, path).checkpoint()
     entries = read.where("not failed").select("md5", "ocr_items")
     items = explode_items(cache_hits(images, cache.select("md5", "ocr_items").unionByName(entries)))
     return findings(items, keywords, path=path), entries

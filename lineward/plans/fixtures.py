@@ -141,12 +141,12 @@ IMAGE_KINDS = [".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif", ".gif"]
 def _image_path():
     conv = F.col("conv_id")
     kind = F.get(F.array(*[F.lit(k) for k in IMAGE_KINDS]), (conv % 7).cast("int"))
-    return F.concat(F.lit("/img/"), conv % 7, F.lit("/i"), conv, kind)
+    return F.concat(F.lit("/img/"), conv % 7, F.lit("/i"), conv, F.lit("_"), F.col("turn"), kind)
 
 
 def images(t) -> DataFrame:
-    """One image per conversation; its content is the opening turn."""
-    return t.conversations.where("turn = 0").select(
+    """One image per turn of a conversation; its content is the text."""
+    return t.conversations.select(
         "conv_id", _image_path().alias("image_path"), F.encode("text", "utf-8").alias("content"))
 
 
@@ -169,9 +169,9 @@ def ocr_items(t) -> DataFrame:
         (top + 40).alias("y_bottom"), F.when(conv % 29 == 0, 0).otherwise(1000).alias("height"))
 
 
-_IMAGE_PATH_SQL = ("'/img/' || (conv_id % 7) || '/i' || conv_id || ["
+_IMAGE_PATH_SQL = ("'/img/' || (conv_id % 7) || '/i' || conv_id || '_' || turn || ["
                    + ", ".join(Q.lit(k) for k in IMAGE_KINDS) + "][1 + conv_id % 7]")
-IMAGES_SQL = f"(SELECT conv_id, {_IMAGE_PATH_SQL} AS image_path, md5(text) AS md5, text FROM conversations WHERE turn = 0)"
+IMAGES_SQL = f"(SELECT conv_id, {_IMAGE_PATH_SQL} AS image_path, md5(text) AS md5, text FROM conversations)"
 OCR_SQL = f"""(SELECT {_IMAGE_PATH_SQL} AS image_path, text, ((conv_id * 31 + turn * 17) % 100) / 100.0 AS confidence,
     CASE WHEN conv_id % 29 = 0 THEN '' WHEN ((turn * 97) % 900 + 20) < 330 THEN 'top'
          WHEN ((turn * 97) % 900 + 20) < 660 THEN 'middle' ELSE 'bottom' END AS position FROM conversations)"""
