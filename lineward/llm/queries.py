@@ -15,6 +15,7 @@ from lineward.llm import (
     privacy,
     quality,
     secrets,
+    sqltext,
     suffixes,
     token_files,
     vectors,
@@ -74,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_mixing, op2_token_files, op3_fingerprints, op4_quality, op5_secrets, op6_vectors, op7_suffixes, op8_privacy,
         op9_byte_bpe, op10_minhash)}
 
-SQL: dict[str, str] = {}
+#: The others draw by hashes, train models, or call tokenizers: tests compare them with plain versions.
+SQL: dict[str, str] = {"op6_vectors": sqltext.VECTORS, "op10_minhash": sqltext.SHINGLES}
