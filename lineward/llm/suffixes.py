@@ -30,6 +30,8 @@ from lineward.operators.numbering import number_rows
 
 #: Bytes of a string and of an anchor, and surroundings in one shard.
 LENGTH, ANCHOR, SHARD = 100, 32, 16_384
+#: Up to so many frequent anchors are sent to all tasks; more are joined by a shuffle, with equal results.
+_SENT_KEYS = 100_000
 _SIDE = LENGTH - ANCHOR
 _CHUNK_BYTES, _SHARD_BYTES = 1 << 22, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -432,7 +434,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     snippets = rows.select("ord", "content").join(edges.hint("shuffle_hash"), "ord").mapInArrow(
         _snippets, "key long, ord long, start long, place long, snippet binary")
     snippets = written(snippets, "snippets")
-    many = snippets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    many = written(snippets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD), "many")
+    if many.count() <= _SENT_KEYS:
+        many = F.broadcast(many)  # so that snippets of one anchor don't meet in one task before they are dealt out
     shards = snippets.join(many, "key", "left").withColumn(
         "salt", F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / SHARD))).cast("int"))
     shards = shards.select("key", "salt", "ord", "start", "place", "snippet").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
