@@ -114,7 +114,9 @@ def carried_over(classified: DataFrame) -> DataFrame:
 
 def effective_links(classified: DataFrame) -> DataFrame:
     """Edges for traversal: of the page itself where it was read, of the state where it was not."""
-    fresh = page_links(fresh_pages(classified))
+    fresh = fresh_pages(classified)
+    fresh = (fresh.select("url", F.explode("new_links").alias("link")) if "new_links" in fresh.columns
+             else page_links(fresh))
     stored = classified.where(F.col("status") == NOT_MODIFIED).select(
         "url", F.explode("old_links").alias("link"))
     return fresh.unionByName(stored)

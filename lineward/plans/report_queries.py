@@ -41,7 +41,7 @@ def rep_union(t):
 
 def counts(t):
     ensure_checkpoint_dir(t.spark)
-    scanned = W.rescan(WQ.classified(t, True), KW).checkpoint()
+    scanned = WQ.scanned(t)
     cached = W.cached_only(W.incremental_findings(scanned)).agg(F.count("*").alias("cached_matched"))
     files = L.summary(FQ.checked(t), FQ.archives(t), FQ.findings(t))
     return R.union_findings([
@@ -105,7 +105,7 @@ SELECT from_cache, row_number() OVER (PARTITION BY from_cache ORDER BY url, line
        {_ellipsis('url', 60)} AS url, line_no, {_trim('keyword')} AS keyword, {_sanitize('content')} AS content
 FROM ({WQ._FRESH_FINDINGS} UNION ALL {WQ._OLD_FINDINGS})""")
 def rep_web_sections(t):
-    return R.web_sections(W.incremental_findings(W.rescan(WQ.classified(t, True), KW)))
+    return R.web_sections(W.incremental_findings(WQ.scanned(t)))
 
 
 @query("rep_table_stats", f"SELECT \"table\", total_records, matched_records, n_text_columns, n_columns FROM ({_STATS})")
