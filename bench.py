@@ -23,7 +23,8 @@ HEADLINE = [
     "kw_matched_containers", "src_table_inventory", "tbl_candidates", "tbl_findings",
     "tbl_findings_composite_key", "tbl_stats", "tbl_scan_database", "tbl_scan_all", "web_text", "web_findings",
     "web_links", "web_classify", "web_incremental_scan", "web_state_upsert", "web_bfs", "file_magic",
-    "file_status", "file_findings", "file_summary", "enc_apply_attempt", "img_findings", "img_cache_split",
+    "file_status", "file_findings", "file_summary", "file_extract", "file_expand_archives",
+    "web_incremental_scan_late", "sink_findings", "sink_markdown", "st_scan", "st_change_detect", "enc_apply_attempt", "img_findings", "img_cache_split",
     "llm_batches", "llm_findings", "llm_table_findings", "rep_number", "rep_summary", "st_dedupe",
 ]
 
@@ -38,7 +39,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": cpus})
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
