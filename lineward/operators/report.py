@@ -192,6 +192,12 @@ def assemble(blocks: list[DataFrame]) -> DataFrame:
         for i, b in enumerate(blocks)])
 
 
+def tally(rows: DataFrame, noun: str) -> DataFrame:
+    """One line with the number of rows."""
+    line = F.format_string(f"%d {noun}", F.count("*")).alias("line")
+    return rows.agg(line).select(F.lit(0).alias("seq"), "line")
+
+
 def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web: DataFrame | None = None,
              db_stats: DataFrame | None = None, db: DataFrame | None = None, file_types: DataFrame | None = None,
              encrypted: DataFrame | None = None, damaged: DataFrame | None = None, hidden: DataFrame | None = None,
@@ -202,13 +208,13 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
     text = lambda *lines: block(spark, list(lines))
     nothing = "Nothing found."
     out = [
-        text("# Sensitive content report", "", f"**Checked at**: {checked_at}",
-             f"**Keywords**: {', '.join(keywords)}", f"**Method**: {method}", "", "---", "", "## 1. Summary", ""),
+        text("# Keyword scan", "", f"Time: {checked_at}",
+             f"Searched for: {', '.join(keywords)}", f"Searched with: {method}", "", "---", "", "## 1. Overview", ""),
         table_lines(summary_rows.withColumn("_n", F.col("seq") + 1), ["Module", "Checked", "Matched", "Note"],
                     ["module", "checked", "matched", "note"], "_n"),
         grand_total(summary_rows).select(F.posexplode(F.array(
             F.struct(F.lit("").alias("line")),
-            F.struct(F.format_string("**Matched in all**: %s", F.col("matched").cast("string")).alias("line"))))
+            F.struct(F.format_string("Matches over all modules: %s", F.col("matched").cast("string")).alias("line"))))
                                          ).select(F.col("pos").alias("seq"), "col.line"),
         text("", "---", "", "## 2. Web pages", ""),
     ]
@@ -216,9 +222,10 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
         out.append(text(nothing))
     else:
         shown = web_sections(web)
-        for cached, title in ((False, "Found in this run:"), (True, "Found before, unchanged since:")):
-            out += [text("", title, ""), table_lines(
-                shown.where(F.col("from_cache") == cached), ["No.", "URL", "Line", "Keywords", "Text"],
+        for cached, title in ((False, "Pages read now"), (True, "Pages as stored")):
+            part = shown.where(F.col("from_cache") == cached)
+            out += [text("", f"### {title}", ""), tally(part, "findings"), text(""), table_lines(
+                part, ["No.", "URL", "Line", "Keywords", "Text"],
                 ["seq", "url", "line_no", "keyword", "content"])]
     out.append(text("", "---", "", "## 3. Databases", ""))
     if db_stats is not None:
@@ -226,6 +233,7 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
             number_rows(table_stats(db_stats), ["table"]), ["Table", "Records", "Matched", "Text columns", "Columns"],
             ["table", "total_records", "matched_records", "n_text_columns", "n_columns"])]
     out.append(text("", "### 3.2 Findings", ""))
+    out += [] if db is None else [tally(db, "findings"), text("")]
     out.append(text(nothing) if db is None else table_lines(
         number_rows(db, ["table", "field", "record_id"]), ["No.", "Table", "Field", "Record", "Keywords"],
         ["seq", "table", "field", "record_id", D.trim_keywords(F.col("keyword"))]))
@@ -234,6 +242,7 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
         out += [text("### 4.1 File types", ""), table_lines(
             number_rows(type_counts(file_types), ["ext"]), ["Type", "Files"], ["name", "n"])]
     out.append(text("", "### 4.2 Encrypted files", ""))
+    out += [] if encrypted is None else [tally(encrypted, "files"), text("")]
     out.append(text("No encrypted files.") if encrypted is None else table_lines(
         encrypted_list(encrypted), ["No.", "Path", "Type", "Status", "Result"],
         ["seq", "path", "type", "status", "found"]))
@@ -241,6 +250,7 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
                                 ("### 4.4 Hidden files", hidden, "No hidden files.")):
         out += [text("", title, ""), text(empty) if paths is None else file_list(paths, empty)]
     out.append(text("", "### 4.5 Findings", ""))
+    out += [] if file is None else [tally(file, "findings"), text("")]
     out.append(text(nothing) if file is None else table_lines(
         number_rows(file, ["path", "line_no", "content"]), ["No.", "Path", "Line", "Type", "Keywords", "Text"],
         ["seq", D.truncate_path(F.col("path")), "line_no", "file_type", D.trim_keywords(F.col("keyword")),
@@ -250,10 +260,11 @@ def document(keywords: list[str], checked_at: str, summary_rows: DataFrame, web:
         out += [text("### 5.1 Image types", ""), table_lines(
             number_rows(type_counts(image_types), ["ext"]), ["Type", "Images"], ["name", "n"])]
     out.append(text("", "### 5.2 Findings", ""))
+    out += [] if image is None else [tally(image, "findings"), text("")]
     out.append(text(nothing) if image is None else table_lines(
         number_rows(image, ["image_path", "position", "ocr_text"]),
         ["No.", "Folder", "File", "Position", "Keywords", "Text"],
         ["seq", F.concat(F.lit("`"), D.ellipsis(F.col("directory"), D.DIRECTORY_CHARS), F.lit("`")), "filename",
          "position", D.trim_keywords(F.col("keyword")), D.sanitize(F.col("ocr_text"))]))
-    out.append(text("", "---", "", "*Made automatically; to be reviewed by a person.*"))
+    out.append(text("", "---", ""))
     return assemble(out)
