@@ -15,7 +15,7 @@ from lineward.session import ensure_checkpoint_dir
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that are handled together in numpy; bounds the memory of a task, not what it reads.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -47,13 +47,13 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str]], dict], schema: str) -> DataFrame:
-    """Apply ``fn(doc_ids, texts) -> columns`` to the rows of ``texts_of``, some megabytes at a time."""
+def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str]], dict], schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
+    """Apply ``fn(doc_ids, texts) -> columns`` to the rows of ``texts_of``, ``limit`` characters at a time."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in texts]):
+            for a, b in chunks([len(t) for t in texts], limit):
                 yield pa.RecordBatch.from_pydict(fn(ids.slice(a, b - a), texts[a:b]))
 
     return df.select("doc_id", "text").mapInArrow(run, schema)

@@ -22,7 +22,9 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (2, 3, 4)
 _AGAIN, _OTHER, _PAIRS = np.uint64(0), np.uint64(1), 3
 EPOCHS, RATE, SEED = 8, 20.0, 7
 #: The classifier is fitted on at most so many labelled documents, half of each class, by a hash of their id.
-FIT_DOCS = 4000
+FIT_DOCS = 3000
+#: Characters of text whose features are held at once.
+_CHUNK = 1 << 19
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -95,14 +97,14 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray) ->
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((DIMENSIONS, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    shares = [(c / c.sum()).astype(np.float32) for c in counts]
     steps, done = max(1, EPOCHS * len(ids)), 0
     # Each class weighs half of all, whatever their numbers.
     weight = [len(labels) / (2 * max(1, int((labels == c).sum()))) for c in (0, 1)]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(ids)):
             rate = np.float32(RATE * (1 - done / steps)) * np.float32(min(1.0, weight[labels[i]]) if weight[labels[i]] < 1 else 1.0)
-            hidden = shares[i] @ vectors[ids[i]]
+            share = (counts[i] / counts[i].sum()).astype(np.float32)
+            hidden = share @ vectors[ids[i]]
             out = hidden @ layer + bias
             p = np.exp(out - out.max())
             p /= p.sum()
@@ -111,7 +113,7 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray) ->
             step = np.float32(0.05) * rate
             layer -= step * np.outer(hidden, p)
             bias -= np.float32(0.02) * step * p
-            vectors[ids[i]] -= (rate * shares[i])[:, None] * back
+            vectors[ids[i]] -= (rate * share)[:, None] * back
             done += 1
     return QualityModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -139,12 +141,14 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
                 "counts": pa.array([n.astype("<i4").tobytes() for _, n in each], pa.binary())}
 
     rows = (map_texts(texts_of(docs).join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-                      run, "doc_id long, ids binary, counts binary")
+                      run, "doc_id long, ids binary, counts binary", _CHUNK)
             .join(sample, "doc_id").orderBy("doc_id").collect())
     if len({r["quality"] for r in rows}) < 2:
         return QualityModel(np.zeros(BUCKETS, np.float32), 0.0)
     ids, counts = ([np.frombuffer(r[c], "<i4") for r in rows] for c in ("ids", "counts"))
-    return fit(ids, counts, np.array([r["quality"] for r in rows]))
+    labels = np.array([r["quality"] for r in rows])
+    del rows
+    return fit(ids, counts, labels)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -158,7 +162,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(keys, texts):
         return {"doc_id": keys, "score": sent.value.scores(texts).astype(float)}
 
-    return map_texts(texts_of(docs), run, "doc_id long, score double").select(
+    return map_texts(texts_of(docs), run, "doc_id long, score double", _CHUNK).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -170,7 +174,7 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            good = [sent.value.scores(texts[a:b]) >= THRESHOLD for a, b in chunks([len(t) for t in texts])]
+            good = [sent.value.scores(texts[a:b]) >= THRESHOLD for a, b in chunks([len(t) for t in texts], _CHUNK)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
