@@ -33,7 +33,7 @@ LENGTH, ANCHOR, SHARD = 100, 32, 16_384
 #: Up to so many frequent anchors are sent to all tasks; more are joined by a shuffle, with equal results.
 _SENT_KEYS = 100_000
 _SIDE = LENGTH - ANCHOR
-_CHUNK_BYTES, _SHARD_BYTES = 1 << 22, 1 << 21
+_CHUNK_BYTES, _SHARD_BYTES = 1 << 21, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
