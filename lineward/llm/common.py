@@ -35,6 +35,18 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def bounded_sample(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows, by a hash of their key; all rows if there are no more.
+
+    The share to keep comes from a count, so that about as many rows as are wanted leave the tasks, however
+    many tasks there are.
+    """
+    share = most / max(1, df.count())
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(20_240_607), key), 11) / float(1 << 53)
+    chosen = df if share >= 1 else df.where(unit < 0.95 * share)
+    return chosen.orderBy(F.xxhash64(key), *df.columns).limit(most)
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to ``limit`` at most; a single larger one stands alone."""
     start, held = 0, 0

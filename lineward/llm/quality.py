@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import chunks, map_texts, mix64, texts_of
+from lineward.llm.common import bounded_sample, chunks, map_texts, mix64, texts_of
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (2, 3, 4)
 #: Features for "the word before, again" and "another word"; each word has one of them so many times.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """
     known = (labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")))
-    chosen = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS // 2) for c in (0, 1)]
+    chosen = [bounded_sample(known.where(F.col("quality") == c), FIT_DOCS // 2) for c in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # FIT_DOCS rows at most
 
     def run(keys, texts):

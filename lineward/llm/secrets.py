@@ -13,9 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lineward.llm.common import map_texts, texts_of
+from lineward.llm.common import bounded_sample, map_texts, texts_of
 
 # The forms that are always searched.
 KINDS = ("assign", "access", "hex", "random")
@@ -92,7 +91,7 @@ def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
 
 def train(docs: DataFrame) -> RandomnessModel:
     """Models from at most SAMPLE_DOCS documents, chosen by a hash of their id, and made keys."""
-    sample = texts_of(docs).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS)
+    sample = bounded_sample(texts_of(docs), SAMPLE_DOCS)
     return fit(*labelled_strings([r["text"] for r in sample.collect()]))
 
 
