@@ -8,6 +8,9 @@ from lineward.llm import byte_bpe, minhash, mixing, privacy, quality
 from lineward.llm.common import written
 from lineward.llm.queries import BYTE_RANKS, table
 
+#: Words of a shingle in the near-duplicates stage; op10_minhash alone has four.
+SHINGLE = 5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, with all their columns."""
@@ -17,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, SHINGLE)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,14 +108,14 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, size: int) -> DataFrame:
     """A row for each document without its text: number of shingles, digest of the set, sketch, buckets."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([len(t) for t in texts]):
-                values, counts = shingles(texts[a:b])
+                values, counts = shingles(texts[a:b], size)
                 sketch = sketches(values, counts)
                 short = (sketch & np.uint64(0xFFFF)).astype("<u2")
                 buckets = bands(sketch)
@@ -163,7 +163,7 @@ def _sketch_test(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, on the full sets of both texts."""
     joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
               .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
@@ -173,7 +173,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         def sets(nodes, column):
             new = {k: i for i, k in enumerate(nodes) if k not in held}
-            values, counts = shingles([column[i].as_py() for i in new.values()])
+            values, counts = shingles([column[i].as_py() for i in new.values()], size)
             held.update(zip(new, np.split(values, np.cumsum(counts)[:-1])))
 
         for batch in batches:
@@ -193,7 +193,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+def _across(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
     """Links between two blocks of a family, as far as they join components: confirmed on the full sets.
 
     A pair is looked at if its components are still apart and the sketches leave room for the similarity.
@@ -211,7 +211,7 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 
         def whole(key, text):
             if key not in sets:
-                sets[key] = shingles([text])[0]
+                sets[key] = shingles([text], size)[0]
             return sets[key]
 
         for j in range(len(b)):
@@ -263,16 +263,16 @@ def _block_pairs(family: DataFrame) -> DataFrame:
                         "b_own").where("y >= b_own").drop("b_own")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``.
 
-    A link: 100 * intersection >= 80 * union of the sets of distinct 4-word shingles. Null, empty and blank
+    A link: 100 * intersection >= 80 * union of the sets of distinct shingles of ``size`` words. Null, empty and blank
     texts have no shingles and link with nothing. component_id is the smallest doc_id reachable by links; kept
     is doc_id = component_id. Repeated rows have equal sets and so one component; a row without id has
     the component of its links, or null, and isn't kept. Two texts at the threshold share a bucket with a
     probability of 1 - 5e-8.
     """
-    rows = written(_sketched(docs), "sketches")
+    rows = written(_sketched(docs, size), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
@@ -292,12 +292,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("n"))).alias("top")).select(
         "bucket", (-F.col("top.n")).alias("a"))
     star = members.join(centre, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = written(_confirmed(_sketch_test(star, classes), texts), "links")
+    links = written(_confirmed(_sketch_test(star, classes), texts, size), "links")
 
     # Buckets with more than one component left: their classes are compared across components, block by block.
     pairs = _block_pairs(written(_families(members, links), "families"))
     pairs = pairs.join(classes.select("node", "n_shingles", "sketch"), "node").join(texts, "node")
-    more = written(pairs.groupBy("hub", "x", "y").applyInPandas(_across, "a long, b long"), "links")
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _across(pdf, size)
+
+    more = written(pairs.groupBy("hub", "x", "y").applyInPandas(across, "a long, b long"), "links")
 
     placed = components(links.union(more))
     named = classes.select("node", "set_key", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -309,13 +312,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group of near-duplicates, all columns.
 
     The document with the smallest id stays. Rows without id stay, since nothing names them; of rows that
     repeat an id that stays, one stays for each different text.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, size)
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

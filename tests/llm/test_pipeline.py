@@ -1,12 +1,13 @@
 """The pipeline's stages, each on what the one before it kept, and the registered queries."""
 
 import base64
+import random
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
-from helpers import WORD, near_duplicates, sha
+from helpers import WORD, lowest_reachable, near_duplicates, sha
 
 import __spark_entry__ as entry
 from lineward.llm import mixing, privacy, quality
@@ -61,3 +62,27 @@ def test_stages(spark):
         expected.append((r["doc_id"], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(r["text"].encode())))
     assert sorted(map(tuple, encoded.collect())) == sorted(expected)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(expected)
+
+
+def test_near_duplicates_stage_takes_five_words(spark):
+    """Substitutions between n/45 and n/36 part a 5-word pair that four words link."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(4000)]
+    rows = []
+    for group in range(12):
+        base = rng.choices(words, k=180)
+        for k, changes in enumerate((0, 2, 4, 5)):
+            text = list(base)
+            for at in range(changes):
+                text[10 + at * 33 + 7 * k] = f"new{group}x{k}x{at}"
+            rows.append((group * 10 + k, " ".join(text)))
+
+    def kept(size):
+        sets = [frozenset(tuple(w[j:j + size]) for j in range(len(w) - size + 1)) for w in (t.split() for _, t in rows)]
+        low = lowest_reachable(len(rows), [(a, b) for a in range(len(rows)) for b in range(a)
+                                           if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+        return [rows[k][0] for k in range(len(rows)) if low[k] == k]
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, frame, SF_DIR).collect())
+    assert found == kept(5) != kept(4)
