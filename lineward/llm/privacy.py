@@ -1,21 +1,22 @@
 """Personal data: fixed forms by pattern, and terms that give a protected entity away.
 
-A term discloses an entity when seeing the one tells the other: over all documents, the pointwise mutual
-information of the two is high and the entity stands in most documents with the term. Such terms near the
-entity are removed with it; the entity itself is replaced by its kind.
+A term discloses an entity when seeing the one tells the other: over all whole documents, the pointwise mutual
+information of the two is high and the entity stands in most documents with the term. Such terms are removed
+wherever they stand in a document of the entity; the entity itself is replaced by its kind. In counts alone, the
+words that only one document has are alike: if it is the only one of an entity, all of them disclose it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import chunks, map_texts, texts_of, written
+from lineward.llm.common import map_texts, texts_of, written
 
 # The forms that are always searched, in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -25,14 +26,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words on each side of an entity that may give it away, and what counts as a word.
-NEAR = 6
-_WORD = re.compile(r"\w{4,}")
-#: A term is disclosing if so many documents hold both, the entity is in this share of the term's documents,
-#: and knowing the term raises the entity's likelihood by so many bits.
-LEAST_DOCS, LEAST_SHARE, LEAST_BITS = 3, 0.9, 6.0
-#: Up to so many terms near entities are sent to all tasks; more are joined by a shuffle, with equal results.
+#: What counts as a word.
+_WORD = re.compile(r"\w+")
+#: A term is disclosing if the entity is in this share of the term's documents, and knowing the term raises the
+#: entity's likelihood by so many bits; both from exact counts, however few.
+LEAST_SHARE, LEAST_BITS = 0.9, 6.0
+#: Up to so many rare terms are sent to all tasks; more are joined by a shuffle, with equal results.
 _SENT_TERMS = 100_000
+#: Terms counted before a task hands on its counts.
+_HELD_TERMS = 100_000
+#: Parts of a row's mark. Sums of marks tell which rows an entity or a term is in.
+_MARKS = ("m0", "m1", "m2")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -71,101 +75,136 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]):
-    """(entity, term, start, end) for the words around each entity, on its line."""
-    for _, a, b in spans:
-        low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        high = len(text) if high < 0 else high
-        before = list(_WORD.finditer(text, max(low, a - 40 * NEAR), a))[-NEAR:]
-        after = list(_WORD.finditer(text, b, min(high, b + 40 * NEAR)))[:NEAR]
-        for m in before + after:
-            if not any(m.start() < y and x < m.end() for _, x, y in spans):
-                yield text[a:b], m.group().lower(), m.start(), m.end()
+def _words(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks for the fixed forms, places unchanged."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > at:
+            a = max(a, at)
+            out += [text[at:a], " " * (b - a)]
+            at = b
+    return "".join(out) + text[at:]
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_FOUND = ("doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, "
-          "near array<struct<entity:string,term:string,start:int,end:int>>")
+_FOUND = "doc_id long, row_key binary, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>"
 
 
 def _found(texts: DataFrame) -> DataFrame:
-    """For each row the spans of the fixed forms and the words around them, without the text."""
+    """For each row the spans of the fixed forms and the entities, without the text."""
 
     def run(keys, found):
         spans = [base_spans(t) for t in found]
-        near = [[dict(zip(("entity", "term", "start", "end"), x)) for x in _near(t, s)] for t, s in zip(found, spans)]
-        return {"doc_id": keys, "row_key": [_row_key(k, t) for k, t in zip(keys.to_pylist(), found)],
+        return {"doc_id": keys, "row_key": pa.array([_row_key(k, t) for k, t in zip(keys.to_pylist(), found)], pa.binary()),
                 **{f"n_{kind}": [sum(k == kind for k, _, _ in own) for own in spans] for kind in KINDS[:4]},
-                "base": [_join(own) for own in spans], "near": pa.array(near, _NEAR)}
+                "base": [_join(own) for own in spans],
+                "entities": pa.array([sorted({t[a:b] for _, a, b in own}) for t, own in zip(found, spans)], pa.list_(pa.string()))}
 
     return map_texts(texts, run, _FOUND)
 
 
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _row_key(doc_id: int | None, text: str) -> str:
-    return f"{doc_id}:{hashlib.sha256(text.encode()).hexdigest()}"
+def _row_key(doc_id: int | None, text: str) -> bytes:
+    return hashlib.sha256(f"{doc_id}:{text}".encode()).digest()[:16]
 
 
 def _term_counts(texts: DataFrame) -> DataFrame:
-    """(term, documents with it) in parts: each task has counted some thousand documents."""
+    """(term, n, m, marks) in parts: rows with it, those of them with an entity, and the sum of the latter's marks."""
 
     def run(batches):
-        counts: Counter[str] = Counter()
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
 
         def out():
-            return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()),
-                                               "n": pa.array(list(counts.values()), pa.int64())})
+            columns = list(zip(*counts.values())) or [()] * 5
+            return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), **{
+                name: pa.array(c, pa.int64()) for name, c in zip(("n", "m", *_MARKS), columns)}})
 
         for batch in batches:
-            found = batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in found], 1 << 20):
-                for text in found[a:b]:
-                    counts.update({w.lower() for w in _WORD.findall(text)})
-                if len(counts) > 100_000:
+            ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc_id, text in zip(ids, found):
+                spans = base_spans(text)
+                words = {w.lower() for w in set(_WORD.findall(_words(text, spans) if spans else text))}
+                if not spans:
+                    for w in words:
+                        counts[w][0] += 1
+                else:
+                    raw = _row_key(doc_id, text)
+                    marks = [int.from_bytes(raw[i:i + 4]) for i in (0, 4, 8)]
+                    for w in words:
+                        c = counts[w]
+                        c[0] += 1
+                        c[1] += 1
+                        for i, mark in enumerate(marks, 2):
+                            c[i] += mark
+                if len(counts) > _HELD_TERMS:
                     yield out()
                     counts.clear()
         yield out()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "term string, n long")
+    return texts.select("doc_id", "text").mapInArrow(run, "term string, n long, m long, m0 long, m1 long, m2 long")
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(row_key, term, places) of the rows with an entity."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if spans := base_spans(text):
+                    places: dict[str, list[dict]] = defaultdict(list)
+                    for m in _WORD.finditer(_words(text, spans)):
+                        places[m.group().lower()].append({"start": m.start(), "end": m.end()})
+                    yield pa.RecordBatch.from_pydict({
+                        "row_key": pa.array([_row_key(doc_id, text)] * len(places), pa.binary()), "term": pa.array(list(places), pa.string()),
+                        "places": pa.array(list(places.values()), _PLACES)})
+
+    return texts.select("doc_id", "text").mapInArrow(run, "row_key binary, term string, places array<struct<start:int,end:int>>")
+
+
+_PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term) over the thresholds with their counts.
+def _disclosing(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(row_key, places): where the terms are that disclose an entity of their row; all rows count, repeated ones as often.
 
-    Documents with both come from the words around the fixed forms, documents with a term from whole
-    texts; all documents count, repeated rows as documents of their own.
+    Entities in the same rows are one class, and so are terms in the same rows with an entity and as many without:
+    they disclose alike, and only classes are paired. Terms and entities too frequent for LEAST_BITS, and terms too
+    frequent outside rows with entities for LEAST_SHARE, can't meet the thresholds and aren't paired.
     """
-    near = found.select("doc_id", F.posexplode("near").alias("_", "x"), "row_key")
-    near = near.select(F.col("x.entity").alias("entity"), F.col("x.term").alias("term"), "row_key")
-    repeats = found.where(F.size("near") > 0).groupBy("row_key").agg(F.count("*").alias("rows"))
-    near = near.distinct().join(repeats, "row_key")
-    both = written(near.groupBy("entity", "term").agg(F.sum("rows").alias("both")).where(F.col("both") >= LEAST_DOCS), "both")
-    entity = near.select("entity", "row_key", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_entity"))
-    wanted = written(both.select("term").distinct(), "terms")
-    if wanted.count() <= _SENT_TERMS:
-        wanted = F.broadcast(wanted)  # so that counts of other terms are dropped before the shuffle
-    seen = (_term_counts(texts).join(wanted, "term", "left_semi")
-            .groupBy("term").agg(F.sum("n").alias("n_term")))
-    total = F.lit(float(max(1, found.count())))
-    bits = F.log2(F.col("both") * total / (F.col("n_term") * F.col("n_entity")))
-    return both.join(entity, "entity").join(seen, "term").where(
-        (F.col("both") >= LEAST_SHARE * F.col("n_term")) & (bits >= LEAST_BITS)
-    ).select("entity", "term", "both", "n_term", "n_entity", bits.alias("bits"))
+    total = max(1, found.count())
+    most = total / 2 ** LEAST_BITS
+    sums = [F.sum(name).alias(name) for name in _MARKS]
+    terms = _term_counts(texts).groupBy("term").agg(F.sum("n").alias("n_term"), F.sum("m").alias("m"), *sums)
+    terms = written(terms.where((F.col("m") >= LEAST_SHARE * F.col("n_term")) & (F.col("n_term") <= most)).select(
+        "term", "n_term", F.struct("n_term", "m", *_MARKS).alias("term_class")), "terms")
+    sent = F.broadcast(terms) if terms.count() <= _SENT_TERMS else terms  # so that other terms are dropped before the shuffle
+    rare = written(_places(texts).join(sent, "term").dropDuplicates(["row_key", "term"]), "rare")
+
+    rows = found.where(F.size("entities") > 0).groupBy("row_key").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"))
+    for i, name in enumerate(_MARKS):
+        part = F.conv(F.hex(F.substring("row_key", 4 * i + 1, 4)), 16, 10).cast("long")
+        rows = rows.withColumn(name, part * F.col("rows"))
+    rows = rows.select("row_key", "rows", *_MARKS, F.explode("entities").alias("entity"))
+    entities = rows.groupBy("entity").agg(F.sum("rows").alias("n_entity"), *sums).where(F.col("n_entity") <= most).select(
+        "entity", "n_entity", F.struct("n_entity", *_MARKS).alias("entity_class"))
+    held = written(rows.join(entities, "entity").select("row_key", "rows", "n_entity", "entity_class").distinct(), "entities")
+
+    pairs = held.join(rare.select("row_key", "n_term", "term_class").distinct(), "row_key").where(F.col("n_entity") >= LEAST_SHARE * F.col("n_term"))
+    counts = pairs.groupBy("entity_class", "term_class", "n_entity", "n_term").agg(F.sum("rows").alias("both"))
+    bits = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    tell = counts.where((F.col("both") >= LEAST_SHARE * F.col("n_term")) & (bits >= LEAST_BITS)).select("entity_class", "term_class")
+    where = pairs.join(tell, ["entity_class", "term_class"]).select("row_key", "term_class").distinct()
+    return rare.join(where, ["row_key", "term_class"]).select("row_key", "places")
 
 
 def _term_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with their base spans, and for the rows that have any the spans of disclosing terms."""
     texts = texts_of(docs)
     found = written(_found(texts), "found")
-    terms = disclosing_terms(texts, found)
-    near = found.select("row_key", F.explode("near").alias("x")).select("row_key", "x.*")
-    spans = (near.join(terms, ["entity", "term"]).groupBy("row_key")
-             .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")))
+    spans = _disclosing(texts, found).groupBy("row_key").agg(
+        F.array_sort(F.flatten(F.collect_list("places"))).alias("terms"))
     return found, spans
 
 
@@ -205,8 +244,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text if it is there.
     """
     _, spans = _term_spans(docs)
-    key = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit(":"),
-                   F.sha2(F.coalesce("text", F.lit("")), 256))
+    key = F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit(":"),
+                                              F.coalesce("text", F.lit(""))), 256), 1, 32))
     maybe = F.coalesce(F.col("text").rlike(r"@|\+[0-9]|[0-9][ -]?[0-9]|\.[0-9]"), F.lit(False))
     whole = docs.select(F.struct("*").alias("row"), F.when(maybe, key).alias("row_key"))
     rows = whole.where("row_key is not null").join(spans, "row_key", "left").select("row", "terms")

@@ -1,5 +1,6 @@
 """Secrets, personal data, quality and mixing."""
 
+import random
 import re
 import zlib
 
@@ -95,6 +96,32 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Wolfgangus" not in clean[200] and "<email>" in clean[200] and "clerk" in clean[200] and clean[201] == rows[201][1]
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    """Against a plain version: whole documents, entities of one document, short names, every occurrence."""
+    rng = random.Random(4)
+    common = ["clerk", "writes", "letter", "on", "a", "day", "of", "rain"]
+    rows = [(i, " ".join(rng.choices(common, k=40))) for i in range(300)]
+    rows[7] = (7, "Ngo spoke.\n" + "the clerk " * 60 + "write to n.x@mail.example.com\n" + "a day " * 60 + "and so NGO left")
+    rows[8] = (8, "Ada and Bo share ada@mail.example.com and bo@mail.example.com on a day of rain, says Ada")
+    rows[9] = (9, "Bo has bo@mail.example.com again")
+    rows.append(rows[9])
+    found = [(i, r["spans"]) for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() for i in [r["doc_id"]]]
+
+    entities = [{t[a:b] for _, a, b in privacy.base_spans(t)} for _, t in rows]
+    words = [[(m.group().lower(), *m.span()) for m in re.finditer(r"\w+", re.sub(r"\S+@[\w.]+", lambda m: " " * len(m.group()), t))] for _, t in rows]
+    expected = []
+    for k, (i, t) in enumerate(rows):
+        spans = [(a, b) for w, a, b in words[k] for e in sorted(entities[k])
+                 for n_t in [sum(w in {x for x, _, _ in own} for own in words)] for n_e in [sum(e in own for own in entities)]
+                 for both in [sum(e in own and w in {x for x, _, _ in ws} for own, ws in zip(entities, words))]
+                 if both >= 0.9 * n_t and both * len(rows) >= 64 * n_t * n_e]
+        base = [f"{kind}:{a}:{b}" for kind, a, b in privacy.base_spans(t)]
+        expected.append((i, ",".join(base + [f"term:{a}:{b}" for a, b in sorted(set(spans))])))
+    assert sorted(found) == sorted(expected)
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "ngo" not in clean[7].lower() and "Ada" not in clean[8] and "Bo" not in clean[9] and "clerk" in clean[7]
+
+
 def test_sanitised_rows_keep_their_columns(docs, no_docs):
     out = privacy.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
