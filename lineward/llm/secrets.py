@@ -1,7 +1,8 @@
 """Secrets in texts: fixed forms by pattern, others by how random their characters follow each other.
 
-Two character Markov models, one of random strings and one of ordinary words and identifiers, are counted
-on labelled samples. A run of key-like characters is a finding if it is likelier under the first.
+Two character Markov models, one of random strings and one of ordinary words and identifiers, are counted,
+the first on made keys and the values of the fixed forms, the second on the words of all documents. A run of
+key-like characters is a finding if it is likelier under the first.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lineward.llm.common import bounded_sample, map_texts, texts_of
+from lineward.llm.common import map_texts, texts_of
 
 # The forms that are always searched.
 KINDS = ("assign", "access", "hex", "random")
@@ -25,7 +29,7 @@ ASSIGN_LEAST, ACCESS, HEX = 6, re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A run is random if its log-likelihood ratio is this much for each character, on average.
 PER_CHARACTER = 0.7
-#: Documents whose words are the sample of ordinary strings, by a hash of their id; and random strings made.
+#: Made strings of each kind: so many for up to so many documents, and more in proportion.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
 _LEAN = 5.0
 _SYMBOLS = 96  # printable ASCII, and one for all else
@@ -35,12 +39,16 @@ def _codes(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 32) & (raw < 127), raw - 31, 0)
 
 
-def _transitions(strings: list[str]) -> np.ndarray:
+def _counted(strings: list[str]) -> np.ndarray:
+    """How often each symbol follows each in the strings."""
+    raw = np.frombuffer("\0".join(strings).encode("ascii", "replace"), np.uint8).astype(np.int64)
+    c, inside = _codes(raw), raw != 0
+    steps = inside[:-1] & inside[1:]
+    return np.bincount((c[:-1] * _SYMBOLS + c[1:])[steps], minlength=_SYMBOLS * _SYMBOLS).reshape(_SYMBOLS, _SYMBOLS)
+
+
+def _probabilities(counts: np.ndarray) -> np.ndarray:
     """Probability of each symbol after each; rare pairs lean on how frequent the symbol is at all."""
-    counts = np.zeros((_SYMBOLS, _SYMBOLS))
-    for s in strings:
-        c = _codes(np.frombuffer(s.encode("ascii", "replace"), np.uint8).astype(np.int64))
-        np.add.at(counts, (c[:-1], c[1:]), 1)
     alone = (counts.sum(0) + 1) / (counts.sum() + _SYMBOLS)
     return (counts + _LEAN * alone) / (counts.sum(1, keepdims=True) + _LEAN)
 
@@ -61,38 +69,87 @@ class RandomnessModel:
         return np.add.reduceat(steps, ends - sizes) / (sizes - 1)
 
 
+def _fit_counts(random_counts: np.ndarray, ordinary: np.ndarray) -> RandomnessModel:
+    return RandomnessModel(np.log(_probabilities(random_counts)) - np.log(_probabilities(ordinary)))
+
+
 def fit(random_strings: list[str], ordinary: list[str]) -> RandomnessModel:
-    return RandomnessModel(np.log(_transitions(random_strings)) - np.log(_transitions(ordinary)))
+    return _fit_counts(_counted(random_strings), _counted(ordinary))
 
 
-def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
-    """Random strings and ordinary ones: values of the fixed forms and made keys, words and names built of them."""
+def _made_keys() -> list[str]:
     rng = random.Random(17)
     digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
     sets = [digits + "abcdef", lower + digits, lower + lower.upper() + digits, lower.upper() + digits,
             lower + lower.upper() + digits + "+/", lower + lower.upper() + digits + "_-"]
-    keys = ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(16, 64))) for i in range(SAMPLE_RANDOM)]
-    words: list[str] = []
-    for text in texts:
-        for form, group in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0)):
-            keys += [m.group(group) for m in form.finditer(text) if len(m.group(group)) >= 16]
-            text = form.sub(" ", text)
-        # Long runs with letters and digits are what is looked for, whatever they stand in.
-        words += [w for w in re.findall(r"[A-Za-z0-9]{2,}", text) if len(w) < 16 or w.isalpha()]
-    words = words or ["the", "and", "of"]
-    names = []
-    for i in range(SAMPLE_RANDOM):
+    return ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(16, 64))) for i in range(SAMPLE_RANDOM)]
+
+
+def _key_values_and_words(text: str) -> tuple[list[str], list[str]]:
+    keys: list[str] = []
+    for form, group in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0)):
+        keys += [m.group(group) for m in form.finditer(text) if len(m.group(group)) >= 16]
+        text = form.sub(" ", text)
+    # Long runs with letters and digits are what is looked for, whatever they stand in.
+    return keys, [w for w in re.findall(r"[A-Za-z0-9]{2,}", text) if len(w) < 16 or w.isalpha()]
+
+
+def _names(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """Names built of words in all the ways of joining them, and words that repeat."""
+    first, out = rng.randrange(20), []
+    for i in range(first, first + n):
         some = rng.choices(words, k=rng.randint(2, 5))
-        names.append("".join(w.capitalize() for w in some) if i % 5 == 0 else "_-/="[i % 4].join(some))
-    # Rulers, repeats, counters and paths are ordinary as well.
-    fill = [c * 24 for c in "-=_+/xX0"] + [w * 4 for w in words[:SAMPLE_RANDOM]]
-    return keys, words + names + fill
+        out.append("".join(w.capitalize() for w in some) if i % 5 == 0 else "_-/="[i % 4].join(some))
+    return out + [w * 4 for w in rng.choices(words, k=n)]
+
+
+#: Rulers and counters are ordinary as well.
+_RULERS = [c * 24 for c in "-=_+/xX0"]
+
+
+def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Random strings and ordinary ones: values of the fixed forms and made keys, words and names built of them."""
+    found = [_key_values_and_words(text) for text in texts]
+    words = [w for _, own in found for w in own] or ["the", "and", "of"]
+    return (_made_keys() + [k for own, _ in found for k in own],
+            words + _names(words, SAMPLE_RANDOM, random.Random(17)) + _RULERS)
+
+
+def _all_counts(docs: DataFrame, names: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions in the values of the fixed forms, and in words and names of all documents: counted by tasks, summed by Spark."""
+
+    def run(batches):
+        total = np.zeros((2, _SYMBOLS, _SYMBOLS), np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                keys, words = _key_values_and_words(text)
+                if words:  # by a hash of the text, so that no other document counts
+                    words += _names(words, names, random.Random(zlib.crc32(text.encode())))
+                for side, strings in enumerate((keys, words)):
+                    if strings:
+                        total[side] += _counted(strings)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": cells, "n": total.reshape(-1)[cells]})
+
+    rows = texts_of(docs).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 2 x 96 x 96 at most
+    out = np.zeros(2 * _SYMBOLS * _SYMBOLS)
+    for r in rows:
+        out[r["cell"]] = r["n"]
+    return tuple(out.reshape(2, _SYMBOLS, _SYMBOLS))
 
 
 def train(docs: DataFrame) -> RandomnessModel:
-    """Models from at most SAMPLE_DOCS documents, chosen by a hash of their id, and made keys."""
-    sample = bounded_sample(texts_of(docs), SAMPLE_DOCS)
-    return fit(*labelled_strings([r["text"] for r in sample.collect()]))
+    """Models from all documents and made keys.
+
+    Made strings keep their share whatever the number of documents: names are built in every document, of
+    its words, and the counts of made keys and rulers are multiplied.
+    """
+    n = max(1, docs.count())
+    values, ordinary = _all_counts(docs, -(-SAMPLE_RANDOM // min(n, SAMPLE_DOCS)))
+    if not ordinary.any():
+        ordinary = _counted(labelled_strings([])[1])
+    times = max(1.0, n / SAMPLE_DOCS)
+    return _fit_counts(values + times * _counted(_made_keys()), ordinary + times * _counted(_RULERS))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -73,6 +73,23 @@ def test_randomness_model_on_held_out_strings():
     assert (model.scores(names) >= secrets.PER_CHARACTER).mean() < 0.02
 
 
+def test_randomness_model_counts_all_documents(spark):
+    """Identifiers of a small source count, however many documents the others have; parts and order don't matter."""
+    rng = random.Random(8)
+    odd = ["".join(rng.choices("QXZJ", k=2)) + "".join(rng.choices("vkwq", k=3)) for _ in range(60)]
+    rows = [(i, "ordinary words make a letter that people can read aloud") for i in range(6000)]
+    rows += [(10_000 + i, " ".join(rng.choices(odd, k=4000))) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.train(frame.repartition(5))
+    assert (model.ratio == secrets.train(frame.coalesce(1)).ratio).all()
+    values, ordinary = secrets._all_counts(frame, 2)
+    words = [w for _, t in rows for w in re.findall("[A-Za-z0-9]{2,}", t)]
+    pair = [ord("v") - 31, ord("k") - 31]
+    assert ordinary[tuple(pair)] >= sum(w.count("vk") for w in words) > 0 and not values.any()
+    names = ["_".join(rng.choices(odd, k=5)) for _ in range(200)]
+    assert (model.scores(names) >= secrets.PER_CHARACTER).mean() < 0.05
+
+
 def test_private_rows(spark, docs, no_docs):
     rows = privacy.find(docs).collect()
     assert len(rows) == len(awkward_rows())
