@@ -67,7 +67,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out.append(names & np.uint64(BUCKETS - 1))
         where.append(starts)
         # Word pairs, as far as they say something of words not seen before: the same word again, or another.
-        again = np.append(False, names[1:] == names[:-1])
+        text_of = np.searchsorted(np.cumsum(sizes), starts, "right")
+        again = np.append(False, (names[1:] == names[:-1]) & (text_of[1:] == text_of[:-1]))
         out += [np.where(again, _AGAIN, _OTHER)] * _PAIRS
         where += [starts] * _PAIRS
     where, out = np.concatenate(where), np.concatenate(out).astype(np.int32)

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from helpers import WORD, awkward_rows, sha
 
@@ -160,6 +161,18 @@ def test_quality_on_held_out_rows(spark):
     assert again == {r["doc_id"]: r["score"] for r in rows}
 
 
+def test_quality_features_do_not_depend_on_company():
+    """A text's first word isn't compared with the last one of the text before it."""
+    texts = ["one two end", "end", "end of it", "", "end end", "end", "it it", "\n", "it"]
+    alone = [sorted(quality.features([t])[0].tolist()) for t in texts]
+    for some in (texts, texts[::-1], texts[2:5]):
+        ids, sizes = quality.features(some)
+        together = [sorted(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert together == [alone[texts.index(t)] for t in some]
+    model = quality.QualityModel(np.random.default_rng(3).normal(size=quality.BUCKETS).astype(np.float32), 0.0)
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-6)
+
+
 def test_quality_awkward(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, None), (3, 5)], "doc_id long, quality int")
     rows = quality.score(docs, quality.train(docs, labels)).collect()
