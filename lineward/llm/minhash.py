@@ -272,6 +272,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     the component of its links, or null, and isn't kept. Two texts at the threshold share a bucket with a
     probability of 1 - 5e-8.
     """
+    return _placed(docs, size).drop("text_key")
+
+
+def _placed(docs: DataFrame, size: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with the key of their text."""
     rows = written(_sketched(docs, size), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
@@ -306,21 +311,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     named = classes.select("node", "set_key", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without all but one document of each group of near-duplicates, all columns.
 
-    The document with the smallest id stays. Rows without id stay, since nothing names them; of rows that
-    repeat an id that stays, one stays for each different text.
+    The document with the smallest id stays. Rows without id stay, since nothing names them. Of rows that
+    repeat an id each different text counts for itself; of equal rows that stay one stays.
     """
-    found = near_duplicates(docs, size)
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = _placed(docs, size)
+    gone = found.where("doc_id is not null and not kept").select(
+        F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & text_key.eqNullSafe(F.col("_gone_key")), "left_anti")
     repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
     return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

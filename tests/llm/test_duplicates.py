@@ -62,6 +62,14 @@ def test_minhash_group_around_a_base(spark):
     assert found == near_duplicates(rows)
 
 
+def test_minhash_keeps_the_distinct_text_of_a_repeated_id(spark):
+    rng = random.Random(12)
+    one, other = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(2))
+    rows = [(1, one), (2, one + " more"), (2, other), (3, None), (4, other), (None, one)]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, one), (2, other), (3, None), (None, one)]))
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(15):
