@@ -173,6 +173,19 @@ def test_quality_features_do_not_depend_on_company():
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-6)
 
 
+def test_quality_fits_four_thousand_documents(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "again " * (70_000 if i == 1 else i % 300), i % 2) for i in range(5200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda ids, counts, labels: seen.append((ids, counts, labels)))
+    quality.train(frame.select("doc_id", "text"), frame.select("doc_id", "quality").where("doc_id <> 5"))
+    ids, counts, labels = seen[0]
+    assert 0.9 * 4000 <= len(labels) <= 4000
+    for n in ([1, 255], [1, 256], [65_535, 3], [65_536, 3]):
+        assert quality._widened(quality._narrow(np.array(n)), 2).tolist() == n
+    assert all(len(a) == len(b) for a, b in zip(ids, counts))
+
+
 def test_quality_awkward(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, None), (3, 5)], "doc_id long, quality int")
     rows = quality.score(docs, quality.train(docs, labels)).collect()
