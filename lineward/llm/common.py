@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +118,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     return nodes.join(edges, nodes["node"] == edges["u"], "left").select(
         "node", F.coalesce("v", "node").alias("component"))
+
+
+#: Groups that hold at least one row in this many are sent to all tasks; there are no more of them than this.
+HOT_SHARE = 1000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Left join of ``rows`` to ``groups``, which has one row for each key with its number ``n`` of rows.
+
+    ``total`` is the number of ``rows``. A group that holds a thousandth of them or more is joined where its rows
+    are: there can be HOT_SHARE such groups at most, whatever the input. The others meet by a shuffle, where
+    none of them is more than a thousandth. Keys without a null.
+    """
+    hot = F.broadcast(groups.where(F.col(n) * HOT_SHARE >= total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(groups.where(F.col(n) * HOT_SHARE < total), keys, "left"))
+
+
+def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
+    store, path = pafs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://"))
+    return store, path.rstrip("/")

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm import (
+    alignment,
     byte_bpe,
+    filters,
     fingerprints,
     minhash,
     mixing,
@@ -19,10 +21,12 @@ from lineward.llm import (
     suffixes,
     token_files,
     vectors,
+    warc,
 )
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +74,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECES)
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(filters.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_token_files, op3_fingerprints, op4_quality, op5_secrets, op6_vectors, op7_suffixes, op8_privacy,
-        op9_byte_bpe, op10_minhash)}
+        op9_byte_bpe, op10_minhash, op11_warc, op12_alignment, op13_filters)}
 
 #: The others draw by hashes, train models, or call tokenizers: tests compare them with plain versions.
-SQL: dict[str, str] = {"op6_vectors": sqltext.VECTORS, "op10_minhash": sqltext.SHINGLES}
+SQL: dict[str, str] = {"op6_vectors": sqltext.VECTORS, "op10_minhash": sqltext.SHINGLES, "op11_warc": sqltext.ARCHIVE, "op13_filters": sqltext.FILTERS}
