@@ -164,8 +164,9 @@ def plain_alignment(rows):
                         links.append((a[i], b[k]))
                         k += 1
                 cuts = sorted(set(ea) & set(eb))
+                at_a, at_b = ({e: i for i, e in enumerate(es)} for es in (ea, eb))
                 for x, y in zip(cuts, cuts[1:]):
-                    groups.append(",".join(str(i) for i, e in zip(a, ea) if x <= e < y) + "|" + ",".join(str(i) for i, e in zip(b, eb) if x <= e < y))
+                    groups.append("|".join(",".join(map(str, ids[at[x]:at[y]])) for ids, at in ((a, at_a), (b, at_b))))
         counts.update(links)
         kept.append((doc, a, b, groups, links))
     top = defaultdict(int)
