@@ -13,6 +13,8 @@ partitions' totals; ids themselves are written once and never moved.
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 from functools import lru_cache
 from itertools import accumulate
@@ -28,7 +30,10 @@ from lineward.llm.common import shared_folder, texts_of
 #: Words whose ids a worker keeps; the store is emptied when it is full.
 CACHED_WORDS = 600_000
 _LONGEST_CACHED = 64
-_MARK, _TOGETHER = "\x01", 2000
+_MARK, _MARK_BYTE, _TOGETHER = "\x01", b"\x01", 2000
+#: Marks at which a word may be cut after a letter; the apostrophe opens suffixes.
+_PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
+_LETTERS_AND_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]*[a-zA-Z])([" + re.escape(_PUNCTUATION).encode() + rb"]+)")
 #: Stands for a null document id in docs-p.bin.
 NULL_ID = -(1 << 63)
 
@@ -46,10 +51,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
         # A mark between words, so that thousands are encoded by one call; its id comes from nothing else.
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        (self.mark,) = self._plain(_MARK)
+        if any(self._plain(f"a{c}b") != self._plain("a b") for c in "\t\n\r\x0b\x0c"):
+            raise ValueError("the tokenizer doesn't drop white space")
+        self.lower = all(self._plain(c.upper()) == self._plain(c) for c in string.ascii_lowercase)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = all(self._plain(f"ab{c}") == self._plain("ab") + self._plain(c) for c in _PUNCTUATION)
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word; none of them holds the mark or white space that ends a word."""
@@ -63,27 +76,33 @@ class WordEncoder:
             out += [raw[(a + 1) * size:b * size] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _folded(self, raw: bytes) -> bytes:
+        """A text in lower case where the tokenizer makes no difference; its special tokens are found as they are written."""
+        small = raw.lower() if self.lower else raw
+        return raw if any(t in small for t in self.special) else small
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """A word as letters and the marks behind them, where the tokenizer cuts there too; many words share either."""
+        m = _LETTERS_AND_MARKS.fullmatch(word) if self.cut else None
+        return m.groups() if m else (word,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split, new = [], set()
-        for text in texts:
-            # Blank, tab and line ends only: other white space is left to the tokenizer.
-            words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-            split.append(words)
-            new.update(words)
-        new = [w for w in new.difference(self.known) if w]
-        plain = [w for w in new if _MARK not in w]
-        self.known[""] = b""
-        self.known.update(zip(plain, self._ids(plain)))
-        self.known.update((w, self._alone(w)) for w in new if _MARK in w)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in new:
+        known = self.known
+        # ASCII white space only: other white space is left to the tokenizer, and so are other capitals.
+        split = [self._folded(t.encode()).split() for t in texts]
+        new = set().union(*split).difference(known)
+        parts = {w: self._parts(w) for w in new}
+        needed = set().union(*parts.values()).difference(known)
+        plain = [w for w in needed if _MARK_BYTE not in w]
+        known.update(zip(plain, self._ids([w.decode() for w in plain])))
+        known.update((w, np.array(self._plain(w.decode()), self.dtype).tobytes()) for w in needed if _MARK_BYTE in w)
+        known.update((w, known[p[0]] + known[p[1]]) for w, p in parts.items() if len(p) > 1)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in new | needed:
             if len(word) > _LONGEST_CACHED:
-                del self.known[word]
+                del known[word]
         return out
 
 
