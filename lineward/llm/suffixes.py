@@ -18,6 +18,7 @@ All verdicts are places in documents, joined to the texts at the end.
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -244,11 +245,12 @@ def common_prefixes(b: np.ndarray, ends: np.ndarray, order: np.ndarray, most: in
     return common[order]
 
 
-def repeats(snippets: list[bytes], places: np.ndarray, ords: np.ndarray, starts: np.ndarray):
-    """Strings of LENGTH bytes in the snippets: (ord, start, first of its equals, snippet, offset), one each.
+def repeats(snippets: list[bytes], places: np.ndarray, ords: np.ndarray, starts: np.ndarray, salted: np.ndarray):
+    """Strings of LENGTH bytes in the snippets: (ord, start, first of its equals, snippet, offset, in a salted one), one each.
 
-    ``places``: where the anchor is in each snippet; ``ords`` and ``starts``: document, and the snippet's place in it.
-    Only strings that hold their snippet's anchor count.
+    ``places``: where the anchor is in each snippet; ``ords`` and ``starts``: document, and the snippet's place in it;
+    ``salted``: whether the snippet's anchor has others elsewhere. Only strings that hold their snippet's anchor
+    count. The last result is decided by all snippets that hold an equal string, whichever stands for them.
     """
     ends = np.cumsum([len(s) for s in snippets])
     b = np.frombuffer(b"".join(snippets), np.uint8)
@@ -260,13 +262,14 @@ def repeats(snippets: list[bytes], places: np.ndarray, ords: np.ndarray, starts:
     group = np.cumsum(common < LENGTH)
     group, owner, offset = group[fits], owner[fits], offset[fits]
     ord_, start = ords[owner], starts[owner] + offset
+    elsewhere = np.bincount(group, salted[owner])[group] > 0 if len(group) else np.zeros(0, bool)
     sort = np.lexsort((start, ord_, group))
-    group, owner, offset, ord_, start = group[sort], owner[sort], offset[sort], ord_[sort], start[sort]
+    group, owner, offset, ord_, start, elsewhere = (x[sort] for x in (group, owner, offset, ord_, start, elsewhere))
     # A string may be in several snippets of its document: it is one.
     new_group = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
     again = ~new_group & np.append(False, (ord_[1:] == ord_[:-1]) & (start[1:] == start[:-1])) if len(group) else new_group
     kept = ~again
-    return ord_[kept], start[kept], new_group[kept], owner[kept], offset[kept]
+    return ord_[kept], start[kept], new_group[kept], owner[kept], offset[kept], elsewhere[kept]
 
 
 def _starts(ords: np.ndarray, starts: np.ndarray):
@@ -288,9 +291,9 @@ def _sort_shards(parts: int):
     def shard(rows: dict):
         snippets = rows["snippet"]
         ords, starts = np.array(rows["ord"]), np.array(rows["start"])
-        ord_, start, first, owner, offset = repeats(snippets, np.array(rows["place"]), ords, starts)
+        ord_, start, first, owner, offset, elsewhere = repeats(snippets, np.array(rows["place"]), ords, starts, np.array(rows["salt"]) >= 0)
         a, b = _starts(ord_[~first], start[~first])
-        handed = first & (np.array(rows["salt"]) >= 0)[owner]
+        handed = first & elsewhere
         heads = np.zeros(int(handed.sum()), _HEAD)
         digests = b"".join(hashlib.blake2b(snippets[w][x:x + LENGTH], digest_size=16).digest()
                            for w, x in zip(owner[handed].tolist(), offset[handed].tolist()))
@@ -325,28 +328,46 @@ def _sort_shards(parts: int):
     return run
 
 
+def _words(run: np.ndarray) -> np.ndarray:
+    """The digests of a run, which order it."""
+    out = np.zeros(len(run), [("w0", "<u8"), ("w1", "<u8")])
+    out["w0"], out["w1"] = run["w0"], run["w1"]
+    return out
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs as one that holds the first of each string, and the strings that aren't first."""
+    known, wanted = _words(x), _words(y)
+    place = np.searchsorted(known, wanted)
+    hit = place < len(known)
+    hit[hit] = known[place[hit]] == wanted[hit]
+    old, new = x[place[hit]], y[hit]
+    same = (old["ord"] == new["ord"]) & (old["at"] == new["at"])
+    earlier = (old["ord"] < new["ord"]) | ((old["ord"] == new["ord"]) & (old["at"] <= new["at"]))
+    first = x.copy()
+    first[place[hit]] = np.where(earlier, old, new)
+    return np.insert(first, place[~hit], y[~hit]), np.concatenate([new[earlier & ~same], old[~earlier]])
+
+
 def _merge_runs(batches):
-    """Sorted runs of different shards: a string that another run has earlier is a repeat."""
-    runs = [np.frombuffer(x, _HEAD) for batch in batches for x in batch.column(0).to_pylist()]
+    """Sorted runs of different shards: a string that another run has earlier is a repeat.
+
+    Runs are merged by binary search, the two shortest first, so that a string is moved a logarithmic number of times.
+    """
+    runs = [(len(x), i, np.frombuffer(x, _HEAD)) for i, x in enumerate(x for batch in batches for x in batch.column(0).to_pylist())]
     if not runs:
         return
-    word = [np.zeros(len(r), [("w0", "<u8"), ("w1", "<u8")]) for r in runs]
-    for w, r in zip(word, runs):
-        w["w0"], w["w1"] = r["w0"], r["w1"]
-    merged, known = runs[0], word[0]  # the first of each string so far, in order of the digests
-    gone = []
-    for r, w in zip(runs[1:], word[1:]):
-        place = np.searchsorted(known, w)
-        hit = place < len(known)
-        hit[hit] = known[place[hit]] == w[hit]
-        old, new = merged[place[hit]], r[hit]
-        same = (old["ord"] == new["ord"]) & (old["at"] == new["at"])
-        earlier = (old["ord"] < new["ord"]) | ((old["ord"] == new["ord"]) & (old["at"] <= new["at"]))
-        gone += [new[earlier & ~same], old[~earlier]]
-        merged = merged.copy()
-        merged[place[hit]] = np.where(earlier, old, new)
-        merged, known = np.insert(merged, place[~hit], r[~hit]), np.insert(known, place[~hit], w[~hit])
-    found = np.concatenate([*gone, np.zeros(0, _HEAD)])
+    heapq.heapify(runs)
+    gone, n = [np.zeros(0, _HEAD)], len(runs)
+    while len(runs) > 1:
+        (_, _, x), (_, _, y) = heapq.heappop(runs), heapq.heappop(runs)
+        both, late = _merged(y, x)
+        gone.append(late)
+        n += 1
+        heapq.heappush(runs, (len(both), n, both))
+    found = np.concatenate(gone)
+    # A string that came third or later may have been put behind several: it is one.
+    found = np.unique(found[["ord", "at"]])
     a, b = _starts(found["ord"], found["at"])
     yield pa.RecordBatch.from_pydict({"ord": pa.array(a, pa.int64()), "starts": pa.array(b, pa.binary())})
 

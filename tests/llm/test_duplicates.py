@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import awkward_rows, near_duplicates, sha, shingle_set, without_repeats
 
 from lineward.llm import common, fingerprints, minhash, suffixes, vectors
@@ -107,6 +108,19 @@ def test_repeated_passages(spark, docs, no_docs, monkeypatch):
     assert suffixes.without_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8, 25, 60])
+def test_repeated_passages_of_many_corpora(spark, monkeypatch, shard):
+    """Forty corpora that share no character, so that each is removed from as if it were alone; many runs to merge."""
+    monkeypatch.setattr(suffixes, "SHARD", shard)
+    monkeypatch.setattr(suffixes, "_SHARD_BYTES", 1 << 14)
+    rows = []
+    for seed in range(40):
+        own = {ord(c): 0x100 + 16 * seed + k for k, c in enumerate("ab cdexy")}
+        rows += [(1000 * seed + i, t.translate(own)) for i, t in _passages(random.Random(seed))[:120]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, suffixes.without_repeats(frame).collect())) == without_repeats([(i, t.encode()) for i, t in rows])
+
+
 def test_repeated_passages_awkward(docs):
     rows = awkward_rows()
     found = suffixes.without_repeats(docs).collect()
