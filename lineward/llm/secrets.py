@@ -11,6 +11,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +27,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_LEAST, ACCESS, HEX = 6, re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 
 #: Runs that the models judge, their least length included.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A run is random if its log-likelihood ratio is this much for each character, on average.
-PER_CHARACTER = 0.7
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run is random if its log-likelihood ratio is this much for each character, on average; a shorter one than
+#: WHOLE characters needs the evidence of so many.
+PER_CHARACTER, WHOLE = 0.7, 20
 #: Made strings of each kind: so many for up to so many documents, and more in proportion.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
 _LEAN = 5.0
@@ -69,6 +71,12 @@ class RandomnessModel:
         return np.add.reduceat(steps, ends - sizes) / (sizes - 1)
 
 
+    def is_random(self, strings: list[str]) -> np.ndarray:
+        """Whether each string's evidence is enough: PER_CHARACTER on average, and as much in all as WHOLE characters have."""
+        sizes = np.array([len(s) for s in strings])
+        return self.scores(strings) * sizes >= PER_CHARACTER * np.maximum(sizes, WHOLE)
+
+
 def _fit_counts(random_counts: np.ndarray, ordinary: np.ndarray) -> RandomnessModel:
     return RandomnessModel(np.log(_probabilities(random_counts)) - np.log(_probabilities(ordinary)))
 
@@ -165,12 +173,26 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _uncovered(runs: Iterable[re.Match], spans: list[tuple[str, int, int]]) -> list[re.Match]:
+    """The runs, in order, that no single span covers whole; one walk along both."""
+    by_start, out = sorted((a, b) for _, a, b in spans), []
+    at, reach = 0, -1  # the furthest end of the spans that start at or before the run
+    for m in runs:
+        while at < len(by_start) and by_start[at][0] <= m.start():
+            reach = max(reach, by_start[at][1])
+            at += 1
+        if reach < m.end():
+            out.append(m)
+    return out
+
+
 def scan(docs: DataFrame, model: RandomnessModel | None = None) -> DataFrame:
     """Secrets of every whole text of ``docs(doc_id, text)``; the models are trained on ``docs`` if not given.
 
     doc_id, n_assign, n_access, n_hex, base_sha256 (of the fixed forms' spans) and spans: kind:start:end in
     code points, by start, then kind. ``random`` spans come from the models; a run that a fixed form
-    covers whole isn't listed again. Null and empty texts have no spans; repeated rows come back as often.
+    covers whole isn't listed again. Null and empty texts have no spans; repeated rows come back as often, null ids as
+    they are; no rows give none. A text of any length takes time in proportion.
     """
     model = model or train(docs)
 
@@ -179,12 +201,12 @@ def scan(docs: DataFrame, model: RandomnessModel | None = None) -> DataFrame:
         for i, text in enumerate(texts):
             own = base_spans(text)
             base.append(own)
-            runs += [(i, m.start(), m.group()) for m in CANDIDATE.finditer(text)
-                     if not any(a <= m.start() and m.end() <= b for _, a, b in own)]
+            runs += [(i, m.start(), m.group()) for m in _uncovered(CANDIDATE.finditer(text), own)]
         extra: list[list] = [[] for _ in texts]
         if runs:
-            for (i, at, s), score in zip(runs, model.scores([r[2] for r in runs])):
-                if score >= PER_CHARACTER:
+            strings = [r[2] for r in runs]
+            for (i, at, s), random_ in zip(runs, model.is_random(strings).tolist()):
+                if random_:
                     extra[i].append(("random", at, at + len(s)))
         n = [[sum(k == kind for k, _, _ in own) for own in base] for kind in KINDS[:3]]
         return {"doc_id": keys, "n_assign": n[0], "n_access": n[1], "n_hex": n[2],
