@@ -42,9 +42,9 @@ def sha(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_set(text: str | None, size: int = 4) -> frozenset:
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset(tuple(w[j:j + 4]) for j in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[j:j + size]) for j in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
 def lowest_reachable(n: int, links: list[tuple[int, int]]) -> list[int]:
@@ -60,10 +60,10 @@ def lowest_reachable(n: int, links: list[tuple[int, int]]) -> list[int]:
     return low
 
 
-def near_duplicates(rows: list[tuple[int, str]]) -> set[tuple]:
+def near_duplicates(rows: list[tuple[int, str]], size: int = 4) -> set[tuple]:
     """(doc_id, n_shingles, component_id, kept) by comparing all pairs; rows in ascending id."""
     rows = sorted(rows)
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, size) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and
              100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     low = lowest_reachable(len(rows), links)

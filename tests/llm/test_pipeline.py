@@ -18,7 +18,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -36,7 +36,7 @@ def test_stages(spark):
     accepted = {r["doc_id"] for r in quality.score(docs, model).collect() if r["predicted"]}
     assert {r["doc_id"] for r in good.collect()} == accepted and good.count() < docs.count()
 
-    one_each = {i for i, _, _, kept_ in near_duplicates([(r["doc_id"], r["text"]) for r in good.collect()]) if kept_}
+    one_each = {i for i, _, _, kept_ in near_duplicates([(r["doc_id"], r["text"]) for r in good.collect()], corpus_pipeline.SHINGLE) if kept_}
     assert sorted(r["doc_id"] for r in distinct.collect()) == sorted(one_each)
 
     private = {r["doc_id"]: r for r in privacy.find(distinct).collect()}
