@@ -77,18 +77,23 @@ def _before(docs: DataFrame) -> DataFrame:
         "_before", F.col("_ahead") + F.col("_inside"))
 
 
+def _row_key() -> Column:
+    """Hash of id, text and source; a null source is no source's name."""
+    return F.xxhash64("doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+
+
 def mix(docs: DataFrame, weight: Column | None = None, cut_last: bool = True) -> DataFrame:
     """How much of each row of ``docs(doc_id, text, source)`` the mix takes.
 
     doc_id, size (words; null text 0), source_size, target (of its source) and taken (words, repeats
-    counted), and ``row_key``, a hash of id and text. With ``cut_last`` the document at the end of a budget
+    counted), and ``row_key``, a hash of id, text and source. With ``cut_last`` the document at the end of a budget
     gives only the words that are missing; without, it comes whole if that is nearer to the target.
     Rows of equal keys (repeated rows) follow each other in an order fixed by the plan's own row numbers.
     A null source is a source of its own, a null id has a key by its text alone.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", size_in_words("text").alias("size"),
-        F.xxhash64("doc_id", "text").alias("row_key"),
+        _row_key().alias("row_key"),
         sampling_key(weight if weight is not None else quality_weight("text"), "doc_id", "text").alias("_key"),
     ).withColumn("_tie", F.monotonically_increasing_id())
     rows = written(rows, "sized")
@@ -108,14 +113,24 @@ def mix(docs: DataFrame, weight: Column | None = None, cut_last: bool = True) ->
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``docs``, as often as whole copies are taken, with all their columns."""
+    """The mix itself: the rows of ``docs``, as often as whole copies are taken, with all their columns.
+
+    Rows that repeat id, text and source share the copies that were planned for them, the first ones one more if they
+    don't come out even; the same text in another source has that source's copies. No rows give none.
+    """
     amount = mix(docs, cut_last=False)
     copies = amount.groupBy(F.col("row_key").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("_key")).join(copies, "_key")
-    # Repeated rows share their copies; only those are numbered.
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(number <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    repeated = rows.where("_rows > 1").withColumn("_copies", share.cast("long")).where("_copies > 0")
-    every = rows.where("_rows = 1").unionByName(repeated)
+    rows = docs.select(F.struct("*").alias("row"), _row_key().alias("_key")).join(copies, "_key")
+    # Only repeated rows are numbered: within the part that they lie in, after those of the parts before.
+    repeated = written(rows.where("_rows > 1").withColumn("_part", F.spark_partition_id()).withColumn("_tie", F.monotonically_increasing_id()), "repeated")
+    parts = repeated.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", "_key", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_part", "_key").orderBy("_tie"))
+    repeated = repeated.withColumn("_inside", inside).join(parts, ["_part", "_key"])
+    one_more = F.col("_ahead") + F.col("_inside") <= F.col("_copies") % F.col("_rows")
+    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(one_more, 1).otherwise(0)
+    repeated = repeated.select("row", share.cast("long").alias("_copies")).where("_copies > 0")
+    every = rows.where("_rows = 1").select("row", "_copies").unionByName(repeated)
     return every.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -291,6 +292,21 @@ def test_mix(spark, docs, cut_last):
         assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(frame, cut_last=cut_last).collect()))
 
 
+def test_mixed_documents_keep_their_source(spark):
+    """Rows in several sources, some repeated: every source comes out with the copies that were planned for it."""
+    rng = random.Random(31)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc"], k=rng.randint(5, 60))) for _ in range(40)]
+    rows = [(i % 30, texts[i % 40], rng.choice(["s1", "s2", "s3", None])) for i in range(400)] + [(7, "all the same words", s) for s in ("s1", "s3") * 60]
+    rows += [(8, None, "x"), (8, "x", None), (8, "x", "x")] * 4
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    planned, got = Counter(), Counter()
+    for r in mixing.mix(frame, cut_last=False).collect():
+        planned[r["doc_id"], r["size"], r["source"]] += r["copies"]
+    for r in mixing.mixed_documents(frame).collect():
+        got[r["doc_id"], len((r["text"] or "").split()), r["source"]] += 1
+    assert got == Counter({k: n for k, n in planned.items() if n})
+
+
 def test_mixed_documents(docs, no_docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
