@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import chunks, components, mix64, texts_of, written
+from lineward.llm.common import chunks, components, joined_to_groups, mix64, texts_of, written
 
 SHINGLE, SIMILARITY = 4, 80
 BINS, ROWS = 128, 4
@@ -100,8 +100,14 @@ def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def short(sketch: np.ndarray) -> np.ndarray:
+    """The last 16 bits of each value: what is kept, for buckets and for estimates."""
+    return (sketch & np.uint64(0xFFFF)).astype("<u2")
+
+
 def bands(sketch: np.ndarray) -> np.ndarray:
-    """Bucket of each band; the band is part of it."""
+    """Bucket of each band of short sketches; the band is part of it."""
+    sketch = sketch.astype(np.uint64)
     total = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64) + np.uint64(1), (len(sketch), BINS // ROWS)).copy()
     for i in range(ROWS):
         total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + sketch[:, i::ROWS])
@@ -109,35 +115,38 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document without its text: number of shingles, digest of the set, sketch, buckets."""
+    """A row for each document without its text: number of shingles, digest of the set, sketch."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([len(t) for t in texts]):
                 values, counts = shingles(texts[a:b], size)
-                sketch = sketches(values, counts)
-                short = (sketch & np.uint64(0xFFFF)).astype("<u2")
-                buckets = bands(sketch)
+                sketch = short(sketches(values, counts))
                 ends = np.cumsum(counts)
-                keys, short_of, bands_of, i = [], [], [], 0
+                keys, own, i = [], [], 0
                 for end, n in zip(ends.tolist(), counts.tolist()):
-                    if n:
-                        keys.append(hashlib.blake2b(values[end - n:end].tobytes(), digest_size=16).digest())
-                        short_of.append(short[i].tobytes())
-                        bands_of.append(buckets[i])
-                        i += 1
-                    else:
-                        keys.append(None)
-                        short_of.append(None)
-                        bands_of.append(None)
+                    keys.append(hashlib.blake2b(values[end - n:end].tobytes(), digest_size=16).digest() if n else None)
+                    own.append(sketch[i].tobytes() if n else None)
+                    i += n > 0
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a), "text_key": batch.column(2).slice(a, b - a), "n_shingles": counts,
-                    "set_key": pa.array(keys, pa.binary()), "sketch": pa.array(short_of, pa.binary()),
-                    "buckets": pa.array(bands_of, pa.list_(pa.int64()))})
+                    "set_key": pa.array(keys, pa.binary()), "sketch": pa.array(own, pa.binary())})
 
     return texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary, buckets array<long>")
+        run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(node, bucket): the buckets of each class, from its sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, BINS)
+                yield pa.RecordBatch.from_pydict({"node": np.repeat(part.column(0).to_numpy(), BINS // ROWS), "bucket": bands(sketch).reshape(-1)})
+
+    return classes.select("node", "sketch").mapInArrow(run, "node long, bucket long")
 
 
 def _possible(n_a, n_b, agree):
@@ -193,6 +202,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The classes of two blocks that their sketches may link with one of another component: the others need no text."""
+    x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+    a, b = (pdf[pdf["block"] == k] for k in (x, y))
+    if not len(a) or not len(b):
+        return pdf.iloc[:0][_PLACED]
+    sa, sb = (np.frombuffer(b"".join(f["sketch"]), "<u2").reshape(-1, BINS) for f in (a, b))
+    na, nb, la, lb = (f[c].to_numpy() for c in ("n_shingles", "label") for f in (a, b))
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for j in range(len(b)):
+        some = (la != lb[j]) & (100 * np.minimum(na, nb[j]) >= SIMILARITY * np.maximum(na, nb[j]))
+        some = np.flatnonzero(some & ~in_a if in_b[j] else some)
+        if len(some):
+            ok = some[_possible(na[some], nb[j], (sa[some] == sb[j]).mean(1))]
+            in_a[ok] = True
+            in_b[j] |= len(ok) > 0
+    return pd.concat([a[in_a], b[in_b]])[_PLACED].drop_duplicates()
+
+
+_PLACED = ["hub", "x", "y", "block", "label", "node"]
+
+
 def _across(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
     """Links between two blocks of a family, as far as they join components: confirmed on the full sets.
 
@@ -280,19 +311,18 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     rows = written(_sketched(docs, size), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
-        F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+        F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    members = classes.select("node", F.explode("buckets").alias("bucket"))
+    members = _members(classes)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = members.join(shared, "bucket")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = written(members.join(degree, "node").select("bucket", "node", "degree"), "members")
-    ids = classes.join(degree.select("node"), "node", "left_semi").select(
-        "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
-    whole = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
-    texts = written(whole.join(ids, whole["doc_id"].eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
-                    .groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # One column as the key, null ids included: the join's partitions serve the aggregate that follows.
+    ids = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("key"))
+    whole = texts_of(docs).select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("key"), "text")
+    texts = written(whole.join(ids, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("n"))).alias("top")).select(
         "bucket", (-F.col("top.n")).alias("a"))
@@ -300,19 +330,28 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     links = written(_confirmed(_sketch_test(star, classes), texts, size), "links")
 
     # Buckets with more than one component left: their classes are compared across components, block by block.
-    pairs = _block_pairs(written(_families(members, links), "families"))
-    pairs = pairs.join(classes.select("node", "n_shingles", "sketch"), "node").join(texts, "node")
+    # First by their sketches, which say who needs a text at all; blocks are dealt out by their number, not their bytes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = classes.select("node", "n_shingles", "sketch")
+    pairs = _block_pairs(written(_families(members, links), "families")).join(sketched, "node").repartition(parts, "hub", "x", "y")
+    likely = written(pairs.groupBy("hub", "x", "y").applyInPandas(_likely, "hub long, x long, y long, block long, label long, node long"), "likely")
+    pairs = likely.join(sketched, "node").join(texts, "node").repartition(parts, "hub", "x", "y")
+
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         return _across(pdf, size)
 
     more = written(pairs.groupBy("hub", "x", "y").applyInPandas(across, "a long, b long"), "links")
 
     placed = components(links.union(more))
-    named = classes.select("node", "set_key", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named = written(classes.select("node", "set_key", "low", "copies").join(placed, "node", "left").select(
+        "set_key", "low", "copies", F.coalesce("component", "node").alias("component")), "named")
+    lowest = written(named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lowest")
+    named = joined_to_groups(named, lowest, ["component"], "n", named.count())
+    named = written(named.select("set_key", "copies", "component_id"), "named")
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key")
+    out = joined_to_groups(out.where("set_key is not null"), named, ["set_key"], "copies", rows.count()).drop("copies").unionByName(
+        out.where("set_key is null").withColumn("component_id", F.col("doc_id")))
+    component = F.col("component_id")
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
