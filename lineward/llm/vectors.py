@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import components, written
+from lineward.llm.common import components, joined_to_groups, written
 
 THRESHOLD = 0.93
 #: Vectors of a block; two blocks are compared by one task.
@@ -164,11 +164,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     placed = components(joined)
     named = classes.select("node", "class_key", "copies", "low").join(links, "node", "left").join(placed, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "component").select(
-        "class_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "class_key").join(named, "class_key", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "node")), "named")
+    lowest = written(named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lowest")
+    named = written(joined_to_groups(named, lowest, ["component"], "n", named.count()).select(
+        "class_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "copies"), "named")
+    out = rows.select("vec_id", "class_key")
+    some = out.where("class_key is not null")
+    out = joined_to_groups(some, named, ["class_key"], "copies", rows.count()).drop("copies").unionByName(
+        out.where("class_key is null"), allowMissingColumns=True)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.when(F.col("vec_id").isNotNull(), component).alias("component_id"),
