@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import accumulate, permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineward.llm.common import joined_to_groups, written
-from lineward.operators.numbering import number_rows
 
 #: Characters, documents and different words that a block holds at most before it is closed.
 BLOCK_CHARS, BLOCK_DOCS, BLOCK_WORDS = 1 << 23, 20_000, 1 << 19
@@ -129,20 +129,49 @@ class Shard:
         return np.diff(self.indptr)
 
 
+def _numbered(named: DataFrame) -> DataFrame:
+    """(block, local, term, word) from (block, local, word): each word's number in the corpus, the word in one of its rows only.
+
+    One shuffle by word: in a sorted partition a word's number is how many others came before it, and partitions
+    follow each other. Only their sizes come to the driver, one for each.
+    """
+    spark = named.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        part, last, at = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(2)
+            new = np.append(word[0].as_py() != last, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))
+            place = at + np.cumsum(new)
+            last, at = word[len(word) - 1].as_py(), int(place[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(word), part, np.int32)), batch.column(0), batch.column(1), pa.array(place), pc.if_else(pa.array(new), word, None)],
+                ["part", "block", "local", "at", "word"])
+
+    sorted_ = named.select("block", "local", "word").repartition(parts, "word").sortWithinPartitions("word", "block")
+    placed = written(sorted_.mapInArrow(run, "part int, block long, local int, at long, word binary"), "terms")
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg((F.max("at") + 1).alias("n")).collect())
+    bases = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, accumulate((n for _, n in sizes), initial=0))], "part int, base long")
+    return placed.join(F.broadcast(bases), "part").select("block", "local", (F.col("base") + F.col("at")).alias("term"), "word")
+
+
 def _shards(rows: DataFrame, keep: list[str]) -> tuple:
-    """Documents and (block, local, term) of their words, both grouped by block, and the global dictionary."""
+    """Documents and the numbers of their words, both grouped by block, and the global dictionary."""
     counted = written(_counted(rows, keep), "counted")
-    named = counted.where("words is not null").select("block", F.posexplode("words").alias("local", "word"))
-    dictionary = number_rows(named.select("word").distinct(), ["word"], "term")
-    terms = named.join(dictionary, "word").select(F.col("block").alias("of"), "local", (F.col("term") - 1).alias("term"))
+    terms = _numbered(counted.where("words is not null").select("block", F.posexplode("words").alias("local", "word")))
+    dictionary = terms.where("word is not null").select("word", "term")
+    terms = terms.select(F.col("block").alias("of"), "local", "term")
     return counted.where("words is null").drop("words").groupBy("block").cogroup(terms.groupBy("of")), dictionary
 
 
 def term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of ``docs(doc_id, text)`` and its dictionary.
 
-    Matrix: shard, doc_id, and the row as indices (ascending) and data. Dictionary: word (bytes) and term, its index, in
-    ascending order of words. Null and empty texts have empty rows; repeated rows are rows of their own.
+    Matrix: shard, doc_id, and the row as indices (ascending) and data. Dictionary: word (bytes) and term, its index
+    from 0 on without gaps. Null and empty texts have empty rows; repeated rows are rows of their own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     grouped, dictionary = _shards(rows, ["doc_id"])
@@ -158,7 +187,7 @@ def term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                          "indices": pa.array(indices, pa.list_(pa.int64())), "data": pa.array(data, pa.list_(pa.int64()))})
 
     return (grouped.applyInArrow(build, "shard long, doc_id long, indices array<long>, data array<long>"),
-            dictionary.select("word", (F.col("term") - 1).alias("term")))
+            dictionary)
 
 
 def failures(docs: DataFrame) -> DataFrame:
