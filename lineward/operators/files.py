@@ -183,8 +183,9 @@ def expand_archives(files: DataFrame, max_depth: int | None = None) -> tuple[Dat
 def with_status(extracted: DataFrame) -> DataFrame:
     """Add ``status`` and ``reason``.
 
-    In order: no text, judged by the file's structure; what the extractor reported; a sizeable file
-    with next to no text. Everything unreadable for another reason than encryption is damaged.
+    In order: no text, judged by the file's structure; what the extractor reported; a sizeable file with next to no
+    text, which is labelled so whatever its structure looks like. Everything unreadable for another reason than
+    encryption is damaged.
     """
     low = P.low_text(F.col("size"), F.col("text"))
     why = (F.col("diagnosis") if "diagnosis" in extracted.columns
@@ -194,14 +195,14 @@ def with_status(extracted: DataFrame) -> DataFrame:
     def reason(diagnosis: Column) -> Column:
         return (
             F.when(text.isNull(), diagnosis).when(told.isin(ENCRYPTED, DAMAGED, MISSING_READER), told)
-            .when(diagnosis == ENCRYPTED, ENCRYPTED).when(diagnosis.isNotNull(), LOW_TEXT).otherwise(OK))
+            .when(low, LOW_TEXT).otherwise(OK))
 
     def outcome(reason: Column) -> Column:
         status = F.when(reason.isin(OK, ENCRYPTED, MISSING_READER), reason).otherwise(DAMAGED)
         return F.struct(reason.alias("reason"), status.alias("status"))
 
-    # Only files that need a diagnosis get one.
-    needed = F.when(text.isNull() | low, why)
+    # Only files without a text need a diagnosis.
+    needed = F.when(text.isNull(), why)
     checked = extracted.withColumn("_check", let(let(needed, reason), outcome))
     return checked.select(*[c for c in checked.columns if c != "_check"], "_check.*")
 

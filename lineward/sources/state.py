@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from lineward.session import ensure_checkpoint_dir
 
 _PREFIX = "version="
-# A report of up to this many lines is written as one file.
 
 
 def _file_system(spark: SparkSession, path: str):
