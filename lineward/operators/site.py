@@ -8,9 +8,11 @@ with the same number of buckets, so a level shuffles the pages it discovers and
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineward.functions import urls as U
@@ -27,18 +29,29 @@ def _bucketed(df: DataFrame, name: str, key: str, buckets: int, mode: str = "ove
     return spark.table(name)
 
 
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside join on (url, seed) where both sides are dealt out by url alone."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def next_level(visited: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(seed, url, depth): what the pages at ``depth`` - 1 link to and no level has.
 
-    The join and the removal of known pages find both sides in place. Links to one page are merged before they travel.
+    The join and the removal of known pages find both sides in place. The one shuffle is that of the pages found, by url;
+    links to one page are merged before they travel, the seeds that reach it as a set.
     """
     here = visited.where(F.col("depth") == depth - 1).select("seed", "url")
-    found = here.join(edges, here["url"] == edges["src"]).select("seed", F.col("dst").alias("url")).distinct()
-    # The one shuffle of a level: to the buckets of the pages found.
-    buckets = int(visited.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(buckets, "url")
+    found = here.join(edges, here["url"] == edges["src"]).groupBy(F.col("dst").alias("url")).agg(F.collect_set("seed").alias("seeds"))
+    found = found.select("url", F.explode("seeds").alias("seed"))
     known = visited.select(F.col("seed").alias("_seed"), F.col("url").alias("_url"))
-    return found.join(known, (F.col("url") == F.col("_url")) & F.col("seed").eqNullSafe(F.col("_seed")), "left_anti").withColumn("depth", F.lit(depth))
+    return found.join(known, (F.col("url") == F.col("_url")) & (F.col("seed") == F.col("_seed")), "left_anti").select("seed", "url", F.lit(depth).alias("depth"))
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -56,7 +69,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -
     while max_depth is None or depth < max_depth:
         depth += 1
         # A table can't be appended to while it is read: the level is a checkpoint, and short.
-        level = next_level(visited, known, depth).checkpoint()
+        with colocated(spark):
+            level = next_level(visited, known, depth).checkpoint()
         if level.isEmpty():
             break
         visited = _bucketed(level, f"{run}_visited", "url", buckets, "append")
@@ -83,7 +97,7 @@ class SiteCheck:
 def check_site(snapshot: DataFrame, state: DataFrame, seeds: DataFrame, keywords: list[str], max_depth: int | None = None) -> SiteCheck:
     """Follow links from ``seeds(seed)`` through ``snapshot`` and scan what is reached and new or changed.
 
-    ``snapshot`` stands for what a fetch returns (url, html, validators); a linked url that it lacks, or has without a body, is
+    ``snapshot`` stands for what a fetch returns (url, html, validators), one row for a url; a linked url that it lacks, or has without a body, is
     a failed fetch: counted as new, without findings or links, and not stored. Pages that didn't change take findings and
     links from ``state``. A page that several seeds reach is scanned once and counts for each.
     """

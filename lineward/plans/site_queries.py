@@ -21,8 +21,8 @@ from lineward.session import ensure_checkpoint_dir
 def _site(t):
     """Snapshot of the sites: page_id, r (rank on its host), url without fragment, html with the links added, validators."""
     ensure_checkpoint_dir(t.spark)
-    ranked = number_within(t.pages.select("page_id", U.host(F.col("url")).alias("host"), U.strip_fragment(F.col("url")).alias("url")), "host", ["page_id"], "r")
-    ranked = ranked.checkpoint()
+    one_each = t.pages.groupBy(U.strip_fragment(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    ranked = number_within(one_each.withColumn("host", U.host(F.col("url"))), "host", ["page_id"], "r").checkpoint()
     targets = F.array(F.col("r") * 2, F.col("r") * 2 + 1, F.lit(1).cast("long"))
     wanted = ranked.select("page_id", "host", F.explode(targets).alias("r"))
     path = F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
@@ -50,8 +50,10 @@ def _check(t, depth=None):
 
 
 def _sql(depth: int) -> str:
-    return f"""WITH RECURSIVE ranked AS (SELECT page_id, html, split_part(url, '#', 1) AS url, {X.HOST_SQL.format('url')} AS host,
-        row_number() OVER (PARTITION BY {X.HOST_SQL.format('url')} ORDER BY page_id) AS r FROM pages),
+    return f"""WITH RECURSIVE ranked AS (SELECT page_id, html, url, {X.HOST_SQL.format('url')} AS host,
+        row_number() OVER (PARTITION BY {X.HOST_SQL.format('url')} ORDER BY page_id) AS r
+        FROM (SELECT page_id, html, split_part(url, '#', 1) AS url FROM pages
+              QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) = 1)),
     anchors AS (SELECT a.page_id, string_agg(p, '' ORDER BY p) AS anchors FROM (
         SELECT a.page_id, '<p><a href="' || regexp_replace(b.url, '^[a-z]+://[^/?#]*', '') || '">more</a></p>' AS p
         FROM ranked a, unnest([2 * a.r, 2 * a.r + 1, 1]) AS w(r) JOIN ranked b ON b.host = a.host AND b.r = w.r) a GROUP BY 1),
