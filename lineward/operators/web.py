@@ -184,14 +184,19 @@ def cached_only(findings: DataFrame) -> DataFrame:
     return cached.join(findings.where("not from_cache").select("url"), "url", "left_anti")
 
 
-def upsert_state(state: DataFrame, scanned: DataFrame) -> DataFrame:
-    """The next state: rescanned pages get a new entry, all others stay as they are.
+def state_changes(scanned: DataFrame) -> DataFrame:
+    """New entries of the rescanned pages; all others stay as they are.
 
     Validators the new response lacks are kept from the old entry; an empty link list is not stored.
     """
-    fresh = fresh_pages(scanned).select(
+    return fresh_pages(scanned).select(
         "url", "content_hash", "etag", "last_modified", "last_checked",
         F.when(F.size("links") > 0, F.col("links")).alias("links"), "findings")
+
+
+def upsert_state(state: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The next state as a whole: ``state_changes`` and the untouched rest."""
+    fresh = state_changes(scanned)
     untouched = state.join(fresh.select("url"), "url", "left_anti")
     return untouched.select(*fresh.columns).unionByName(fresh)
 

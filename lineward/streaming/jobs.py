@@ -14,7 +14,7 @@ from lineward.operators import web as W
 from lineward.operators.keyword_scan import line_findings
 from lineward.schemas import PAGE_STATE
 from lineward.session import ensure_checkpoint_dir
-from lineward.sources.state import load_state, save_state
+from lineward.sources import delta_state as D
 
 
 def scan_stream(stream: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
@@ -67,26 +67,28 @@ def latest_versions(pages: DataFrame) -> DataFrame:
 
 
 def incremental_scan_stream(stream: DataFrame, keywords: list[str], state_path: str,
-                            findings_path: str) -> DataStreamWriter:
-    """Incremental page scan per trigger over versioned state.
+                            findings_path: str, compact_every: int = 16) -> DataStreamWriter:
+    """Incremental page scan per trigger over a state of changes.
 
-    Each batch reads the newest state older than its own version and writes its version and its
-    findings under the batch number, so a batch that runs again after a failure gives the same.
-    A trigger stands for one visit of the site: of several versions of a page in it the last one
+    Each batch reads the newest state older than its own version, of which only the buckets that its pages are in,
+    and writes the pages it rescanned and its findings under the batch number; a batch that runs again after a
+    failure gives the same. Changes are merged into the base after every ``compact_every`` batches, whose versions leave
+    room for that. A trigger stands for one visit of the site: of several versions of a page in it the last one
     is scanned; ``detect_changes`` reports every version.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
-        version = batch_id + 1
-        state = load_state(spark, state_path, PAGE_STATE, before=version)
-        pages = latest_versions(W.scan_pages(batch, keywords))
+        version = 2 * batch_id + 2
+        pages = latest_versions(W.scan_pages(batch, keywords)).checkpoint()
+        state = D.load_state(spark, state_path, PAGE_STATE, before=version, keys=pages.select("url"))
         scanned = W.rescan(W.classify(pages, state), keywords).checkpoint()
-        ok, message = save_state(W.upsert_state(state, scanned), state_path, version)
-        if not ok:
-            raise RuntimeError(f"state not saved: {message}")
         W.incremental_findings(scanned).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(findings_path)
+        D.save_changes(W.state_changes(scanned), state_path, version=version)
+        if (batch_id + 1) % compact_every == 0 and D.versions(spark, state_path)[-1] == version:
+            D.compact(spark, state_path, PAGE_STATE)
+            D.remove_old(spark, state_path)
 
     return stream.writeStream.foreachBatch(run)
 

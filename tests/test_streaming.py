@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lineward.operators import web as W
 from lineward.operators.keyword_scan import line_findings
 from lineward.schemas import PAGE, PAGE_STATE
-from lineward.sources.state import load_state
+from lineward.sources.delta_state import load_state
 from lineward.streaming import jobs as J
 
 KW = ["token", "thing", "nicht"]
