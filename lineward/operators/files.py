@@ -273,6 +273,13 @@ def apply_attempt(registry: DataFrame, outcomes: DataFrame, found: DataFrame) ->
     return joined.select("path", "ext", "kind", status.alias("status"), matched.alias("matched"))
 
 
+def apply_results(registry: DataFrame, results: DataFrame) -> DataFrame:
+    """The same from ``results(path, ok, matched)``, which hold the number of findings: no finding and no text travels."""
+    joined = registry.drop("matched").join(results.select("path", "ok", "matched"), "path", "left")
+    status = F.when(F.col("ok"), "decrypted").when(~F.col("ok"), "failed").otherwise(F.col("status"))
+    return joined.select("path", "ext", "kind", status.alias("status"), F.when(F.col("ok"), F.coalesce("matched", F.lit(0))).cast("long").alias("matched"))
+
+
 def skip_all(registry: DataFrame) -> DataFrame:
     return registry.withColumn("status", F.lit("skipped"))
 

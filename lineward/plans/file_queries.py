@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineward.functions import files as P
+from lineward.operators import file_check as C
 from lineward.operators import files as L
+from lineward.operators import web as W
 from lineward.plans import fixtures as X
 from lineward.plans import sqltext as Q
 from lineward.plans.keyword_queries import KW
@@ -104,7 +106,34 @@ SELECT count(*) FILTER (WHERE route = 'document') AS supported_files,
     (SELECT count(*) FROM {X.ARCHIVES_SQL} WHERE status = 'encrypted') AS encrypted_archives
 FROM {X.CHECKED_SQL}""")
 def file_summary(t):
-    return L.summary(checked(t), archives(t), findings(t))
+    return file_check(t).summary().drop("findings")
+
+
+_ZIPPED = f"(SELECT '/z/' || doc_id || '.zip' AS path, '[in archive .txt]' AS file_type, line_no, content, keyword FROM {Q.findings('documents', 'doc_id', KW)})"
+
+
+def _with_zips(t):
+    """The files, and every document in an archive besides."""
+    zips = X.archives(t).select("path", "content", F.octet_length("content").cast("long").alias("size"),
+                                F.lit(None).cast("string").alias("text"), F.lit("ok").alias("extract_status"))
+    return C.check_files(X.files(t).where(P.route(P.ext(F.col("path"))) != "archive").drop("doc_id").unionByName(zips), KW, expand=True)
+
+
+@query("file_check", f"""
+SELECT count(*) FILTER (WHERE route = 'document') AS supported_files,
+    (SELECT count(DISTINCT path) FROM {FOUND}) + (SELECT count(DISTINCT path) FROM {_ZIPPED}) AS matched_files,
+    count(*) FILTER (WHERE route = 'document' AND status = 'encrypted') AS encrypted_files,
+    count(*) FILTER (WHERE route = 'document' AND status = 'damaged') AS damaged_files,
+    count(*) FILTER (WHERE is_hidden) AS hidden_files, (SELECT count(*) FROM documents) AS archives_scanned, 0 AS encrypted_archives,
+    (SELECT count(*) FROM {FOUND}) + (SELECT count(*) FROM {_ZIPPED}) AS findings
+FROM {X.CHECKED_SQL} WHERE route <> 'archive'""")
+def file_check_counters(t):
+    return _with_zips(t).summary()
+
+
+@query("file_check_findings", f"SELECT path, file_type, line_no, content, keyword FROM {FOUND} UNION ALL SELECT * FROM {_ZIPPED}")
+def file_check_findings(t):
+    return _with_zips(t).findings()
 
 
 REGISTRY_SQL = f"""(SELECT doc_id, path, detected_ext AS ext, 'file' AS kind, 'encrypted' AS status FROM {X.CHECKED_SQL}
@@ -112,8 +141,13 @@ REGISTRY_SQL = f"""(SELECT doc_id, path, detected_ext AS ext, 'file' AS kind, 'e
     UNION ALL SELECT doc_id, path, ext, 'archive', 'encrypted' FROM {X.ARCHIVES_SQL} WHERE status = 'encrypted')"""
 
 
+def file_check(t):
+    """The files in one pass."""
+    return C.check_files(X.files(t), KW)
+
+
 def registry(t):
-    return L.encryption_registry(checked(t), archives(t))
+    return file_check(t).registry()
 
 
 @query("enc_registry", f"SELECT path, ext, kind, status FROM {REGISTRY_SQL}")
@@ -122,14 +156,11 @@ def enc_registry(t):
 
 
 def attempted(t):
-    """Every second file opens; its findings are those of the document text."""
-    reg = registry(t)
-    docs = X.files(t).select("path", "doc_id").join(reg.select("path"), "path", "left_semi")
-    outcomes = docs.where("doc_id % 3 <> 2").select("path", (F.col("doc_id") % 2 == 0).alias("ok"))
-    texts = t.documents.select("doc_id", "text").join(docs, "doc_id").where("doc_id % 2 = 0")
-    from lineward.operators.keyword_scan import line_findings
-
-    return L.apply_attempt(reg, outcomes, line_findings(texts.select("path", "text"), KW))
+    """Every second file opens; its findings are those of the document text, counted where it is read."""
+    doc = F.col("doc_id")
+    results = t.documents.where(doc % 3 != 2).select(
+        X.file_path().alias("path"), (doc % 2 == 0).alias("ok"), F.when(doc % 2 == 0, F.size(W.finding_array(F.col("text"), KW))).alias("matched"))
+    return L.apply_results(registry(t), results)
 
 
 ATTEMPT_SQL = f"""(SELECT r.path, r.ext, r.kind, CASE WHEN r.doc_id % 3 = 2 THEN r.status

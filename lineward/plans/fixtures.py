@@ -195,7 +195,7 @@ def responses(t) -> DataFrame:
 FILE_KINDS = [".txt", ".PDF", ".docx", ".xlsx", ".pptx", ".doc", ".zip", ".bin"]
 
 
-def _file_path():
+def file_path():
     doc = F.col("doc_id")
     kind = F.get(F.array(*[F.lit(k) for k in FILE_KINDS]), (doc % 8).cast("int"))
     return F.concat(F.lit("/data/"), "source", F.lit("/"), F.when(doc % 17 == 0, ".").otherwise(""),
@@ -233,7 +233,7 @@ def files(t) -> DataFrame:
         .otherwise(body))
     padding = F.when(doc % 10 == 0, 20000).otherwise(0)
     return t.documents.select(
-        "doc_id", _file_path().alias("path"), content.alias("content"),
+        "doc_id", file_path().alias("path"), content.alias("content"),
         (F.octet_length(body) + padding).cast("long").alias("size"),
         F.when(doc % 11 == 0, None).when(doc % 10 == 0, "  token ").otherwise(F.col("text")).alias("text"),
         F.when(locked, "encrypted").otherwise("ok").alias("extract_status"))

@@ -43,14 +43,14 @@ def counts(t):
     ensure_checkpoint_dir(t.spark)
     scanned = WQ.scanned(t)
     cached = W.cached_only(W.incremental_findings(scanned)).agg(F.count("*").alias("cached_matched"))
-    files = L.summary(FQ.checked(t), FQ.archives(t), FQ.findings(t))
+    check = FQ.file_check(t)
     return R.union_findings([
         R.counters(W.incremental_counters(scanned), "web"), R.counters(cached, "web"),
         R.counters(T.totals(T.database_stats(TQ.specs(t, _TABLES), KWT)), "db"),
-        R.counters(files, "file", {
+        R.counters(check.summary(), "file", {
             "supported_files": "supported_files", "matched_files": "matched_files",
             "archives_scanned": "archives_scanned", "damaged_files": "damaged", "hidden_files": "hidden"}),
-        R.counters(R.encryption_note(FQ.registry(t)), "file"),
+        R.counters(R.encryption_note(check.registry()), "file"),
         R.counters(I.summary(I.inventory(X.images(t)), I.findings(IQ._items(t), KW)), "image"),
     ])
 

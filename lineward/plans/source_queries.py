@@ -24,8 +24,10 @@ from lineward.plans.keyword_queries import KW, KWT
 from lineward.plans.registry import SQL, query
 from lineward.schemas import PAGE, PAGE_STATE
 from lineward.session import ensure_checkpoint_dir
+from lineward.sources import delta_state as D
 from lineward.sources import inventory as N
 from lineward.sources import jdbc as J
+from lineward.sources import run_log as RL
 from lineward.sources import state as St
 from lineward.streaming import jobs as Str
 
@@ -210,3 +212,84 @@ def web_page_findings_text(t):
     """Findings per page from the array form that is kept in the state."""
     scanned = W.page_text(t.pages).select("url", F.size(W.finding_array(F.col("text"), KW)).cast("long").alias("n"))
     return scanned.where("n > 0")
+
+
+# --- state as changes, runs taken up again, copies in a stream -------------------------------------
+
+@query("state_changes", SQL["web_state_upsert"])
+def state_changes(t):
+    """The state saved whole, a visit saved as changes, both compacted: the rows of the next state."""
+    path, state = f"{_folder(t)}/pages", X.page_state(t, KW)
+    D.save_changes(state, path)
+    known = D.load_state(t.spark, path, PAGE_STATE)
+    scanned = W.rescan(W.classify(W.scan_pages(X.snapshot(t, True), KW), known), KW)
+    D.save_changes(W.state_changes(scanned), path)
+    D.compact(t.spark, path, PAGE_STATE)
+    D.remove_old(t.spark, path, keep=1)
+    return D.load_state(t.spark, path, PAGE_STATE).select(
+        "url", "content_hash", "etag", "last_modified", F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_findings"),
+        F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"))
+
+
+@query("run_resume", SQL["rep_union"])
+def run_resume(t):
+    """A run whose second module fails, taken up again: the first module is not worked out twice."""
+    path, ran, broken = _folder(t), [], [True]
+
+    def module(name, work):
+        def run():
+            ran.append(name)
+            if name == "web" and broken:
+                broken.clear()
+                raise ConnectionError("site is away")
+            return work().select("module", "container", "locator", "line_no", "content", "keyword")
+        return run
+
+    def table_rows():
+        return R.as_findings(T.database_findings(TQ.specs(t, ["part"]), KWT), "db", "table", F.concat_ws("#", "field", "record_id"))
+
+    modules = {
+        "file": module("file", lambda: R.as_findings(S.line_findings(t.documents.select("doc_id", "text"), KW), "file", "doc_id")),
+        "web": module("web", lambda: R.as_findings(W.page_findings(t.pages, KW), "web", "url")), "db": module("db", table_rows)}
+    try:
+        RL.run_modules(t.spark, path, modules)
+    except ConnectionError:
+        pass
+    results = RL.run_modules(t.spark, path, modules)
+    if ran != ["file", "web", "web", "db"]:
+        raise RuntimeError(f"modules ran as {ran}")
+    return R.union_findings(list(results.values()))
+
+
+_HOUR = 3600
+
+
+def dedupe_visits(t):
+    """(md5, visit, time): all documents; copies half an hour later; copies after four hours, and again half an hour after these."""
+    doc = F.col("doc_id")
+    visits = F.array(F.lit(1), F.when(doc % 3 == 0, 2), F.when(doc % 5 == 0, 3), F.when(doc % 2 == 0, 4))
+    rows = t.documents.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("md5"), F.explode(F.array_compact(visits)).alias("visit"))
+    late = F.element_at(F.array(*[F.lit(x) for x in (0, _HOUR // 2, 4 * _HOUR, 4 * _HOUR + _HOUR // 2)]), F.col("visit"))
+    return rows.select("md5", "visit", F.timestamp_seconds(10 * _HOUR + late + doc % 600).alias("time"))
+
+
+def dedupe_run(t, folder: str, rows, visits=(1, 2, 3, 4)):
+    """Feed the visits one after the other to a stream that remembers contents for an hour; yields each one's progress."""
+    for visit in visits:
+        rows.where(F.col("visit") == visit).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        once = Str.dedupe_stream(stream, "md5", "time", "1 hour")
+        run = once.writeStream.format("parquet").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+        yield visit, run.lastProgress
+
+
+@query("st_dedupe_stream", """
+SELECT DISTINCT md5(text) AS md5, 1 AS visit FROM documents UNION ALL SELECT DISTINCT md5(text), 4 FROM documents WHERE doc_id % 2 = 0""")
+def st_dedupe_stream(t):
+    """Copies within the hour are dropped; the fourth visit finds the memory of the first expired, as the third moved the time on."""
+    folder = _folder(t)
+    for _ in dedupe_run(t, folder, dedupe_visits(t)):
+        pass
+    return t.spark.read.parquet(f"{folder}/out").select("md5", "visit")

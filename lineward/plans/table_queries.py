@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lineward.operators import table_runs as TR
 from lineward.operators import tables as T
 from lineward.plans import sqltext as Q
 from lineward.plans.keyword_queries import KW, KWT, contains_sql
@@ -235,3 +236,38 @@ def tbl_merge_sources_stats(t):
     halves = [T.TableSpec("part", t.part.where(F.col("p_partkey") % 2 == i), ("p_partkey",), True, f"s{i}")
               for i in (0, 1)]
     return T.totals(T.database_stats(halves, KWT))
+
+
+# --- tables that can't be read -------------------------------------------------------------------
+
+def _scan_each(t):
+    """All tables, and one more in each group whose rows can't all be read."""
+    opened = [s for db, ns in _GROUPS.items() for s in T.prefixed({db: specs(t, ns)})]
+    broken = F.when(F.col("o_orderkey") % 500 == 7, F.raise_error(F.lit("block lost")).cast("string")).otherwise(F.col("o_orderpriority"))
+    lost = [T.TableSpec(f"{db}.lost", t.orders.withColumn("o_orderpriority", broken), ("o_orderkey",), True, db) for db in ("master", "away")]
+    return TR.scan_each(t.spark, opened + lost, KWT)
+
+
+_EACH = union_sql(stats_sql(n, KWT, label=f"{db}.{n}", source_id=db) for db, ns in _GROUPS.items() for n in ns)
+
+
+@query("tbl_scan_each", f"""
+SELECT source_id, "table", 'done' AS status, CAST(total_records AS BIGINT) AS total_records, CAST(matched_records AS BIGINT) AS matched_records FROM ({_EACH})
+UNION ALL SELECT db, db || '.lost', 'failed', NULL, NULL FROM (VALUES ('master'), ('away')) AS v(db)""")
+def tbl_scan_each(t):
+    run = _scan_each(t)
+    return run.status.join(run.stats.select("source_id", "table", "total_records", "matched_records"), ["source_id", "table"], "left").select(
+        "source_id", "table", "status", "total_records", "matched_records")
+
+
+@query("tbl_scan_each_findings", union_sql(
+    f"SELECT * REPLACE ('{db}.{n}' AS \"table\") FROM ({findings_group_sql(n, KWT)})" for db, ns in _GROUPS.items() for n in ns))
+def tbl_scan_each_findings(t):
+    return _scan_each(t).findings
+
+
+@query("tbl_scan_each_totals", f"""
+SELECT count(*) AS total_tables, CAST(sum(total_records) AS BIGINT) AS total_records, CAST(sum(candidate_records) AS BIGINT) AS candidate_records,
+       count(*) FILTER (WHERE matched_records > 0) AS matched_tables, count(DISTINCT source_id) AS total_databases, 2 AS failed_tables FROM ({_EACH})""")
+def tbl_scan_each_totals(t):
+    return _scan_each(t).totals()

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from lineward.operators import web as W
 from lineward.operators.keyword_scan import line_findings
@@ -22,41 +21,73 @@ def scan_stream(stream: DataFrame, keywords: list[str], text: str = "text") -> D
     return line_findings(stream, keywords, text)
 
 
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Follow the versions of one page in fetch order."""
-    content_hash, etag, modified = state.get if state.exists else (None, "", "")
-    rows = pd.concat(list(frames)).sort_values("fetched_at", kind="stable")
-    out = []
-    for row in rows.itertuples(index=False):
-        known = content_hash is not None
-        validated = known and ((row.etag and row.etag == etag) or (row.last_modified and row.last_modified == modified))
-        if validated or (known and row.content_hash == content_hash):
-            status = W.NOT_MODIFIED
-        else:
-            status = W.CHANGED if known and row.content_hash else W.NEW
-            if row.content_hash:
-                content_hash = row.content_hash
-                etag, modified = row.etag or etag, row.last_modified or modified
-        out.append((key[0], row.fetched_at, row.content_hash, status))
-    if content_hash is not None:
-        state.update((content_hash, etag, modified))
-    yield pd.DataFrame(out, columns=["url", "fetched_at", "content_hash", "status"])
-
-
-def detect_changes(stream: DataFrame) -> DataFrame:
+_LAST = "content_hash string, etag string, last_modified string, seen long"
+_VERSION = "content_hash string, etag string, last_modified string"
+_CHANGE = "url string, at long, content_hash string, status string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Tracker(StatefulProcessor):
+    """Follows the versions of one page in fetch order, one at a time.
+
+    The versions of a trigger arrive in any order. They are put into a map state by time and arrival; only these two
+    numbers are sorted in memory, and a version is read when it is its turn.
+    """
+
+    def __init__(self, expire_after: timedelta | None):
+        self.most = expire_after // timedelta(microseconds=1) if expire_after else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _LAST, max(1, self.most // 1000) if self.most else None)
+        self.waiting = handle.getMapState("waiting", "at long, arrival long", _VERSION)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        order = []
+        for arrival, row in enumerate(rows):
+            self.waiting.updateValue((row.at, arrival), (row.content_hash, row.etag, row.last_modified))
+            order.append((row.at, arrival))
+        last = self.last.get() if self.last.exists() else None
+        for place in sorted(order):
+            version = self.waiting.getValue(place)
+            self.waiting.removeKey(place)
+            status, last = self._judge(place[0], version, last)
+            yield Row(url=key[0], at=place[0], content_hash=version[0], status=status)
+        if last is not None:
+            self.last.update(last)
+
+    def _judge(self, at: int, version: tuple, last: tuple | None) -> tuple[str, tuple | None]:
+        content_hash, etag, modified = version
+        if last is not None and self.most is not None and at - last[3] > self.most:
+            last = None  # not seen for so long that it is new again
+        if last is not None:
+            seen = max(at, last[3])
+            if (etag and etag == last[1]) or (modified and modified == last[2]) or content_hash == last[0]:
+                return W.NOT_MODIFIED, (*last[:3], seen)
+        if not content_hash:  # a failed fetch is never stored
+            return W.NEW, last
+        if last is None:
+            return W.NEW, (content_hash, etag, modified, at)
+        return W.CHANGED, (content_hash, etag or last[1], modified or last[2], seen)
+
+    def close(self) -> None:
+        pass
+
+
+def detect_changes(stream: DataFrame, expire_after: timedelta | None = None) -> DataFrame:
     """``url, fetched_at, content_hash, status`` for every fetched page version.
 
-    The state per url is its last hash and validators. Only these short columns are shuffled and
-    kept, never the bodies; the versions of one url within one trigger are handled together, and
-    the trigger limits their number.
+    The state per url is its last hash, validators and time. Only these short columns are shuffled and kept, never the
+    bodies. With ``expire_after`` a url that no version was seen of for longer is new again, by the fetch times of its
+    versions; its state goes when that time has passed since it was last written, so the state is bounded by what is alive.
     """
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the store that has map states and expiry
     rows = stream.select(
-        "url", F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")).alias("fetched_at"),
-        W.content_hash(F.col("html")).alias("content_hash"),
+        "url", F.coalesce(F.unix_micros("fetched_at"), F.lit(0).cast("long")).alias("at"), W.content_hash(F.col("html")).alias("content_hash"),
         F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"))
-    return rows.groupBy("url").applyInPandasWithState(
-        _track, "url string, fetched_at timestamp, content_hash string, status string",
-        "content_hash string, etag string, last_modified string", "append", GroupStateTimeout.NoTimeout)
+    found = rows.groupBy("url").transformWithState(_Tracker(expire_after), _CHANGE, "append", "ProcessingTime")
+    return found.select("url", F.timestamp_micros("at").alias("fetched_at"), "content_hash", "status")
 
 
 def latest_versions(pages: DataFrame) -> DataFrame:

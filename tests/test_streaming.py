@@ -1,3 +1,6 @@
+import time
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,38 @@ def test_versions_within_one_trigger(spark, scratch):
     assert got == [("u", "new"), ("u", "not_modified"), ("u", "changed"), ("u", "new"), ("u", "not_modified"), ("v", "new"), ("v", "new")]
 
 
+def test_expired_urls_are_new_again(spark, scratch):
+    """By fetch times, within a trigger and across triggers; what is seen in time is kept alive."""
+    schema = "url string, html string, etag string, last_modified string, t long"
+
+    def visit(rows):
+        pages = spark.createDataFrame([(u, h, "", "", t) for u, h, t in rows], schema)
+        pages.select("url", "html", "etag", "last_modified", F.timestamp_seconds("t").alias("fetched_at")).write.mode("append").parquet(scratch + "/in")
+        stream = J.detect_changes(J.read_pages(spark, scratch + "/in", PAGE), timedelta(days=10))
+        drain(stream.writeStream.format("parquet").option("checkpointLocation", scratch + "/cp").trigger(availableNow=True).start(scratch + "/out"))
+        return {(r.url, r.t): r.status for r in spark.read.parquet(scratch + "/out").select("url", F.unix_seconds("fetched_at").alias("t"), "status").collect()}
+
+    day = 86_400
+    first = visit([("a", "x", 0), ("a", "x", 9 * day), ("a", "x", 18 * day), ("b", "x", 0), ("b", "x", 11 * day), ("c", "x", day)])
+    assert first == {("a", 0): "new", ("a", 9 * day): "not_modified", ("a", 18 * day): "not_modified", ("b", 0): "new", ("b", 11 * day): "new", ("c", day): "new"}
+    second = visit([("a", "y", 27 * day), ("b", "x", 30 * day), ("c", "x", 11 * day), ("c", "z", 40 * day)])
+    assert {k: v for k, v in second.items() if k not in first} == {
+        ("a", 27 * day): "changed", ("b", 30 * day): "new", ("c", 11 * day): "not_modified", ("c", 40 * day): "new"}
+
+
+def test_state_goes_after_its_time(spark, scratch):
+    def visit():
+        page = spark.createDataFrame([("a", "x", "", "")], "url string, html string, etag string, last_modified string")
+        page.withColumn("fetched_at", F.timestamp_seconds(F.lit(0))).write.mode("append").parquet(scratch + "/in")
+        stream = J.detect_changes(J.read_pages(spark, scratch + "/in", PAGE), timedelta(seconds=4))
+        drain(stream.writeStream.format("parquet").option("checkpointLocation", scratch + "/cp").trigger(availableNow=True).start(scratch + "/out"))
+        return sorted(r.status for r in spark.read.parquet(scratch + "/out").collect())
+
+    assert visit() == ["new"]
+    time.sleep(6)
+    assert visit() == ["new", "new"]
+
+
 def test_incremental_scan_equals_batch(spark, scratch, visits):
     state = spark.createDataFrame([], PAGE_STATE)
     for number, visit in enumerate(visits):
