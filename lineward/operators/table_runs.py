@@ -37,14 +37,21 @@ def _scan(spec: T.TableSpec, keywords: list[str], folder: str, how: dict) -> str
     """Write findings and statistics of a table; the error if it fails, in which case neither counts."""
     context = spec.df.sparkSession.sparkContext
     group = f"{folder}/{spec.name}"
-    context.setJobGroup(group, f"scan of {spec.source_id} {spec.name}", interruptOnCancel=True)
+    context.setJobGroup(group, f"scan of {spec.source_id} {spec.name}", interruptOnCancel=False)
     try:
         T.database_findings([spec], keywords, **how).write.mode("overwrite").parquet(f"{folder}/findings")
         T.database_stats([spec], keywords, **how).write.mode("overwrite").parquet(f"{folder}/stats")
         return None
     except Exception as e:  # what failed is reported, and the others go on
         context.cancelJobGroup(group)
-        return f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"[:500]
+        return _told(e)
+
+
+def _told(e: Exception) -> str:
+    """Type and first line of an error, of the one in the JVM where there is one."""
+    inner = getattr(e, "java_exception", None)
+    text = inner.toString() if inner is not None else f"{type(e).__name__}: {e}"
+    return text.strip().split("\n")[0][:500]
 
 
 def scan_each(spark: SparkSession, specs: list[T.TableSpec], keywords: list[str], at_once: int = 4, **how) -> TableRun:
@@ -55,9 +62,10 @@ def scan_each(spark: SparkSession, specs: list[T.TableSpec], keywords: list[str]
     """
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
     folders = [f"{root}/{i}" for i in range(len(specs))]
-    scan = inheritable_thread_target(spark)(_scan)
+    # One wrapper for each table: the session's properties, the job group among them, are copied when it is made.
+    scans = [inheritable_thread_target(spark)(_scan) for _ in specs]
     with ThreadPoolExecutor(max(1, at_once)) as pool:
-        errors = list(pool.map(lambda x: scan(x[0], keywords, x[1], how), zip(specs, folders)))
+        errors = list(pool.map(lambda x: x[0](x[1], keywords, x[2], how), zip(scans, specs, folders)))
     status = spark.createDataFrame(
         [(s.source_id, s.name, FAILED if e else DONE, e) for s, e in zip(specs, errors)], "source_id string, table string, status string, error string")
     done = [f for f, e in zip(folders, errors) if not e]

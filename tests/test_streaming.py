@@ -14,6 +14,15 @@ KW = ["token", "thing", "nicht"]
 PAGES = "/root/testdata/sf0.001/pages.parquet"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of a stateful stream has workers of its own; small inputs need few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture()
 def visits(spark):
     """Two visits: all pages, then two thirds of them, half of these changed."""
