@@ -44,6 +44,28 @@ def cache_misses(images: DataFrame, cache: DataFrame, path: str = "image_path")
     return unknown.groupBy("md5").agg(F.min(path).alias(path))
 
 
+def cache_split(images: DataFrame, cache: DataFrame, path: str = "image_path") -> DataFrame:
+    """``md5, path, known, ocr_items``: every image with stored items, and one image for each unknown content.
+
+    One join and one aggregate: known images are groups of their own, unknown ones are merged by their content.
+    """
+    stored = cache.select("md5", "ocr_items", F.lit(True).alias("known"))
+    joined = images.select("md5", path).join(stored, "md5", "left")
+    own = F.when(F.col("known"), F.col(path))
+    return joined.groupBy("md5", own.alias("_own")).agg(
+        F.min(path).alias(path), F.coalesce(F.first("known"), F.lit(False)).alias("known"), F.first("ocr_items").alias("ocr_items")).drop("_own")
+
+
+def apply_results(images: DataFrame, results: DataFrame) -> DataFrame:
+    """``md5, ocr_items, failed`` from recognition results stored by content, ``results(md5, ocr_items)``.
+
+    A content without a result counts as failed and has no items.
+    """
+    found = images.select("md5").join(results.select("md5", "ocr_items"), "md5", "left")
+    empty = F.array().cast(found.schema["ocr_items"].dataType)
+    return found.select("md5", F.coalesce("ocr_items", empty).alias("ocr_items"), F.col("ocr_items").isNull().alias("failed"))
+
+
 def cache_counts(images: DataFrame, cache: DataFrame) -> DataFrame:
     known = cache.select("md5", F.lit(True).alias("_known"))
     return images.join(known, "md5", "left").agg(

@@ -57,18 +57,28 @@ def file_type_mismatch(t):
     return L.type_mismatch(L.with_types(X.files(t))).select("path", "ext", "detected_ext")
 
 
-@query("file_decode_text", "SELECT doc_id, text FROM documents")
+# Every third document in the Chinese code page, a word of it before its ASCII part; the others in UTF-8.
+_ASCII_SQL = "regexp_replace(text, '[^ -~' || chr(10) || ']', '', 'g')"
+
+
+def _coded(t, others):
+    """doc_id and content: GBK bytes of two characters and the ASCII part of the text, or ``others``."""
+    ascii_part = F.encode(F.regexp_replace("text", "[^ -~\n]", ""), "utf-8")
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("机密".encode("gbk").hex())), ascii_part)).otherwise(others)
+    return t.documents.select("doc_id", content.alias("content"))
+
+
+@query("file_decode_text", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '机密' || {_ASCII_SQL} ELSE text END AS text FROM documents")
 def file_decode_text(t):
-    coded = t.documents.select("doc_id", F.encode("text", "utf-8").alias("content"))
-    return coded.select("doc_id", L.decode_text(F.col("content")).alias("text"))
+    return _coded(t, F.encode("text", "utf-8")).select("doc_id", L.decode_text(F.col("content")).alias("text"))
 
 
 @query("file_carve_strings", f"""
 SELECT doc_id, CASE WHEN len(runs) > 0 THEN array_to_string(runs, chr(10)) END AS text
-FROM (SELECT doc_id, regexp_extract_all(text, {Q.lit('[ -~]{4,}')}) AS runs FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['机密'] ELSE [] END || regexp_extract_all({_ASCII_SQL}, {Q.lit('[ -~]{4,}')}) AS runs FROM documents)""")
 def file_carve_strings(t):
-    coded = t.documents.select("doc_id", F.encode("text", "utf-8").alias("content"))
-    return coded.select("doc_id", L.carve_ascii(F.col("content")).alias("text"))
+    plain = F.encode(F.regexp_replace("text", "[^ -~\n]", ""), "utf-8")
+    return _coded(t, plain).select("doc_id", L.carve_strings(F.col("content")).alias("text"))
 
 
 @query("file_archive_encrypted", f"SELECT path, status FROM {X.ARCHIVES_SQL}")

@@ -42,11 +42,8 @@ SELECT i.md5, image_path, text AS stored FROM {X.IMAGES_SQL} i WHERE md5 IN {_KN
 UNION ALL
 SELECT md5, min(image_path), NULL FROM {X.IMAGES_SQL} WHERE md5 NOT IN {_KNOWN} GROUP BY md5""")
 def img_cache_split(t):
-    cache = X.img_cache(t)
-    hits = I.cache_hits(_md5_images(t), cache).select(
-        "md5", "image_path", F.get("ocr_items", F.lit(0))["text"].alias("stored"))
-    misses = I.cache_misses(_md5_images(t), cache).withColumn("stored", F.lit(None).cast("string"))
-    return hits.unionByName(misses)
+    split = I.cache_split(_md5_images(t), X.img_cache(t))
+    return split.select("md5", "image_path", F.get("ocr_items", F.lit(0))["text"].alias("stored"))
 
 
 @query("img_cache_counts", f"""

@@ -79,11 +79,9 @@ def rep_grand_total(t):
     return R.grand_total(R.summary(counts(t)))
 
 
-@query("rep_notes", f"SELECT module, note FROM {_COUNTS} WHERE module IN ('db', 'image')")
+@query("rep_notes", f"SELECT module, note FROM {_COUNTS}")
 def rep_notes(t):
-    db = R.counters(T.totals(T.database_stats(TQ.specs(t, _TABLES), KWT)), "db")
-    images = R.counters(I.summary(I.inventory(X.images(t)), I.findings(IQ._items(t), KW)), "image")
-    return R.notes(db.unionByName(images))
+    return R.notes(counts(t))
 
 
 def _ellipsis(c, n):
@@ -166,10 +164,10 @@ def rep_sanitize(t):
     return t.documents.select("doc_id", D.sanitize(F.concat(F.lit("a|b"), "text")).alias("text"))
 
 
-@query("rep_trim_keywords", f"SELECT doc_id, {_trim('words')} AS keyword FROM (SELECT doc_id, substring(replace(text, ' ', ','), 1, 1 + doc_id % 60) AS words FROM documents)")
+@query("rep_trim_keywords", f"SELECT doc_id, {_trim('words')} AS keyword FROM (SELECT doc_id, translate(text, ' ' || chr(10) || chr(9) || chr(13), ',,,,') AS words FROM documents)")
 def rep_trim_keywords(t):
-    words = F.left(F.replace("text", F.lit(" "), F.lit(",")), (1 + F.col("doc_id") % 60).cast("int"))
-    return t.documents.select("doc_id", D.trim_keywords(words).alias("keyword"))
+    """All words of a document as its keyword list."""
+    return t.documents.select("doc_id", D.trim_keywords(F.translate("text", " \n\t\r", ",,,,")).alias("keyword"))
 
 
 @query("rep_visual_width", """

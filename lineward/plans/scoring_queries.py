@@ -107,11 +107,12 @@ def _located_sql(context: str) -> str:
 
 
 @query("llm_locate_line", f"""
-SELECT doc_id, batch_no, {_located_sql('context')} AS line_no
-FROM (SELECT *, substring(batch_text, 101, 60) AS context FROM {_BATCHES})""")
+SELECT doc_id, batch_no, i, {_located_sql('context')} AS line_no
+FROM (SELECT *, CAST(generate_subscripts(lines, 1) AS INTEGER) AS i, unnest(lines) AS context FROM {_BATCHES})""")
 def llm_locate_line(t):
-    found = S.locate(F.col("lines"), F.col("start"), F.substring("batch_text", 101, 60))
-    return M.line_batches(_docs(t)).select("doc_id", "batch_no", found.alias("line_no"))
+    """Every line of every batch as a context."""
+    asked = M.line_batches(_docs(t)).select("*", F.posexplode("lines").alias("_i", "_context"))
+    return asked.select("doc_id", "batch_no", (F.col("_i") + 1).alias("i"), S.locate(F.col("lines"), F.col("start"), F.col("_context")).alias("line_no"))
 
 
 _MATCHES = " UNION ALL ".join(

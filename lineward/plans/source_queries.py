@@ -118,17 +118,17 @@ def file_expand_archives(t):
     return L.member_findings(members, KW)
 
 
-def _reader():
-    """Stand-in for a recogniser: the image bytes are the text."""
-    return lambda content: [(bytes(content).decode("utf-8"), 0.9, "top")]
-
-
-@query("img_apply_ocr", f"SELECT DISTINCT md5, text, 'top' AS position FROM {X.IMAGES_SQL}")
+@query("img_apply_ocr", f"""
+SELECT DISTINCT i.md5, r.text, r.position, r.md5 IS NULL AS failed FROM {X.IMAGES_SQL} i
+LEFT JOIN (SELECT DISTINCT m.md5, c.text, CASE WHEN c.turn % 2 = 0 THEN 'top' ELSE '' END AS position FROM conversations c
+           JOIN (SELECT md5(text) AS md5, min(conv_id) AS conv_id FROM conversations WHERE turn = 0 AND conv_id % 3 > 0 GROUP BY 1) m USING (conv_id)) r USING (md5)""")
 def img_apply_ocr(t):
-    images = I.with_md5(X.images(t))
-    unique = images.groupBy("md5").agg(F.min("content").alias("content"))
-    read = I.apply_ocr(unique, _reader, "content").drop("failed")
-    return I.explode_items(read).select("md5", "text", "position")
+    """Results stored by content, of conversations two in three: their turns are the items that were read."""
+    known = t.conversations.where("turn = 0 AND conv_id % 3 > 0").groupBy(F.md5(F.encode("text", "utf-8")).alias("md5")).agg(F.min("conv_id").alias("conv_id"))
+    item = F.struct("text", F.lit(0.9).alias("confidence"), F.when(F.col("turn") % 2 == 0, "top").otherwise("").alias("position"))
+    results = t.conversations.join(known, "conv_id").groupBy("md5").agg(F.collect_list(item).alias("ocr_items"))
+    read = I.apply_results(I.with_md5(X.images(t)).select("md5").distinct(), results)
+    return read.select("md5", F.inline_outer("ocr_items"), "failed").select("md5", "text", "position", "failed").distinct()
 
 
 @query("llm_score", f"""
