@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lineward.llm.common import joined_to_groups, written
 
 #: Characters, documents and different words that a block holds at most before it is closed.
-BLOCK_CHARS, BLOCK_DOCS, BLOCK_WORDS = 1 << 23, 20_000, 1 << 19
+BLOCK_CHARS, BLOCK_DOCS, BLOCK_WORDS = 1 << 25, 50_000, 1 << 20
 #: Bytes of a text that are split into words together.
 _SLICE = 1 << 22
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -151,7 +151,7 @@ def _numbered(named: DataFrame) -> DataFrame:
                 [pa.array(np.full(len(word), part, np.int32)), batch.column(0), batch.column(1), pa.array(place), pc.if_else(pa.array(new), word, None)],
                 ["part", "block", "local", "at", "word"])
 
-    sorted_ = named.select("block", "local", "word").repartition(parts, "word").sortWithinPartitions("word", "block")
+    sorted_ = named.select("block", "local", "word").repartition(parts, "word").sortWithinPartitions("word")
     placed = written(sorted_.mapInArrow(run, "part int, block long, local int, at long, word binary"), "terms")
     sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg((F.max("at") + 1).alias("n")).collect())
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, accumulate((n for _, n in sizes), initial=0))], "part int, base long")
