@@ -154,8 +154,8 @@ class Aligned:
         order = np.lexsort((two, one))
         self.link = one[order], two[order]
 
-    def listed(self) -> list[str]:
-        """The groups of each text as ``a1,a2|b1;a3|b2,b3``."""
+    def listed(self) -> np.ndarray:
+        """The ids of all texts in the order of ``a1,a2|b1;a3|b2,b3``, as places in the list of shown ids."""
         a, b = self.ends
         n = max((int(g[-1]) + 1 for g in self.group if len(g)), default=0)
         in_a, in_b = (np.bincount(g, minlength=n) for g in self.group)
