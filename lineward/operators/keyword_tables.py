@@ -12,7 +12,7 @@ the first in order, and gaps as short as possible from left to right.
 from __future__ import annotations
 
 import pickle
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -62,8 +62,9 @@ class Trie:
                 self.table[node * self.width + number] = child
         self.words = np.array(words, np.int64)
 
-    @lru_cache(maxsize=1)  # noqa: B019 (a task has one trie at a time)
+    @cached_property
     def _codes(self) -> np.ndarray:
+        """Class of every code point; made where it is used and not sent along."""
         table = np.zeros(0x110000, np.uint16)
         for c, number in self.class_of.items():
             table[c] = number
@@ -74,7 +75,7 @@ class Trie:
 
         ``closed`` marks characters that no match may hold, such as line ends.
         """
-        number = self._codes()[points].astype(np.int64)
+        number = self._codes[points].astype(np.int64)
         number[closed] = 0
         n = len(points)
         # How many of the three characters after each are open and follow without a break.
