@@ -23,16 +23,22 @@ from pyspark.sql import functions as F
 from lineward.functions import keywords as K
 from lineward.session import ensure_checkpoint_dir
 
-#: Entries of a trie's table (nodes x classes) at most, four bytes each: what is sent to a task at a time.
+#: Nodes of a trie at most, about twenty bytes each: what is sent to a task at a time.
 PART_ENTRIES = 1 << 24
 #: Characters that are matched together.
 _CHUNK = 1 << 18
-_NO_WORD = np.iinfo(np.int64).max
+#: Places between those where walks along a chunk begin.
+_STRIDE = 32
+_NO_WORD = np.iinfo(np.int32).max
 _STRIPPED = frozenset(K.WHITESPACE)
 
 
 class Trie:
-    """Keywords as nodes with a table of their children by character class; node 0 is the root, and no child."""
+    """Keywords as nodes whose children by character class are numbered one after the other; node 0 is the root.
+
+    A node holds a bit for each class of its children (of many classes, for their last six bits), and the number of its
+    first child. Orders are kept as places among all orders of the trie.
+    """
 
     def __init__(self, keywords: list[str], orders: list[int]):
         self.class_of: dict[int, int] = {}
@@ -44,23 +50,30 @@ class Trie:
                 if self.class_of.setdefault(ord(v), number) != number:
                     raise ValueError(f"{v!r} equals characters that differ from each other")
         self.width = len(classes) + 1
-        children: list[dict[int, int]] = [{}]
-        words = [_NO_WORD]
-        for keyword, order in zip(keywords, orders):
-            node = 0
-            for c in keyword:
-                number = self.class_of[ord(c)]
-                if number not in children[node]:
-                    children[node][number] = len(children)
-                    children.append({})
-                    words.append(_NO_WORD)
-                node = children[node][number]
-            words[node] = min(words[node], order)
-        self.table = np.zeros(len(children) * self.width, np.int32)
-        for node, own in enumerate(children):
-            for number, child in own.items():
-                self.table[node * self.width + number] = child
-        self.words = np.array(words, np.int64)
+        self.orders, place = np.unique(np.array(orders, np.int64), return_inverse=True)
+        sizes = np.array([len(k) for k in keywords], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        number = self._codes[np.frombuffer("".join(keywords).encode("utf-32-le"), "<u4")].astype(np.int64)
+        self.__dict__.pop("_codes")
+        at, count, keys, ends = np.zeros(len(sizes), np.int64), 1, [], []
+        for depth in range(int(sizes.max(initial=0))):  # the nodes of a depth in the order of their parents and classes
+            longer = np.flatnonzero(sizes > depth)
+            key, child = np.unique(at[longer] * self.width + number[begins[longer] + depth], return_inverse=True)
+            at[longer] = count + child
+            keys.append(key)
+            count += len(key)
+            ends.append(count)
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        self.words = np.full(count, _NO_WORD, np.int32)
+        np.minimum.at(self.words, at[sizes > 0], place[sizes > 0].astype(np.int32))
+        parent, of = key // self.width, key % self.width
+        self.least = self.words.copy()  # the first in order among a node and all below it
+        for low, high in zip([1, *ends][-2::-1], ends[::-1]):
+            np.minimum.at(self.least, parent[low - 1:high - 1], self.least[low:high])
+        self.bits = np.zeros(count, np.uint64)
+        np.bitwise_or.at(self.bits, parent, np.uint64(1) << (of & 63).astype(np.uint64))
+        self.first = (np.searchsorted(parent, np.arange(count)) + 1).astype(np.int32)
+        self.key = key if self.width > 64 else None
 
     @cached_property
     def _codes(self) -> np.ndarray:
@@ -70,51 +83,102 @@ class Trie:
             table[c] = number
         return table
 
-    def candidates(self, points: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, order, end) of the first keyword in order for each start that has any, ascending.
-
-        ``closed`` marks characters that no match may hold, such as line ends.
+    def _children(self, node: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a child of the class, and the children."""
+        own, bit = self.bits[node], (number & 63).astype(np.uint64)
+        some = np.flatnonzero(((own >> bit) & np.uint64(1)).astype(bool) & (number > 0))
+        if self.key is None:
+            before = own[some] & ((np.uint64(1) << bit[some]) - np.uint64(1))
+            return some, self.first[node[some]] + np.bitwise_count(before).astype(np.int32)
+        wanted = node[some].astype(np.int64) * self.width + number[some]
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        there = self.key[at] == wanted
+        return some[there], (at[there] + 1).astype(np.int32)
+
+    def _prepared(self, points: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class and room of each character, and where a keyword may start.
+
+        ``closed`` marks characters that no match may hold, such as line ends. Room is how many of the three characters
+        after each are open and follow without a break.
         """
-        number = self._codes[points].astype(np.int64)
+        number = self._codes[points].astype(np.int32)
         number[closed] = 0
         n = len(points)
-        # How many of the three characters after each are open and follow without a break.
         open_ = np.append(~closed, [False] * 3).astype(np.int8)
         room = open_[1:n + 1] * (1 + open_[2:n + 2] * (1 + open_[3:n + 3]))
-        start = np.flatnonzero(number)
-        node = self.table[number[start]]
-        start, node = start[node > 0], node[node > 0].astype(np.int64)
-        at, rank = start, np.zeros(len(start), np.int64)
-        found = []
-        depth = 0
-        while len(start):
+        begins = np.flatnonzero(number)
+        return number, room, begins[self._children(np.zeros(len(begins), np.int32), number[begins])[0]]
+
+    def _walk(self, number: np.ndarray, room: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first keyword in order that starts at each of ``begin``, _NO_WORD without any, and its end.
+
+        A path goes on only while what lies below it may come before what its start has found.
+        """
+        best, end = np.full(len(begin), _NO_WORD, np.int32), np.full(len(begin), -1, np.int64)
+        own, node = self._children(np.zeros(len(begin), np.int32), number[begin])
+        at, rank = begin[own].astype(np.int64), np.zeros(len(own), np.int64)
+        most, depth = max(4 * len(begin), 1 << 14), 0
+        while len(own):
             word = self.words[node]
-            hit = word != _NO_WORD
-            found.append((start[hit], word[hit], rank[hit], at[hit] + 1))
+            hit = np.flatnonzero(word < best[own])
+            if len(hit):  # of each start the first word, of its paths the one with the shorter gaps
+                hit = hit[np.lexsort((rank[hit], word[hit], own[hit]))]
+                hit = hit[np.append(True, own[hit][1:] != own[hit][:-1])]
+                best[own[hit]], end[own[hit]] = word[hit], at[hit] + 1
             steps = []
             for gap in range(K.MAX_GAP + 1):
                 some = np.flatnonzero(room[at] > gap)
                 to = at[some] + 1 + gap
-                child = self.table[node[some] * self.width + number[to]]
-                live = child > 0
+                live, child = self._children(node[some], number[to])
+                better = np.flatnonzero(self.least[child] < best[own[some[live]]])
+                live, child = live[better], child[better]
                 some = some[live]
-                steps.append((start[some], to[live], child[live].astype(np.int64), rank[some] * (K.MAX_GAP + 1) + gap))
-            start, at, node, rank = (np.concatenate(x) for x in zip(*steps))
+                steps.append((own[some], to[live], child, rank[some] * (K.MAX_GAP + 1) + gap))
+            own, at, node, rank = (np.concatenate(x) for x in zip(*steps))
             depth += 1
-            if depth % 30 == 0:  # ranks only have to keep their order
+            if depth % 20 == 0:  # ranks only have to keep their order
                 rank = np.unique(rank, return_inverse=True)[1]
-            if len(start) > n:  # paths that meet again go on as the one with the shorter gaps
-                order = np.lexsort((rank, node, at, start))
-                start, at, node, rank = start[order], at[order], node[order], rank[order]
-                new = np.append(True, (start[1:] != start[:-1]) | (at[1:] != at[:-1]) | (node[1:] != node[:-1]))
-                start, at, node, rank = start[new], at[new], node[new], rank[new]
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        start, word, rank, end = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((rank, word, start))
-        start, word, end = start[order], word[order], end[order]
-        new = np.append(True, start[1:] != start[:-1]) if len(start) else np.zeros(0, bool)
-        return start[new], word[new], end[new]
+            if len(own) > most:  # paths that meet again go on as the one with the shorter gaps
+                order = np.lexsort((rank, node, at, own))
+                own, at, node, rank = own[order], at[order], node[order], rank[order]
+                new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1]) | (node[1:] != node[:-1]))
+                own, at, node, rank = own[new], at[new], node[new], rank[new]
+        return best, end
+
+    def candidates(self, points: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, order, end) of the first keyword in order for each start that has any, ascending."""
+        number, room, begins = self._prepared(points, closed)
+        word, end = self._walk(number, room, begins)
+        hit = word != _NO_WORD
+        return begins[hit], self.orders[word[hit]], end[hit]
+
+    def matches(self, points: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, order, end) of the matches, none inside another, left to right.
+
+        Starts inside a match are not looked at. Walks along the text begin every few places at once; one that
+        comes to a place where another has been goes on as that one did, so the walk from the first place finds all its
+        steps known.
+        """
+        number, room, begins = self._prepared(points, closed)
+        n = len(begins)
+        word, end, known = np.full(n, _NO_WORD, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
+        following = np.arange(1, n + 1)
+        now = np.arange(0, n, _STRIDE)
+        while len(now):
+            word[now], end[now] = self._walk(number, room, begins[now])
+            known[now] = True
+            hit = now[word[now] != _NO_WORD]
+            following[hit] = np.searchsorted(begins, end[hit])
+            now = np.unique(following[now])
+            now = now[now < n]
+            now = now[~known[now]]
+        taken, place, onward, hits = [], 0, following.tolist(), (word != _NO_WORD).tolist()
+        while place < n:
+            if hits[place]:
+                taken.append(place)
+            place = onward[place]
+        taken = np.array(taken, np.int64)
+        return begins[taken], self.orders[word[taken]], end[taken]
 
 
 def leftmost(start: list[int], end: list[int]) -> list[int]:
@@ -134,12 +198,11 @@ def keyword_table(df: DataFrame, keyword: str = "keyword", order: str = "ord") -
 
 
 def _tries(table: DataFrame) -> list:
-    """Broadcast tries; each is built by one task, from keywords whose table has a bounded size."""
+    """Broadcast tries; each is built by one task, from keywords of a bounded number of characters."""
     chars = table.agg(F.sum(F.char_length("keyword"))).first()[0]
     if not chars:
         return []
-    alphabet = table.select(F.explode(F.split("keyword", "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).first()[0]
-    parts = -(-(chars + 1) * (alphabet + 1) // PART_ENTRIES)
+    parts = -(-(chars + 1) // PART_ENTRIES)
     # Neighbours in the alphabet share their beginnings, so they share a trie.
     dealt = (table.repartitionByRange(parts, "keyword") if parts > 1 else table.coalesce(1)).withColumn("_part", F.spark_partition_id())
 
@@ -179,52 +242,91 @@ _CANDIDATES = "array<struct<start:bigint,ord:bigint,stop:bigint>>"
 _CANDIDATE_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int64()), ("stop", pa.int64())]))
 
 
-def _line_candidates(df: DataFrame, trie, text: str) -> DataFrame:
-    """Lines that hold a candidate: the other columns, line_no, the trimmed line, and its candidates by their places in it."""
+def _chunked(batch, texts: pa.Array):
+    """(rows, texts) of a batch, about _CHUNK characters at a time; a null text as empty."""
+    size, some, held = 0, [], []
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        if some and size + len(t) > _CHUNK:
+            yield some, held
+            size, some, held = 0, [], []
+        some.append(i)
+        held.append(t)
+        size += len(t)
+    if some:
+        yield some, held
+
+
+def _by_line(batch, others, rows, texts, starts, start, word, stop, kind):
+    """A row for each line that holds one of the matches: the other columns, line_no, the trimmed line, and its matches."""
+    own = np.searchsorted(starts, start, "right") - 1  # line among all lines
+    firsts = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    lines = own[cuts]
+    of = np.searchsorted(firsts, lines, "right") - 1
+    whole, shown, bases = {}, [], []
+    for line, k in zip(lines.tolist(), of.tolist()):
+        if k not in whole:
+            whole = {k: texts[k].split("\n")}
+        raw = whole[k][line - int(firsts[k])]
+        shown.append(raw.strip(K.WHITESPACE))
+        bases.append(int(starts[line]) + len(raw) - len(raw.lstrip(K.WHITESPACE)))
+    base = np.repeat(np.array(bases, np.int64), np.diff(np.append(cuts, len(own))))
+    offsets = pa.array(np.append(cuts, len(own)), pa.int32())
+    if kind == _MATCH_TYPE:
+        line_of = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(own)))).tolist()
+        surfaces = [shown[i][a:b] for i, a, b in zip(line_of, (start - base).tolist(), (stop - base).tolist())]
+        fields = [pa.array(word, pa.int64()), pa.array(surfaces, pa.string())]
+    else:
+        fields = [pa.array(x, pa.int64()) for x in (start - base, word, stop - base)]
+    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+    taken = batch.select(others).take(pa.array([rows[k] for k in of.tolist()]))
+    return [*taken.columns, pa.array(lines - firsts[of] + 1, pa.int32()), pa.array(shown, pa.string()), found]
+
+
+_MATCHES = "array<struct<ord:bigint,surface:string>>"
+_MATCH_TYPE = pa.list_(pa.struct([("ord", pa.int64()), ("surface", pa.string())]))
+
+
+def _lines_with(df: DataFrame, trie, text: str, every: bool) -> DataFrame:
+    """Lines with a match: the other columns, line_no, the trimmed line and ``matches``; with ``every`` in place of these
+    the ``candidates`` of all starts by their places in the line."""
     others = [c for c in df.columns if c != text]
     kinds = dict(df.dtypes)
+    last, kind, shown = ("candidates", _CANDIDATE_TYPE, _CANDIDATES) if every else ("matches", _MATCH_TYPE, _MATCHES)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(others)).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, some = 0, []
-                while at < len(texts) and (not some or size + len(texts[at] or "") <= _CHUNK):
-                    some.append(at)
-                    size += len(texts[at] or "")
-                    at += 1
-                yield from found_in(batch, some, [texts[i] or "" for i in some])
-
-    def found_in(batch, rows, texts):
-        points, closed, starts = _lines(texts)
-        start, word, stop = trie.value.candidates(points, closed)
-        if not len(start):
-            return
-        own = np.searchsorted(starts, start, "right") - 1  # line among all lines
-        firsts = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
-        cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
-        lines = own[cuts]
-        of = np.searchsorted(firsts, lines, "right") - 1
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        whole, shown, places = {}, [], []
-        for a, b, line, k in zip(cuts, [*cuts[1:], len(own)], lines.tolist(), of.tolist()):
-            if k not in whole:
-                whole[k] = texts[k].split("\n")
-            raw = whole[k][line - int(firsts[k])]
-            trimmed = raw.strip(K.WHITESPACE)
-            base = int(starts[line]) + len(raw) - len(raw.lstrip(K.WHITESPACE))
-            shown.append(trimmed)
-            places.append([{"start": int(x) - base, "ord": int(y), "stop": int(z) - base} for x, y, z in zip(start[a:b], word[a:b], stop[a:b])])
-        taken = batch.select(others).take(pa.array([rows[k] for k in of.tolist()]))
-        yield pa.RecordBatch.from_arrays(
-            [*taken.columns, pa.array((lines - firsts[of] + 1).tolist(), pa.int32()), pa.array(shown, pa.string()), pa.array(places, _CANDIDATE_TYPE)],
-            [*others, "line_no", "line", "candidates"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "line_no int", "line string", f"candidates {_CANDIDATES}"])
+            for rows, texts in _chunked(batch, batch.column(len(others))):
+                points, closed, starts = _lines(texts)
+                start, word, stop = (trie.value.candidates if every else trie.value.matches)(points, closed)
+                if len(start):
+                    yield pa.RecordBatch.from_arrays(_by_line(batch, others, rows, texts, starts, start, word, stop, kind), [*others, "line_no", "line", last])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "line_no int", "line string", f"{last} {shown}"])
     return df.select(*others, text).mapInArrow(run, schema)
 
 
+def _counted(df: DataFrame, trie, id_col: str, text: str) -> DataFrame:
+    """(id, ord, n): how often a keyword matches in a row, without its lines."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in _chunked(batch, batch.column(1)):
+                points, closed, starts = _lines(texts)
+                start, word, _ = trie.value.matches(points, closed)
+                if not len(start):
+                    continue
+                begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+                of = np.searchsorted(begins, start, "right") - 1
+                words, number = np.unique(word, return_inverse=True)
+                pairs, n = np.unique(of * len(words) + number, return_counts=True)
+                ids = batch.column(0).take(pa.array(np.array(rows)[pairs // len(words)]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words[pairs % len(words)]), pa.array(n.astype(np.int64))], [id_col, "ord", "n"])
+
+    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ord long, n long")
+
+
 def _taken(df: DataFrame) -> DataFrame:
     """``matches`` in place of candidates: of each start the first in order, none inside another, left to right."""
     kinds = dict(df.dtypes)
@@ -251,15 +353,18 @@ def matching_lines(df: DataFrame, table: DataFrame, text: str = "text") -> DataF
     ``table`` comes from ``keyword_table``. One pass over the texts, without a shuffle, while the trie is within
     PART_ENTRIES; more keywords take a pass for each part, whose candidates then meet line by line.
     """
-    tries = _tries(table)
+    return _matching_lines(df, _tries(table), text)
+
+
+def _matching_lines(df: DataFrame, tries: list, text: str) -> DataFrame:
     if not tries:
         return df.where(F.lit(False)).drop(text).withColumns(
             {"line_no": F.lit(0), "line": F.lit(""), "matches": F.lit(None).cast("array<struct<ord:bigint,surface:string>>")})
     if len(tries) == 1:
-        return _taken(_line_candidates(df, tries[0], text))
+        return _lines_with(df, tries[0], text, every=False)
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    found = [_line_candidates(rows.select("_row", text), t, text) for t in tries]
+    found = [_lines_with(rows.select("_row", text), t, text, every=True) for t in tries]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -278,8 +383,12 @@ def line_findings(df: DataFrame, table: DataFrame, text: str = "text") -> DataFr
 
 def keyword_counts(df: DataFrame, id_col: str, table: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences and distinct documents of every keyword of the table, zero for those that aren't found."""
-    found = matching_lines(df.select(id_col, text), table, text)
-    per_doc = found.select(id_col, F.explode(F.col("matches")["ord"]).alias("ord")).groupBy("ord", id_col).agg(F.count("*").alias("n"))
+    tries, rows = _tries(table), df.select(id_col, text)
+    if len(tries) == 1:
+        each = _counted(rows, tries[0], id_col, text)
+    else:
+        each = _matching_lines(rows, tries, text).select(id_col, F.explode(F.col("matches")["ord"]).alias("ord"), F.lit(1).alias("n"))
+    per_doc = each.groupBy("ord", id_col).agg(F.sum("n").alias("n"))
     counts = per_doc.groupBy("ord").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
     zero = F.lit(0).cast("long")
     return table.join(counts, "ord", "left").select(

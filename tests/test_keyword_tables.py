@@ -79,3 +79,28 @@ def test_no_keywords(spark):
     frame = spark.createDataFrame([(1, "a")], "id long, text string")
     table = T.keyword_table(spark.createDataFrame([], "keyword string, ord int"))
     assert T.line_findings(frame, table).collect() == []
+
+
+def test_matches_are_the_taken_candidates():
+    """Walks that begin in the middle of a match come together with the walk from the start; more than 64 classes as well."""
+    rng = random.Random(5)
+    for letters in ("abcdef", "".join(map(chr, range(0x4e00, 0x4e00 + 150)))):
+        keywords = list(dict.fromkeys("".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(3000)))
+        rng.shuffle(keywords)
+        text = "".join(rng.choices(letters + "\n", k=4000))
+        trie = T.Trie(keywords, [7 * i for i in range(len(keywords))])
+        points, closed, _ = T._lines([text])
+        start, word, end = (x.tolist() for x in trie.candidates(points, closed))
+        some = T.leftmost(start, end)
+        got = list(zip(*(x.tolist() for x in trie.matches(points, closed))))
+        assert got == [(start[i], word[i], end[i]) for i in some] and len(got) > 100
+
+
+def test_one_trie_for_many_keywords(spark, monkeypatch):
+    """The size of a trie grows with its nodes, not with nodes times classes: no pass and no shuffle for every few keywords."""
+    monkeypatch.setattr(T, "PART_ENTRIES", 4000)
+    rows = [("".join(chr(97 + (i // 26 ** j) % 26) for j in range(4)), i) for i in range(900)]
+    table = T.keyword_table(spark.createDataFrame(rows, "keyword string, ord int"))
+    frame = spark.createDataFrame([(1, "xx abaa"), (2, "none")], "id long, text string")
+    plan = T.matching_lines(frame, table)._jdf.queryExecution().toString()
+    assert len(T._tries(table)) == 1 and "Exchange" not in plan
