@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+import tempfile
+from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineward.operators import web as W
 from lineward.operators.keyword_scan import line_findings
@@ -21,41 +26,78 @@ def scan_stream(stream: DataFrame, keywords: list[str], text: str = "text") -> D
     return line_findings(stream, keywords, text)
 
 
-_LAST = "content_hash string, etag string, last_modified string, seen long"
-_VERSION = "content_hash string, etag string, last_modified string"
+_STATE = "content_hash string, etag string, last_modified string, seen long, written long"
 _CHANGE = "url string, at long, content_hash string, status string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Versions of one page that are held and handed on together.
+_HELD = 20_000
 
 
-class _Tracker(StatefulProcessor):
-    """Follows the versions of one page in fetch order, one at a time.
+def _in_order(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(at, arrival, content_hash, etag, last_modified) of the versions of a page by time and arrival; more than
+    _HELD of them are sorted by parts, which wait in the task's own temporary file."""
+    held, runs, arrival = [], [], 0
+    with tempfile.TemporaryFile() as file:
+        for pdf in frames:
+            for at, *version in zip(pdf["at"].tolist(), pdf["content_hash"], pdf["etag"], pdf["last_modified"]):
+                held.append((at, arrival, *version))
+                arrival += 1
+                if len(held) == _HELD:
+                    runs.append(file.tell())
+                    for row in sorted(held, key=_place):
+                        pickle.dump(row, file)
+                    held = []
+        ends = [*runs[1:], file.tell()]
+        yield from heapq.merge(sorted(held, key=_place), *(_read(file, a, b) for a, b in zip(runs, ends)), key=_place)
 
-    The versions of a trigger arrive in any order. They are put into a map state by time and arrival; only these two
-    numbers are sorted in memory, and a version is read when it is its turn.
-    """
+
+def _place(row: tuple) -> tuple:
+    return row[:2]
+
+
+def _read(file, at: int, end: int) -> Iterator[tuple]:
+    while at < end:
+        file.seek(at)
+        row = pickle.load(file)
+        at = file.tell()
+        yield row
+
+
+class _Tracker:
+    """Follows the versions of one page in fetch order, one at a time."""
 
     def __init__(self, expire_after: timedelta | None):
         self.most = expire_after // timedelta(microseconds=1) if expire_after else None
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _LAST, max(1, self.most // 1000) if self.most else None)
-        self.waiting = handle.getMapState("waiting", "at long, arrival long", _VERSION)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        order = []
-        for arrival, row in enumerate(rows):
-            self.waiting.updateValue((row.at, arrival), (row.content_hash, row.etag, row.last_modified))
-            order.append((row.at, arrival))
-        last = self.last.get() if self.last.exists() else None
-        for place in sorted(order):
-            version = self.waiting.getValue(place)
-            self.waiting.removeKey(place)
-            status, last = self._judge(place[0], version, last)
-            yield Row(url=key[0], at=place[0], content_hash=version[0], status=status)
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, wait = state.getCurrentProcessingTimeMs(), max(1, self.most // 1000) if self.most else None
+        stored = state.get if state.exists else None
+        if stored is not None and wait and now - stored[4] >= wait:
+            stored = None
+        last = stored and tuple(stored)[:4]
+        out = []
+        for at, _, *version in _in_order(frames):
+            status, last = self._judge(at, version, last)
+            out.append((key[0], at, version[0], status))
+            if len(out) == _HELD:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
         if last is not None:
-            self.last.update(last)
-
-    def _judge(self, at: int, version: tuple, last: tuple | None) -> tuple[str, tuple | None]:
+            state.update((*last, now))
+            if wait:
+                state.setTimeoutDuration(wait)
+        elif stored is not None:
+            if wait:  # it stays for the rest of its time
+                state.setTimeoutDuration(max(1, wait - (now - stored[4])))
+        elif state.exists:
+            state.remove()
+
+    def _judge(self, at: int, version: list, last: tuple | None) -> tuple[str, tuple | None]:
         content_hash, etag, modified = version
         if last is not None and self.most is not None and at - last[3] > self.most:
             last = None  # not seen for so long that it is new again
@@ -69,8 +111,8 @@ class _Tracker(StatefulProcessor):
             return W.NEW, (content_hash, etag, modified, at)
         return W.CHANGED, (content_hash, etag or last[1], modified or last[2], seen)
 
-    def close(self) -> None:
-        pass
+
+_COLUMNS = ["url", "at", "content_hash", "status"]
 
 
 def detect_changes(stream: DataFrame, expire_after: timedelta | None = None) -> DataFrame:
@@ -82,11 +124,13 @@ def detect_changes(stream: DataFrame, expire_after: timedelta | None = None) ->
     """
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the store that has map states and expiry
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the store that keeps states out of the heap
     rows = stream.select(
         "url", F.coalesce(F.unix_micros("fetched_at"), F.lit(0).cast("long")).alias("at"), W.content_hash(F.col("html")).alias("content_hash"),
         F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"))
-    found = rows.groupBy("url").transformWithState(_Tracker(expire_after), _CHANGE, "append", "ProcessingTime")
+    # States travel with the rows in Arrow batches; with transformWithState each value read or written is a call to the JVM.
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_after else GroupStateTimeout.NoTimeout
+    found = rows.groupBy("url").applyInPandasWithState(_Tracker(expire_after), _CHANGE, _STATE, "append", timeout)
     return found.select("url", F.timestamp_micros("at").alias("fetched_at"), "content_hash", "status")
 
 
