@@ -50,7 +50,9 @@ def wide_ranges() -> str:
 
 
 def visual_width(text: Column) -> Column:
-    return F.char_length(text) + F.char_length(F.regexp_replace(text, f"[^{wide_ranges()}]", ""))
+    # All before the first wide character is dropped by one range, the rest is tested against all ranges.
+    rest = F.regexp_replace(text, "[\\x{0}-\\x{10ff}]++", "")
+    return F.char_length(text) + F.char_length(F.regexp_replace(rest, f"[^{wide_ranges()}]++", ""))
 
 
 def _prefix(text: Column, width: Column | int, at_most: int) -> Column:
