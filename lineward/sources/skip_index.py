@@ -44,14 +44,14 @@ def build_index(spark: SparkSession, path: str, text: str = "text") -> DataFrame
     """Index the Parquet files below ``path`` and store the index there; returns it.
 
     A row for each file and bitmap: file, size and time of change, bucket, bits. Rows are reduced line by line, then by
-    task, to bitmaps of a fixed size.
+    task to the different bits of a file, by hash: an aggregate of bitmaps sorts its input, and so gets these alone.
     """
     rows = spark.read.parquet(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("changed"), F.col(text).alias("_text"))
     lines = rows.select("file", "size", "changed", F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("_line"))
     bits = lines.select("file", "size", "changed", F.explode(_pairs(F.col("_line"))).alias("_pair")).select(
-        "file", "size", "changed", _bit(F.col("_pair")).alias("_bit"))
+        "file", "size", "changed", _bit(F.col("_pair")).alias("_bit")).distinct()
     index = bits.groupBy("file", "size", "changed", F.bitmap_bucket_number("_bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("bits"))
     index.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_FOLDER}")

@@ -72,3 +72,13 @@ def test_lines_of_files_in_blocks(spark, scratch):
         for n, v in zip(names, before):
             spark.conf.set(n, v)
     assert os.path.getsize(f"{scratch}/one.txt") > 900
+
+
+def test_bits_of_a_file_are_distinct_before_bitmaps(spark, scratch):
+    """Only the different bits of a file are sorted for the aggregate of bitmaps, not every pair of its lines."""
+    from lineward.sources import skip_index as I
+
+    spark.createDataFrame([(i, "ab ab\nab") for i in range(50)], "doc_id long, text string").coalesce(1).write.parquet(scratch + "/in")
+    index = I.build_index(spark, scratch + "/in")
+    assert index.select("file").distinct().count() == 1
+    assert I.possible_files(index, ["ab"]).count() == 1 and I.possible_files(index, ["xy"]).count() == 0
