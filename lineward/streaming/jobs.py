@@ -9,9 +9,9 @@ from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineward.operators import web as W
@@ -26,27 +26,25 @@ def scan_stream(stream: DataFrame, keywords: list[str], text: str = "text") -> D
     return line_findings(stream, keywords, text)
 
 
-_STATE = "content_hash string, etag string, last_modified string, seen long, written long"
+_STATE = "content_hash string, etag string, last_modified string, seen long"
 _CHANGE = "url string, at long, content_hash string, status string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Versions of one page that are held and handed on together.
 _HELD = 20_000
 
 
-def _in_order(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+def _in_order(versions: Iterable[tuple]) -> Iterator[tuple]:
     """(at, arrival, content_hash, etag, last_modified) of the versions of a page by time and arrival; more than
     _HELD of them are sorted by parts, which wait in the task's own temporary file."""
-    held, runs, arrival = [], [], 0
+    held, runs = [], []
     with tempfile.TemporaryFile() as file:
-        for pdf in frames:
-            for at, *version in zip(pdf["at"].tolist(), pdf["content_hash"], pdf["etag"], pdf["last_modified"]):
-                held.append((at, arrival, *version))
-                arrival += 1
-                if len(held) == _HELD:
-                    runs.append(file.tell())
-                    for row in sorted(held, key=_place):
-                        pickle.dump(row, file)
-                    held = []
+        for arrival, (at, *version) in enumerate(versions):
+            held.append((at, arrival, *version))
+            if len(held) == _HELD:
+                runs.append(file.tell())
+                for row in sorted(held, key=_place):
+                    pickle.dump(row, file)
+                held = []
         ends = [*runs[1:], file.tell()]
         yield from heapq.merge(sorted(held, key=_place), *(_read(file, a, b) for a, b in zip(runs, ends)), key=_place)
 
@@ -66,20 +64,12 @@ def _read(file, at: int, end: int) -> Iterator[tuple]:
 class _Tracker:
     """Follows the versions of one page in fetch order, one at a time."""
 
-    def __init__(self, expire_after: timedelta | None):
-        self.most = expire_after // timedelta(microseconds=1) if expire_after else None
+    most: int | None = None
 
     def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now, wait = state.getCurrentProcessingTimeMs(), max(1, self.most // 1000) if self.most else None
-        stored = state.get if state.exists else None
-        if stored is not None and wait and now - stored[4] >= wait:
-            stored = None
-        last = stored and tuple(stored)[:4]
-        out = []
-        for at, _, *version in _in_order(frames):
+        versions = (v for pdf in frames for v in zip(pdf["at"].tolist(), pdf["content_hash"], pdf["etag"], pdf["last_modified"]))
+        last, out = tuple(state.get) if state.exists else None, []
+        for at, _, *version in _in_order(versions):
             status, last = self._judge(at, version, last)
             out.append((key[0], at, version[0], status))
             if len(out) == _HELD:
@@ -88,14 +78,7 @@ class _Tracker:
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
         if last is not None:
-            state.update((*last, now))
-            if wait:
-                state.setTimeoutDuration(wait)
-        elif stored is not None:
-            if wait:  # it stays for the rest of its time
-                state.setTimeoutDuration(max(1, wait - (now - stored[4])))
-        elif state.exists:
-            state.remove()
+            state.update(last)
 
     def _judge(self, at: int, version: list, last: tuple | None) -> tuple[str, tuple | None]:
         content_hash, etag, modified = version
@@ -115,6 +98,28 @@ class _Tracker:
 _COLUMNS = ["url", "at", "content_hash", "status"]
 
 
+class _ExpiringTracker(_Tracker, StatefulProcessor):
+    """The same with a state that goes some time after it was written, which only this kind of state can do without end of a
+    run. Its values are read and written by calls, once for a page and trigger."""
+
+    def __init__(self, expire_after: timedelta):
+        self.most = expire_after // timedelta(microseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _STATE, max(1, self.most // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        last = self.last.get() if self.last.exists() else None
+        for at, _, *version in _in_order((r.at, r.content_hash, r.etag, r.last_modified) for r in rows):
+            status, last = self._judge(at, version, last)
+            yield Row(url=key[0], at=at, content_hash=version[0], status=status)
+        if last is not None:
+            self.last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
 def detect_changes(stream: DataFrame, expire_after: timedelta | None = None) -> DataFrame:
     """``url, fetched_at, content_hash, status`` for every fetched page version.
 
@@ -128,9 +133,11 @@ def detect_changes(stream: DataFrame, expire_after: timedelta | None = None) ->
     rows = stream.select(
         "url", F.coalesce(F.unix_micros("fetched_at"), F.lit(0).cast("long")).alias("at"), W.content_hash(F.col("html")).alias("content_hash"),
         F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"))
-    # States travel with the rows in Arrow batches; with transformWithState each value read or written is a call to the JVM.
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_after else GroupStateTimeout.NoTimeout
-    found = rows.groupBy("url").applyInPandasWithState(_Tracker(expire_after), _CHANGE, _STATE, "append", timeout)
+    pages = rows.groupBy("url")
+    if expire_after:
+        found = pages.transformWithState(_ExpiringTracker(expire_after), _CHANGE, "append", "ProcessingTime")
+    else:  # states travel with the rows in Arrow batches
+        found = pages.applyInPandasWithState(_Tracker(), _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
     return found.select("url", F.timestamp_micros("at").alias("fetched_at"), "content_hash", "status")
 
 

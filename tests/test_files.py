@@ -166,3 +166,15 @@ def test_unlock_rounds(spark):
     after = {r.path: (r.status, r.matched) for r in L.apply_attempt(reg, outcomes, found).collect()}
     assert after == {"a": ("decrypted", 3), "b": ("failed", None), "c": ("encrypted", None)}
     assert [r.path for r in L.retry_set(L.apply_attempt(reg, outcomes, found)).collect()] == ["b"]
+
+
+def test_little_text_is_diagnosed_and_scanned(spark):
+    """Encrypted by its structure when nothing in it could give a text, and its text is scanned all the same; a workbook with a sheet is low_text."""
+    sheet = pack({"xl/workbook.xml": "x", "xl/worksheets/sheet1.xml": "x"})
+    rows = [("/d/a.xlsx", bytearray(pack({"xl/workbook.xml": "x"})), 20000, " token ", "ok"), ("/d/b.xlsx", bytearray(sheet), 20000, "token", "ok"),
+            ("/d/c.txt", bytearray(b"token"), 20000, "token", "ok"), ("/d/d.xlsx", bytearray(sheet), 20000, "token", "encrypted")]
+    frame = spark.createDataFrame(rows, "path string, content binary, size long, text string, extract_status string")
+    checked = L.with_status(L.with_types(frame))
+    assert {r.path[3]: (r.status, r.reason) for r in checked.collect()} == {
+        "a": ("encrypted", "encrypted"), "b": ("damaged", "low_text"), "c": ("damaged", "low_text"), "d": ("encrypted", "encrypted")}
+    assert sorted(r.path[3] for r in L.findings(checked, ["token"]).collect()) == ["a", "b", "c"]
