@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import chunks, components, joined_to_groups, mix64, texts_of, written
+from lineward.llm.common import chunks, components, joined_to_groups, mix64, texts_of, with_partner, written
 
 SHINGLE, SIMILARITY = 4, 80
 BINS, ROWS = 128, 4
@@ -322,6 +322,7 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     # One column as the key, null ids included: the join's partitions serve the aggregate that follows.
     ids = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("key"))
     whole = texts_of(docs).select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("key"), "text")
+    whole = with_partner(whole, ids, ["key"])  # texts that share no bucket stay where they are
     texts = written(whole.join(ids, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
 
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("n"))).alias("top")).select(
@@ -362,11 +363,15 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     The document with the smallest id stays. Rows without id stay, since nothing names them. Of rows that
     repeat an id each different text counts for itself; of equal rows that stay one stays.
     """
-    found = _placed(docs, size)
-    gone = found.where("doc_id is not null and not kept").select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & text_key.eqNullSafe(F.col("_gone_key")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    found = written(_placed(docs, size).where("doc_id is not null").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept"), "found")
+    repeated = found.where("kept").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    repeated = written(found.where("kept").join(repeated, "_id", "left_semi").select("_id", "_key").distinct(), "repeated")
+    named = found.where("not kept").select("_id", "_key").union(repeated).distinct()
+    # Rows that may be named by neither list stay without a shuffle: texts move only to be looked up in them.
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    alone = with_partner(rows, named, ["_id", "_key"], "left_anti")
+    once = with_partner(rows, named, ["_id", "_key"]).join(named, ["_id", "_key"], "left_anti")
+    again = with_partner(rows, repeated, ["_id", "_key"]).join(repeated, ["_id", "_key"], "left_semi")
+    return alone.select(docs.columns).unionByName(once.select(docs.columns)).unionByName(
+        again.select(docs.columns).dropDuplicates(["doc_id", "text"]))

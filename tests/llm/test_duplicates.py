@@ -71,6 +71,29 @@ def test_minhash_keeps_the_distinct_text_of_a_repeated_id(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, one), (2, other), (3, None), (None, one)]))
 
 
+def test_rows_without_partner_are_told_where_they_are(spark):
+    """Both sides together are all rows, none with a partner is told apart, nearly all others are; only the filter is shuffled."""
+    rows = spark.range(3000).selectExpr("if(id % 7 = 0, null, id) as k", "id % 3 as j", "repeat(cast(id as string), 50) as text").cache()
+    partners = rows.where("k < 300 or k is null").select("k", "j").union(spark.sql("select 5000L, 1L"))
+    may, none = (common.with_partner(rows, partners, ["k", "j"], how) for how in ("left_semi", "left_anti"))
+    assert may.columns == none.columns == rows.columns
+    assert sorted(map(tuple, may.union(none).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert not none.where("k < 300 or k is null").count() and may.where("k >= 300").count() < 10
+    assert common.with_partner(rows, partners.limit(0), ["k", "j"]).count() == 0
+    plan = none._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_word" in plan and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_only_named_texts_are_shuffled(spark):
+    """The last step of the near-duplicates stage moved all texts four times."""
+    rows = [(i, f"w{i} " * 30, "x") for i in range(40)] + [(50, "w1 " * 30, "x"), (3, "other words of its own", "y"), (3, "w3 " * 30, "x"), (None, "w1 " * 30, "x")]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 2 and "Union" in plan
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert got == sorted([(i, f"w{i} " * 30, "x") for i in range(40)] + [(3, "other words of its own", "y"), (None, "w1 " * 30, "x")], key=str)
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(15):
