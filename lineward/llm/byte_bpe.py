@@ -24,6 +24,8 @@ from lineward.llm.common import codepoints, map_texts, texts_of
 #: Pieces whose ids a worker keeps; the store is emptied when it is full.
 CACHED_PIECES = 400_000
 _LONGEST_CACHED = 64
+#: Characters of text that a round trip holds at once.
+_CHUNK = 1 << 18
 #: Pieces up to these many bytes are merged side by side, so many at once; longer ones with a heap.
 _WIDTHS, _ROWS = (4, 8, 12, 16, 24, 32), 20_000
 _NONE, _FREE, _FACTOR = np.uint32(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
@@ -328,4 +330,4 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}
 
-    return map_texts(texts_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(texts_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _CHUNK)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import chunks, components, joined_to_groups, mix64, texts_of, with_partner, written
+from lineward.llm.common import chunks, components, in_batches, joined_to_groups, mix64, texts_of, with_partner, written
 
 SHINGLE, SIMILARITY = 4, 80
 BINS, ROWS = 128, 4
@@ -30,6 +30,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Standard deviations that a sketch's estimate may lie below the similarity.
 _DEVIATIONS = 5
 _SETS_HELD = 256
+#: Characters of text whose shingles are held at once.
+_CHUNK = 1 << 18
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in texts]):
+            for a, b in chunks([len(t) for t in texts], _CHUNK):
                 values, counts = shingles(texts[a:b], size)
                 sketch = short(sketches(values, counts))
                 ends = np.cumsum(counts)
@@ -133,8 +135,8 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                     "doc_id": batch.column(0).slice(a, b - a), "text_key": batch.column(2).slice(a, b - a), "n_shingles": counts,
                     "set_key": pa.array(keys, pa.binary()), "sketch": pa.array(own, pa.binary())})
 
-    return texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary")
+    return in_batches(texts_of(docs).withColumn("text_key", F.xxhash64("text")),
+                      run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def _members(classes: DataFrame) -> DataFrame:
                 sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, BINS)
                 yield pa.RecordBatch.from_pydict({"node": np.repeat(part.column(0).to_numpy(), BINS // ROWS), "bucket": bands(sketch).reshape(-1)})
 
-    return classes.select("node", "sketch").mapInArrow(run, "node long, bucket long")
+    return in_batches(classes.select("node", "sketch"), run, "node long, bucket long")
 
 
 def _possible(n_a, n_b, agree):
@@ -169,7 +171,7 @@ def _sketch_test(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 ok = _possible(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (sa == sb).mean(1))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return in_batches(joined, run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -199,7 +201,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     held.popitem(last=False)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _likely(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import map_texts, texts_of, written
+from lineward.llm.common import in_batches, map_texts, texts_of, written
 
 # The forms that are always searched, in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -143,7 +143,7 @@ def _term_counts(texts: DataFrame) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "term string, n long, m long, m0 long, m1 long, m2 long")
+    return in_batches(texts.select("doc_id", "text"), run, "term string, n long, m long, m0 long, m1 long, m2 long")
 
 
 def _places(texts: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _places(texts: DataFrame) -> DataFrame:
                         "row_key": pa.array([_row_key(doc_id, text)] * len(places), pa.binary()), "term": pa.array(list(places), pa.string()),
                         "places": pa.array(list(places.values()), _PLACES)})
 
-    return texts.select("doc_id", "text").mapInArrow(run, "row_key binary, term string, places array<struct<start:int,end:int>>")
+    return in_batches(texts.select("doc_id", "text"), run, "row_key binary, term string, places array<struct<start:int,end:int>>")
 
 
 _PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -259,5 +259,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
             found[at] = pa.array([None if t is None else _clean(t, x) for t, x in zip(texts, terms)], found[at].type)
             yield pa.RecordBatch.from_arrays(found, columns)
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = in_batches(rows, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import bounded_sample, chunks, map_texts, mix64, texts_of
+from lineward.llm.common import bounded_sample, chunks, in_batches, map_texts, mix64, texts_of
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 10, (2, 3, 4)
 #: Features for "the word before, again" and "another word"; each word has one of them so many times.
@@ -24,7 +24,7 @@ EPOCHS, RATE, SEED = 8, 20.0, 7
 #: The classifier is fitted on at most so many labelled documents, half of each class, by a hash of their id.
 FIT_DOCS = 4000
 #: Characters of text whose features are held at once.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -190,4 +190,4 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

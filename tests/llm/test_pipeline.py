@@ -2,15 +2,17 @@
 
 import base64
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from helpers import WORD, lowest_reachable, near_duplicates, sha
 
 import __spark_entry__ as entry
-from lineward.llm import mixing, privacy, quality
+from lineward.llm import common, minhash, mixing, privacy, quality
 from lineward.llm.queries import BYTE_RANKS, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -86,3 +88,29 @@ def test_near_duplicates_stage_takes_five_words(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, frame, SF_DIR).collect())
     assert found == kept(5) != kept(4)
+
+
+def test_workers_get_small_batches(spark):
+    """3,000 texts of 8,000 characters in one partition come as batches of a few MB, whole and in order; a longer text comes too."""
+    frame = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(char(97 + id % 26), if(id = 5, 9000000, 8000)) as text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes], "first": [batch.column(0)[0].as_py()]})
+
+    found = common.in_batches(frame, run, "rows long, bytes long, first long").collect()
+    assert sum(r["rows"] for r in found) == 3000 and [r["first"] for r in found] == sorted(r["first"] for r in found)
+    assert max(r["bytes"] for r in found if not r["first"] <= 5 < r["first"] + r["rows"]) < 1.5 * common.BATCH_BYTES
+    assert max(r["bytes"] for r in found) < 9_000_000 + 1.5 * common.BATCH_BYTES
+
+
+def test_chunks_take_little_memory():
+    """What scoring and sketching hold of the characters that they take at once."""
+    rng = random.Random(4)
+    for module, work in ((quality, quality.features), (minhash, lambda t: minhash.sketches(*minhash.shingles(t, 5)))):
+        texts = ["".join(rng.choices("abcdefgh    ", k=2048)) for _ in range(module._CHUNK // 2048)]
+        tracemalloc.start()
+        work(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40e6
