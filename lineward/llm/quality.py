@@ -8,6 +8,7 @@ model is sent to tasks as one number for each bucket.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,6 +135,23 @@ def _widened(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // n])
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as they are sent to the driver: many are small, so a byte or less each."""
+    return zlib.compress(_narrow(numbers), 1)
+
+
+def _gathered(rows) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Buckets and counts of each row, all in two arrays that are given back as a whole."""
+    ends = np.cumsum([r["n"] for r in rows])
+    ids = np.empty(ends[-1], np.int32)
+    counts = np.empty(ends[-1], "u1" if max(r["most"] for r in rows) < 1 << 8 else np.uint32)
+    for r, end in zip(rows, ends.tolist()):
+        some = slice(end - r["n"], end)
+        np.cumsum(_widened(zlib.decompress(r["gaps"]), r["n"]), out=ids[some])
+        counts[some] = _widened(zlib.decompress(r["counts"]), r["n"])
+    return np.split(ids, ends[:-1]), np.split(counts, ends[:-1])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
@@ -148,16 +166,16 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     def run(keys, texts):
         ids, sizes = features(texts)
         each = [np.unique(x, return_counts=True) for x in np.split(ids, np.cumsum(sizes)[:-1])]
-        return {"doc_id": keys, "ids": pa.array([x.astype("<i4").tobytes() for x, _ in each], pa.binary()),
-                "counts": pa.array([_narrow(n) for _, n in each], pa.binary())}
+        return {"doc_id": keys, "n": pa.array([len(x) for x, _ in each], pa.int32()), "most": [int(n.max()) for _, n in each],
+                "gaps": pa.array([_packed(np.diff(x, prepend=0)) for x, _ in each], pa.binary()),
+                "counts": pa.array([_packed(n) for _, n in each], pa.binary())}
 
     rows = (map_texts(texts_of(docs).join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-                      run, "doc_id long, ids binary, counts binary", _CHUNK)
+                      run, "doc_id long, n int, most long, gaps binary, counts binary", _CHUNK)
             .join(sample, "doc_id").orderBy("doc_id").collect())
     if len({r["quality"] for r in rows}) < 2:
         return QualityModel(np.zeros(BUCKETS, np.float32), 0.0)
-    ids = [np.frombuffer(r["ids"], "<i4") for r in rows]
-    counts = [_widened(r["counts"], len(own)) for r, own in zip(rows, ids)]
+    ids, counts = _gathered(rows)
     labels = np.array([r["quality"] for r in rows])
     del rows
     return fit(ids, counts, labels)

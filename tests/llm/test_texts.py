@@ -248,6 +248,22 @@ def test_quality_fits_four_thousand_documents(spark, monkeypatch):
     assert all(len(a) == len(b) for a, b in zip(ids, counts))
 
 
+def test_quality_sends_a_byte_or_two_a_feature_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(60)] + ["again " * 300]
+    frame = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    gathered, seen = quality._gathered, []
+    monkeypatch.setattr(quality, "_gathered", lambda rows: seen.append(rows) or gathered(rows))
+    monkeypatch.setattr(quality, "fit", lambda ids, counts, labels: seen.append((ids, counts)))
+    quality.train(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    rows, (ids, counts) = seen
+    for r, own, n in zip(rows, ids, counts):
+        values, times = np.unique(quality.features([texts[r["doc_id"]]])[0], return_counts=True)
+        assert own.tolist() == values.tolist() and n.tolist() == times.tolist()
+    assert sum(len(r["gaps"]) + len(r["counts"]) for r in rows) < 2 * sum(map(len, ids))
+
+
 def test_quality_awkward(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, None), (3, 5)], "doc_id long, quality int")
     rows = quality.score(docs, quality.train(docs, labels)).collect()
