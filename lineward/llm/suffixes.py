@@ -173,6 +173,21 @@ def _judge(batches):
         yield from _verdicts(-1, rows["ord"][a:a + (1 << 20)], rows["at"][a:a + (1 << 20)], rows["key"][a:a + (1 << 20)], new[a:a + (1 << 20)])
 
 
+def _sorted(group: np.ndarray, follow: np.ndarray, n: int) -> np.ndarray:
+    """Order by group and then by what follows, a rank from -1 up to n; equal ones stay in order.
+
+    Both and the place are one number if they fit into 64 bits, as numbers sort faster than rows of them.
+    """
+    bits, places = (n + 1).bit_length(), len(group).bit_length()
+    groups = np.cumsum(np.append(False, group[1:] != group[:-1]))  # equal ones stand together, in ascending order
+    if len(group) == 0 or int(groups[-1]).bit_length() + bits + places > 64:
+        return np.lexsort((follow, group))
+    packed = (groups.astype(np.uint64) << np.uint64(bits + places)) | ((follow.astype(np.int64) + 1).astype(np.uint64) << np.uint64(places))
+    packed |= np.arange(len(group), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+
+
 def suffix_array(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffixes of strings that follow each other in order, equal ones by place.
 
@@ -180,18 +195,20 @@ def suffix_array(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
     rank of its own takes no further part. A suffix ends with its string; ``ends`` are the strings' ends.
     """
     n = len(b)
-    code = np.zeros(n + 8, np.uint64)
-    code[:n] = b
-    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)  # bytes to the end of the string
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key |= np.where(left > i, code[i:i + n], np.uint64(0)) << np.uint64(56 - 8 * i)
-    # A string's end sorts before any byte, a zero byte included.
-    order = np.lexsort((np.minimum(left, 8), key)) if (b == 0).any() else np.argsort(key, kind="stable")
+    small = np.int32 if n < 1 << 30 else np.int64
+    left = (np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)).astype(small)  # bytes to the end of the string
+    key = np.zeros(n + 8, np.uint64)
+    key[:n] = b
+    for width in (1, 2, 4):
+        key[:-width] = (key[:-width] << np.uint64(8 * width)) | key[width:]
     size = np.minimum(left, 8)
-    same = (key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1])
+    key = key[:n] & np.append(np.uint64(0), ~np.uint64(0) << np.arange(56, -8, -8, np.int64).astype(np.uint64))[size]
+    # A string's end sorts before any byte, a zero byte included.
+    order = (np.lexsort((size, key)) if (b == 0).any() else np.argsort(key, kind="stable")).astype(small)
+    key, size = key[order], size[order]
+    same = (key[1:] == key[:-1]) & (size[1:] == size[:-1])
     where = np.flatnonzero(np.append(True, ~same))  # first place of each group
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, small)
     rank[order] = np.repeat(where, np.diff(np.append(where, n)))
     rank[n] = -1
     reach = 8
@@ -201,7 +218,7 @@ def suffix_array(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
         some = order[open_]
         follow = np.where(left[some] > reach, rank[np.minimum(some + reach, n)], -1)
         group = rank[some]
-        sort = np.lexsort((follow, group))
+        sort = _sorted(group, follow, n)
         some, follow, group = some[sort], follow[sort], group[sort]
         order[open_] = some
         new = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
@@ -209,7 +226,7 @@ def suffix_array(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
         rank[some] = np.repeat(open_[first], np.diff(np.append(first, len(some))))
         alone = new & np.append(new[1:], True)
         open_, reach = open_[~alone], reach * 2
-    return order
+    return order.astype(np.int64)
 
 
 def common_prefixes(b: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -252,15 +269,21 @@ def repeats(snippets: list[bytes], places: np.ndarray, ords: np.ndarray, starts:
     ``salted``: whether the snippet's anchor has others elsewhere. Only strings that hold their snippet's anchor
     count. The last result is decided by all snippets that hold an equal string, whichever stands for them.
     """
-    ends = np.cumsum([len(s) for s in snippets])
+    sizes = np.array([len(s) for s in snippets])
+    ends = np.cumsum(sizes)
     b = np.frombuffer(b"".join(snippets), np.uint8)
     order = suffix_array(b, ends)
     common = common_prefixes(b, ends, order, LENGTH)
-    owner = np.searchsorted(ends, order, "right")
-    offset = order - (ends[owner] - np.array([len(s) for s in snippets])[owner])
-    fits = (ends[owner] - order >= LENGTH) & (offset <= places[owner]) & (offset + LENGTH >= places[owner] + ANCHOR)
-    group = np.cumsum(common < LENGTH)
-    group, owner, offset = group[fits], owner[fits], offset[fits]
+    # Offsets from which a string has LENGTH bytes and holds the anchor: from lo up to hi in each snippet.
+    lo, hi = np.maximum(0, places + ANCHOR - LENGTH), np.minimum(places, sizes - LENGTH)
+    change = np.zeros(len(b) + 1, np.int8)
+    some = hi >= lo
+    change[(ends - sizes + lo)[some]] += 1
+    change[(ends - sizes + hi + 1)[some]] -= 1
+    fits = np.cumsum(change[:-1], dtype=np.int8).astype(bool)[order]
+    group, order = np.cumsum(common < LENGTH)[fits], order[fits]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+    offset = order - (ends - sizes)[owner]
     ord_, start = ords[owner], starts[owner] + offset
     elsewhere = np.bincount(group, salted[owner])[group] > 0 if len(group) else np.zeros(0, bool)
     sort = np.lexsort((start, ord_, group))
@@ -313,15 +336,18 @@ def _sort_shards(parts: int):
         held: dict = {}
         size, last = 0, None
         for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["key"], row["salt"])
+            columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            keys, salts = (batch.column(name).to_numpy() for name in ("key", "salt"))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                now = (columns["key"][a], columns["salt"][a]) if b > a else last
                 if held and now != last and size >= _SHARD_BYTES:
                     yield shard(held)
                     held, size = {}, 0
                 last = now
-                for name, value in row.items():
-                    held.setdefault(name, []).append(value)
-                size += len(row["snippet"])
+                for name, values in columns.items():
+                    held.setdefault(name, []).extend(values[a:b])
+                size += sum(map(len, columns["snippet"][a:b]))
         if held:
             yield shard(held)
 

@@ -94,6 +94,19 @@ def test_only_named_texts_are_shuffled(spark):
     assert got == sorted([(i, f"w{i} " * 30, "x") for i in range(40)] + [(3, "other words of its own", "y"), (None, "w1 " * 30, "x")], key=str)
 
 
+def test_groups_and_ranks_are_sorted_as_one_number(monkeypatch):
+    rng = np.random.default_rng(6)
+    group = np.sort(rng.integers(0, 50, 4000))
+    follow = rng.integers(-1, 300, 4000)
+    expected = np.lexsort((follow, group))
+    assert (suffixes._sorted(group, follow, 1 << 60) == expected).all()  # too large for one number
+    monkeypatch.setattr(np, "lexsort", None)
+    assert (suffixes._sorted(group.astype(np.int32), follow.astype(np.int32), 4000) == expected).all()
+    words = [b"one two three four five six seven"] * 40
+    order = suffixes.suffix_array(np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words]))
+    assert sorted(order.tolist()) == list(range(len(b"".join(words))))
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(15):
