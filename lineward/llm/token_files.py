@@ -25,19 +25,31 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lineward.llm.common import shared_folder, texts_of
+from lineward.llm.common import chunks, in_batches, shared_folder, texts_of
 
 #: Words whose ids a worker keeps; the store is emptied when it is full.
 CACHED_WORDS = 600_000
 _LONGEST_CACHED = 64
+#: Characters of text whose words are held at once.
+_CHUNK = 1 << 18
 _MARK, _MARK_BYTE, _TOGETHER = "\x01", b"\x01", 2000
 #: Marks at which a word may be cut after a letter; the apostrophe opens suffixes.
 _PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
-_LETTERS_AND_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]*[a-zA-Z])([" + re.escape(_PUNCTUATION).encode() + rb"]+)")
+_LETTERS_AND_MARKS = re.compile(rb"^([a-zA-Z\x80-\xff]*[a-zA-Z])([" + re.escape(_PUNCTUATION).encode() + rb"]+)$", re.M)
+#: Small letters of which any run is one piece, as it stands; none of them combines with another.
+_SMALL = string.ascii_lowercase + "".join(c for c in map(chr, range(0xDF, 0x100)) if c != "\xf7")
+_SMALL_WORD = re.compile(f"[{_SMALL}]+")
+#: Characters by which byte-level vocabularies write bytes.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 #: Stands for a null document id in docs-p.bin.
 NULL_ID = -(1 << 63)
 
 
+def _byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 class WordEncoder:
     """Ids of whole texts, found word by word.
 
@@ -47,7 +59,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -61,30 +73,69 @@ class WordEncoder:
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = all(self._plain(f"ab{c}") == self._plain("ab") + self._plain(c) for c in _PUNCTUATION)
 
+        # The merges alone, for words that the tokenizer hands them unchanged: it finds no pieces in them by patterns.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.small = self._takes_small_words()
+        # Ids that end a word, as tokens of a vocabulary that has others inside words.
+        end, ids = getattr(self.merges.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(ids.values()) + 1, bool)
+        self.last[[i for t, i in ids.items() if end and t.endswith(end)]] = True
+
+    def _takes_small_words(self) -> bool:
+        """Whether words of small letters go to the merges as they are: normalised to themselves, one piece, byte by byte."""
+        t, all_pairs = self.tokenizer, "".join(a + b for a in _SMALL for b in _SMALL)
+        if t.pre_tokenizer is None or any(_SMALL_WORD.fullmatch(s.decode()) for s in self.special):
+            return False
+        return all(t.normalizer is None or t.normalizer.normalize_str(x) == x for x in (*_SMALL, all_pairs)) and all(
+            [p for p, _ in t.pre_tokenizer.pre_tokenize_str(x)] == [_byte_level(x)] for x in (*_SMALL, all_pairs)) and (
+            self.merges.encode(_byte_level(_MARK), add_special_tokens=False).ids == [self.mark])
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word; none of them holds the mark or white space that ends a word."""
-        lines = [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-        texts = [f" {_MARK} ".join(line) for line in lines]
+        if not self.small:
+            return self._marked(words, self.tokenizer, _MARK)
+        small = [_SMALL_WORD.fullmatch(w) is not None for w in words]
+        whole = iter(self._marked([w for w, s in zip(words, small) if not s], self.tokenizer, _MARK))
+        merged = iter(self._merged([w if w.isascii() else _byte_level(w) for w, s in zip(words, small) if s]))
+        return [next(merged) if s else next(whole) for s in small]
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The ids of words by the merges alone; where a word ends is seen by its last id, if ids tell."""
+        out = []
+        for at in range(0, len(words), _TOGETHER):
+            line = words[at:at + _TOGETHER]
+            (e,) = self.merges.encode_batch_fast([" ".join(line)], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            out += self._cut(ids, [0, *cuts.tolist()], 0) if len(cuts) == len(line) and cuts[-1] == len(ids) else \
+                self._marked(line, self.merges, _byte_level(_MARK))
+        return out
+
+    def _marked(self, words: list[str], tokenizer, mark: str) -> list[bytes]:
         out = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for at in range(0, len(words), _TOGETHER):
+            (e,) = tokenizer.encode_batch_fast([f" {mark} ".join(words[at:at + _TOGETHER])], add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
-            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            out += [raw[(a + 1) * size:b * size] for a, b in zip(cuts, cuts[1:])]
+            out += self._cut(ids, [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1)
         return out
 
+    def _cut(self, ids: np.ndarray, cuts: list[int], skip: int) -> list[bytes]:
+        """The ids between cuts, as they are written; ``skip`` of them stand at each cut and belong to no word."""
+        raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [raw[(a + skip) * size:b * size] for a, b in zip(cuts, cuts[1:])]
+
     def _folded(self, raw: bytes) -> bytes:
         """A text in lower case where the tokenizer makes no difference; its special tokens are found as they are written."""
         small = raw.lower() if self.lower else raw
         return raw if any(t in small for t in self.special) else small
 
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """A word as letters and the marks behind them, where the tokenizer cuts there too; many words share either."""
-        m = _LETTERS_AND_MARKS.fullmatch(word) if self.cut else None
-        return m.groups() if m else (word,)
+    def _parts(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Words that are letters and marks behind them, cut where the tokenizer cuts too; many words share either part."""
+        return {a + b: (a, b) for a, b in _LETTERS_AND_MARKS.findall(b"\n".join(words))} if self.cut else {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
@@ -92,17 +143,21 @@ class WordEncoder:
         known = self.known
         # ASCII white space only: other white space is left to the tokenizer, and so are other capitals.
         split = [self._folded(t.encode()).split() for t in texts]
-        new = set().union(*split).difference(known)
-        parts = {w: self._parts(w) for w in new}
-        needed = set().union(*parts.values()).difference(known)
-        plain = [w for w in needed if _MARK_BYTE not in w]
-        known.update(zip(plain, self._ids([w.decode() for w in plain])))
-        known.update((w, np.array(self._plain(w.decode()), self.dtype).tobytes()) for w in needed if _MARK_BYTE in w)
-        known.update((w, known[p[0]] + known[p[1]]) for w, p in parts.items() if len(p) > 1)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new | needed:
-            if len(word) > _LONGEST_CACHED:
-                del known[word]
+        words = set().union(*split)
+        # The words at hand in a small table of their own; most texts are put together from it alone.
+        here = dict(zip(words, map(known.get, words)))
+        new = {w for w, ids in here.items() if ids is None}
+        parts = self._parts(new)
+        needed = new.difference(parts).union(*parts.values()).difference(known)
+        marked = [w for w in needed if _MARK_BYTE in w]
+        plain = list(needed.difference(marked))
+        known.update(zip(plain, self._ids(b"\n".join(plain).decode().split("\n") if plain else [])))
+        known.update((w, np.array(self._plain(w.decode()), self.dtype).tobytes()) for w in marked)
+        known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
+        here.update((w, known[w]) for w in new)
+        out = [b"".join(map(here.__getitem__, own)) for own in split]
+        for word in [w for some in (new, needed.difference(new)) for w in some if len(w) > _LONGEST_CACHED]:
+            del known[word]
         return out
 
 
@@ -146,13 +201,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> l
         with store.open_output_stream(f"{own}.ids") as ids, store.open_output_stream(f"{own}.docs") as keys, \
                 store.open_output_stream(f"{own}.counts") as counts:
             for batch in batches:
-                found = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-                sizes = np.array([len(x) for x in found], "<i8") // encoder.dtype.itemsize
-                for x in found:
-                    ids.write(x)
+                texts = batch.column(1).to_pylist()
+                for a, b in chunks([len(t) for t in texts], _CHUNK):
+                    found = [x + end for x in encoder.encode(texts[a:b])]
+                    sizes = np.array([len(x) for x in found], "<i8") // encoder.dtype.itemsize
+                    ids.write(b"".join(found))
+                    counts.write(sizes.tobytes())
+                    n_docs, n_ids = n_docs + len(found), n_ids + int(sizes.sum())
                 keys.write(batch.column(0).fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
-                counts.write(sizes.tobytes())
-                n_docs, n_ids = n_docs + len(found), n_ids + int(sizes.sum())
         for kind in ("ids", "docs", "counts"):
             if n_docs:
                 store.move(f"{own}.{kind}", f"{path}/{kind}-{task.partitionId()}.bin")
@@ -162,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> l
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "docs": [n_docs], "ids": [n_ids]})
 
     placed = texts_of(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    totals = sorted(map(tuple, placed.mapInArrow(encode, "part long, docs long, ids long").collect()))
+    totals = sorted(map(tuple, in_batches(placed, encode, "part long, docs long, ids long").collect()))
     bases = [0, *accumulate(t[2] for t in totals)]
     table = [(*t, base) for t, base in zip(totals, bases)]
 

@@ -51,6 +51,20 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(raw, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_small_letters_go_to_the_merges_alone(monkeypatch):
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    encoder = token_files.WordEncoder(WORD_TOKENIZER)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüßéñÿ", k=rng.randint(1, 30))) for _ in range(3000)]
+    asked = []
+    monkeypatch.setattr(encoder, "tokenizer", type("Whole", (), {
+        "encode_batch_fast": lambda self, texts, **more: asked.extend(texts) or library.encode_batch_fast(texts, **more)})())
+    for text in (" ".join(words), " ".join(w + "." for w in words if w[-1].isascii())):
+        (raw,) = encoder.encode([text])
+        assert np.frombuffer(raw, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert "".join(asked) in ("", ".")
+
+
 def test_token_files(docs, no_docs):
     library = Tokenizer.from_file(WORD_TOKENIZER)
     rows = token_files.token_table(docs, WORD_TOKENIZER).collect()
