@@ -1,59 +1,124 @@
 """A skip index over Parquet files: which files can't hold a fuzzy match need not be read.
 
 A keyword matches only if each of its characters is followed by the next one within three places. The index holds
-for each file the set of such pairs that occur in it, letter case ignored, as bitmaps of hashed pairs. It is built by
-one aggregate that never gathers a file's text, stored beside the data, and consulted before the scan.
+for each file the set of such pairs that occur in it, letter case ignored, as bitmaps of hashed pairs. It is built in
+one pass over arrays of characters, a task keeps one bitmap at a time, stored beside the data, and consulted before the scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
+from functools import lru_cache, reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineward.functions import keywords as K
 from lineward.operators.keyword_scan import line_findings
 
-#: Bits of a file's set; a bitmap of Spark holds 32,768 of them.
+#: Bits of a file's set, a power of two; a bitmap of Spark holds 32,768 of them.
 BITS = 1 << 20
-_FOLDER = "_skip_index"
+_BUCKET = 1 << 15
+#: Characters whose pairs are looked at together.
+_CHUNK = 1 << 18
+#: Names the way pairs are hashed too: an index of another way is not found.
+_FOLDER = "_skip_index_2"
 
 
-def _folded(c: Column) -> Column:
+def _folded(c: str) -> str:
     """One character for the variants of a letter. Only makes sets smaller: both sides of every test go through it."""
-    return F.lower(F.upper(c))
-
-
-def _bit(pair: Column) -> Column:
-    return F.pmod(F.xxhash64(pair), F.lit(BITS))
-
-
-def _pairs(line: Column) -> Column:
-    """Pairs of folded characters at most MAX_GAP others apart, and single characters, of a line; distinct."""
-    chars = F.transform(F.split(line, ""), _folded)
-    n = F.size(chars)
-    near = [
-        F.zip_with(F.slice(chars, F.lit(1), F.greatest(n - d, F.lit(0))), F.slice(chars, F.lit(1 + d), F.greatest(n - d, F.lit(0))), lambda a, b: F.concat(a, b))
-        for d in range(1, K.MAX_GAP + 2)]
-    return F.array_distinct(F.concat(chars, *near))
+    return c.upper().lower()
+
+
+@lru_cache(maxsize=1)
+def _hashes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every code point, folded: as the first of a pair, as the second, and alone."""
+    code = np.arange(0x110000, dtype=np.uint64)
+    for i in range(0x20000):  # no letter behind has case
+        if not 0xD800 <= i < 0xE000 and (f := _folded(chr(i))) != chr(i):
+            code[i] = ord(f) if len(f) == 1 else 0x200000 + zlib.crc32(f.encode())
+
+    def mixed(seed: int) -> np.ndarray:
+        x = code + np.uint64(seed)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+
+    return mixed(0x9E3779B97F4A7C15), mixed(0x3C6EF372FE94F82A), mixed(0xDAA66D2C7DDF743F)
+
+
+def _places(hashed: np.ndarray) -> np.ndarray:
+    return hashed >> np.uint32(33 - BITS.bit_length())
+
+
+def _bit(a: str, b: str) -> int:
+    """Place of a pair of characters, or of a single one if ``b`` is empty."""
+    first, second, alone = _hashes()
+    hashed = first[[ord(a)]] + second[[ord(b)]] if b else alone[[ord(a)]]
+    return int(_places(hashed)[0])
+
+
+def _mark(seen: np.ndarray, texts: list[str]) -> None:
+    """Set the flags of the characters of the texts and of their pairs at most MAX_GAP others apart."""
+    first, second, alone = _hashes()
+    # Line feeds keep lines too far apart for pairs.
+    apart = "\n" * (K.MAX_GAP + 1)
+    whole = apart.join(texts).replace("\n", apart)
+    for at in range(0, len(whole), _CHUNK):
+        points = np.frombuffer(whole[at:at + _CHUNK + K.MAX_GAP + 1].encode("utf-32-le"), "<u4")
+        seen[_places(alone[np.flatnonzero(np.bincount(points))])] = True
+        a, b = first[points], second[points]
+        for d in range(1, K.MAX_GAP + 2):
+            seen[_places(a[:-d] + b[d:])] = True
+
+
+def _bitmaps(batches):
+    """Rows of (file, size, changed, text) to (file, size, changed, bucket, bits): the bitmaps that hold anything, one at least."""
+    key, seen = None, np.zeros(BITS, bool)
+
+    def rows():
+        bits = np.packbits(seen, bitorder="little").reshape(-1, _BUCKET // 8)
+        some = np.flatnonzero(bits.any(axis=1))
+        some = some if len(some) else np.zeros(1, np.int64)
+        columns = [*(pa.repeat(k, len(some)) for k in key), pa.array(some, pa.int64()), pa.array([bits[i].tobytes() for i in some], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["file", "size", "changed", "bucket", "bits"])
+
+    for batch in batches:
+        number = batch.column(0).dictionary_encode().indices.to_numpy()
+        new = np.flatnonzero(np.append(True, number[1:] != number[:-1])[:len(number)]).tolist()
+        for low, high in zip(new, [*new[1:], len(number)]):
+            own = [batch.column(i)[low] for i in range(3)]
+            if own != key:
+                if key is not None:
+                    yield rows()
+                key = own
+                seen[:] = False
+            held, size = [], 0
+            for t in batch.column(3)[low:high]:
+                held.append((t.as_py() or b"").decode("utf-8", "replace"))
+                size += len(held[-1])
+                if size > _CHUNK:
+                    _mark(seen, held)
+                    held, size = [], 0
+            _mark(seen, held)
+    if key is not None:
+        yield rows()
 
 
 def build_index(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     """Index the Parquet files below ``path`` and store the index there; returns it.
 
-    A row for each file and bitmap: file, size and time of change, bucket, bits. Rows are reduced line by line, then by
-    task to the different bits of a file, by hash: an aggregate of bitmaps sorts its input, and so gets these alone.
+    A row for each file and bitmap: file, size and time of change, bucket, bits. A task hands on the bitmaps of a file's
+    part that it has read, and these are united.
     """
     rows = spark.read.parquet(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("changed"), F.col(text).alias("_text"))
-    lines = rows.select("file", "size", "changed", F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("_line"))
-    bits = lines.select("file", "size", "changed", F.explode(_pairs(F.col("_line"))).alias("_pair")).select(
-        "file", "size", "changed", _bit(F.col("_pair")).alias("_bit")).distinct()
-    index = bits.groupBy("file", "size", "changed", F.bitmap_bucket_number("_bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("bits"))
+        F.col("_metadata.file_modification_time").alias("changed"), F.col(text).cast("string").cast("binary").alias("_text"))
+    parts = rows.mapInArrow(_bitmaps, "file string, size bigint, changed timestamp, bucket bigint, bits binary")
+    index = parts.groupBy("file", "size", "changed", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
     index.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_FOLDER}")
     return spark.read.parquet(f"{path.rstrip('/')}/{_FOLDER}")
 
@@ -72,9 +137,9 @@ def possible_files(index: DataFrame, keywords: list[str]) -> DataFrame:
     if not wanted:
         return index.select(columns).where(F.lit(False))
     # A row for each different pair of the keywords.
-    pairs = index.sparkSession.createDataFrame([(i, a, b) for (a, b), i in wanted.items()], "id int, a string, b string")
-    bit = _bit(F.concat(_folded(F.col("a")), _folded(F.col("b"))))
-    place = pairs.select("id", F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
+    bits = [_bit(a, b) for a, b in wanted]
+    place = index.sparkSession.createDataFrame(pa.table({
+        "id": pa.array(wanted.values(), pa.int32()), "bucket": pa.array([b // _BUCKET for b in bits], pa.int64()), "at": pa.array([b % _BUCKET for b in bits], pa.int64())}))
     byte = F.conv(F.hex(F.substr("bits", F.expr("cast(at div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
     there = index.join(F.broadcast(place), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0)
     have = there.groupBy(columns).agg(F.collect_set("id").alias("have"))

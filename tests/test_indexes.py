@@ -82,3 +82,39 @@ def test_bits_of_a_file_are_distinct_before_bitmaps(spark, scratch):
     index = I.build_index(spark, scratch + "/in")
     assert index.select("file").distinct().count() == 1
     assert I.possible_files(index, ["ab"]).count() == 1 and I.possible_files(index, ["xy"]).count() == 0
+
+
+def test_tasks_hand_on_bitmaps_and_not_pairs(spark, scratch, monkeypatch):
+    """The flags of a file are those of the pairs of its lines, whatever pieces it is looked at in, and no row is made for a pair."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "_CHUNK", 7)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abÄßİ秘密😀 \n", k=n)) for n in (0, 1, 2, 3, 40, 200)] + [None]
+    of = ["x", "x", "x", "x", "x", "y", "z"]
+    batches = [pa.table({"file": of[a:b], "size": [1] * (b - a), "changed": [0] * (b - a), "_text": pa.array([t and t.encode() for t in texts[a:b]], pa.binary())}
+                        ).to_batches()[0] for a, b in ((0, 3), (3, 7))]
+    rows = [r for out in K._bitmaps(iter(batches)) for r in out.to_pylist()]
+    for name in "xyz":
+        lines = [line for f, t in zip(of, texts) if f == name for line in (t or "").split("\n")]
+        wanted = {K._bit(c, "") for line in lines for c in line}
+        wanted |= {K._bit(a, line[i + d]) for line in lines for i, a in enumerate(line) for d in (1, 2, 3) if i + d < len(line)}
+        got = {32768 * r["bucket"] + 8 * i + k for r in rows if r["file"] == name for i, x in enumerate(r["bits"]) for k in range(8) if x >> k & 1}
+        assert wanted <= got and len(got - wanted) <= 50 and all(len(r["bits"]) == 4096 for r in rows)  # besides, pairs of which one is a line feed
+        assert sum(r["file"] == name for r in rows) <= max(1, len(got))
+    docs = spark.createDataFrame([(i, "秘密 ab") for i in range(50)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(scratch + "/in")
+    made = []
+    frame = type(docs)
+    monkeypatch.setattr(frame, "groupBy", lambda self, *a, f=frame.groupBy: made.append(self) or f(self, *a))
+    K.build_index(spark, scratch + "/in")
+    monkeypatch.undo()
+    assert [m.count() for m in made] and all(m.count() <= K.BITS // 32768 for m in made)
+
+
+def test_invalid_bytes_are_indexed(spark, scratch):
+    """Bytes that are no text count as a replacement character, and those around them are found."""
+    docs = spark.sql("SELECT 1L AS id, cast(concat(encode('to', 'utf-8'), X'ff', encode('ken', 'utf-8')) AS string) AS text")
+    docs.write.parquet(scratch + "/in")
+    K.build_index(spark, scratch + "/in")
+    assert [r["id"] for r in K.pruned_read(spark, scratch + "/in", ["token"]).select("id").collect()] == [1]
