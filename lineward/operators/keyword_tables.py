@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineward.functions import keywords as K
-from lineward.session import ensure_checkpoint_dir
 
-#: Nodes of a trie at most, about twenty bytes each: what is sent to a task at a time.
-PART_ENTRIES = 1 << 24
+#: Nodes of a trie at most, sixteen to twenty bytes each in a task and half of that on the way there.
+PART_ENTRIES = 1 << 23
+#: Characters of keywords for each of these, of which one task builds a trie.
+_PART_CHARS = 3
 #: Characters that are matched together.
 _CHUNK = 1 << 18
+#: Characters that are held while one trie after the other goes over them.
+_HELD = 1 << 22
 #: Places between those where walks along a chunk begin.
 _STRIDE = 32
 _NO_WORD = np.iinfo(np.int32).max
@@ -53,27 +56,43 @@ class Trie:
         self.orders, place = np.unique(np.array(orders, np.int64), return_inverse=True)
         sizes = np.array([len(k) for k in keywords], np.int64)
         begins = np.cumsum(sizes) - sizes
-        number = self._codes[np.frombuffer("".join(keywords).encode("utf-32-le"), "<u4")].astype(np.int64)
+        number = self._codes[np.frombuffer("".join(keywords).encode("utf-32-le"), "<u4")]
         self.__dict__.pop("_codes")
-        at, count, keys, ends = np.zeros(len(sizes), np.int64), 1, [], []
+        at, count, keys = np.zeros(len(sizes), np.int64), 1, []
         for depth in range(int(sizes.max(initial=0))):  # the nodes of a depth in the order of their parents and classes
             longer = np.flatnonzero(sizes > depth)
             key, child = np.unique(at[longer] * self.width + number[begins[longer] + depth], return_inverse=True)
             at[longer] = count + child
             keys.append(key)
             count += len(key)
-            ends.append(count)
         key = np.concatenate([np.zeros(0, np.int64), *keys])
         self.words = np.full(count, _NO_WORD, np.int32)
         np.minimum.at(self.words, at[sizes > 0], place[sizes > 0].astype(np.int32))
-        parent, of = key // self.width, key % self.width
-        self.least = self.words.copy()  # the first in order among a node and all below it
-        for low, high in zip([1, *ends][-2::-1], ends[::-1]):
-            np.minimum.at(self.least, parent[low - 1:high - 1], self.least[low:high])
-        self.bits = np.zeros(count, np.uint64)
-        np.bitwise_or.at(self.bits, parent, np.uint64(1) << (of & 63).astype(np.uint64))
-        self.first = (np.searchsorted(parent, np.arange(count)) + 1).astype(np.int32)
+        self.bits = np.zeros(count, np.uint32 if self.width <= 32 else np.uint64)
+        one = self.bits.dtype.type(1)
+        np.bitwise_or.at(self.bits, key // self.width, one << (key % self.width & 63).astype(self.bits.dtype))
         self.key = key if self.width > 64 else None
+        self._complete()
+
+    def _complete(self) -> None:
+        """What follows from the other arrays: first children, and the first in order among a node and all below it."""
+        count = len(self.words)
+        children = np.bitwise_count(self.bits).astype(np.int32) if self.key is None else np.bincount(self.key // self.width, minlength=count).astype(np.int32)
+        self.first = np.cumsum(children, dtype=np.int32) - children + np.int32(1)
+        self.least = self.words.copy()
+        ends = [0, 1]  # of the depths: the children of the first node behind a depth begin where the next depth ends
+        while ends[-1] < count:
+            ends.append(int(self.first[ends[-1]]))
+        for low, mid, high in zip(ends[-3::-1], ends[-2::-1], ends[::-1]):
+            own = low + np.flatnonzero(children[low:mid])
+            self.least[own] = np.minimum(self.least[own], np.minimum.reduceat(self.least[mid:high], self.first[own] - mid))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "least", "_codes")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._complete()
 
     @cached_property
     def _codes(self) -> np.ndarray:
@@ -85,10 +104,11 @@ class Trie:
 
     def _children(self, node: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the nodes have a child of the class, and the children."""
-        own, bit = self.bits[node], (number & 63).astype(np.uint64)
-        some = np.flatnonzero(((own >> bit) & np.uint64(1)).astype(bool) & (number > 0))
+        own = self.bits[node]
+        bit, one = (number & 63).astype(own.dtype), own.dtype.type(1)
+        some = np.flatnonzero(((own >> bit) & one).astype(bool) & (number > 0))
         if self.key is None:
-            before = own[some] & ((np.uint64(1) << bit[some]) - np.uint64(1))
+            before = own[some] & ((one << bit[some]) - one)
             return some, self.first[node[some]] + np.bitwise_count(before).astype(np.int32)
         wanted = node[some].astype(np.int64) * self.width + number[some]
         at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
@@ -197,12 +217,28 @@ def keyword_table(df: DataFrame, keyword: str = "keyword", order: str = "ord") -
     return rows.where("keyword <> ''").groupBy("keyword").agg(F.min("ord").alias("ord"))
 
 
+def _size(table: DataFrame) -> tuple[int, int]:
+    """Characters of the keywords, and how many different beginnings they have (some more, where tasks share one)."""
+
+    def run(batches):
+        chars, nodes, last = 0, 0, ""
+        for batch in batches:
+            for keyword in batch.column(0).to_pylist():
+                chars += len(keyword)
+                nodes += len(keyword) - next((i for i, (a, b) in enumerate(zip(keyword, last)) if a != b), min(len(keyword), len(last)))
+                last = keyword
+        yield pa.RecordBatch.from_arrays([pa.array([chars]), pa.array([nodes])], ["chars", "nodes"])
+
+    sizes = table.select("keyword").repartitionByRange("keyword").sortWithinPartitions("keyword").mapInArrow(run, "chars long, nodes long")
+    return tuple(n or 0 for n in sizes.agg(F.sum("chars"), F.sum("nodes")).first())
+
+
 def _tries(table: DataFrame) -> list:
     """Broadcast tries; each is built by one task, from keywords of a bounded number of characters."""
-    chars = table.agg(F.sum(F.char_length("keyword"))).first()[0]
+    chars, nodes = _size(table)
     if not chars:
         return []
-    parts = -(-(chars + 1) // PART_ENTRIES)
+    parts = max(-(-(nodes + 1) // PART_ENTRIES), -(-chars // (_PART_CHARS * PART_ENTRIES)))
     # Neighbours in the alphabet share their beginnings, so they share a trie.
     dealt = (table.repartitionByRange(parts, "keyword") if parts > 1 else table.coalesce(1)).withColumn("_part", F.spark_partition_id())
 
@@ -212,7 +248,17 @@ def _tries(table: DataFrame) -> list:
 
     built = dealt.groupBy("_part").applyInPandas(build, "trie binary")
     context = table.sparkSession.sparkContext
-    return [context.broadcast(pickle.loads(bytes(r["trie"]))) for r in built.toLocalIterator()]
+    tries = []
+    for r in built.toLocalIterator():
+        tries.append(context.broadcast(pickle.loads(bytes(r["trie"]))))
+        _let_go(tries[-1])
+    return tries
+
+
+def _let_go(trie) -> None:
+    """Forget a broadcast trie here; it is read from its file again where it is next asked for."""
+    if getattr(trie, "_path", None) is not None:
+        vars(trie).pop("_value", None)
 
 
 def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,10 +284,6 @@ def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, closed, starts
 
 
-_CANDIDATES = "array<struct<start:bigint,ord:bigint,stop:bigint>>"
-_CANDIDATE_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("ord", pa.int64()), ("stop", pa.int64())]))
-
-
 def _chunked(batch, texts: pa.Array):
     """(rows, texts) of a batch, about _CHUNK characters at a time; a null text as empty."""
     size, some, held = 0, [], []
@@ -257,7 +299,55 @@ def _chunked(batch, texts: pa.Array):
         yield some, held
 
 
-def _by_line(batch, others, rows, texts, starts, start, word, stop, kind):
+def _united(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, order, end) of the matches, left to right, from the candidates of several tries."""
+    start, word, end = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((word, start))
+    order = order[np.append(True, start[order][1:] != start[order][:-1])[:len(order)]]  # of each start the first in order
+    taken = order[leftmost(start[order].tolist(), end[order].tolist())]
+    return start[taken], word[taken], end[taken]
+
+
+def _matched(batches, column: int, tries: list):
+    """(batch, rows, texts, starts of lines, start, order, end) of the chunks of the batches, the last three of their matches.
+
+    One trie goes over chunk by chunk. Of several a task has one in memory at a time: each goes over all chunks that are
+    held, and what they find at a place meets there, so nothing but matches leaves the task.
+    """
+    if len(tries) == 1:
+        for batch in batches:
+            for rows, texts in _chunked(batch, batch.column(column)):
+                points, closed, starts = _lines(texts)
+                yield (batch, rows, texts, starts, *tries[0].value.matches(points, closed))
+        return
+
+    def through(held):
+        found = [[] for _ in held]
+        for trie in tries:
+            for each, (*_, points, closed) in zip(found, held):
+                each.append(trie.value.candidates(points, closed))
+            _let_go(trie)
+        for each, (batch, rows, texts, starts, _, _) in zip(found, held):
+            yield (batch, rows, texts, starts, *_united(each))
+
+    held, size = [], 0
+    for batch in batches:
+        for rows, texts in _chunked(batch, batch.column(column)):
+            points, closed, starts = _lines(texts)
+            held.append((batch, rows, texts, starts, points, closed))
+            size += len(points)
+            if size >= _HELD:
+                yield from through(held)
+                held, size = [], 0
+    if held:
+        yield from through(held)
+
+
+_MATCHES = "array<struct<ord:bigint,surface:string>>"
+_MATCH_TYPE = pa.list_(pa.struct([("ord", pa.int64()), ("surface", pa.string())]))
+
+
+def _by_line(batch, others, rows, texts, starts, start, word, stop):
     """A row for each line that holds one of the matches: the other columns, line_no, the trimmed line, and its matches."""
     own = np.searchsorted(starts, start, "right") - 1  # line among all lines
     firsts = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
@@ -271,105 +361,50 @@ def _by_line(batch, others, rows, texts, starts, start, word, stop, kind):
         raw = whole[k][line - int(firsts[k])]
         shown.append(raw.strip(K.WHITESPACE))
         bases.append(int(starts[line]) + len(raw) - len(raw.lstrip(K.WHITESPACE)))
-    base = np.repeat(np.array(bases, np.int64), np.diff(np.append(cuts, len(own))))
-    offsets = pa.array(np.append(cuts, len(own)), pa.int32())
-    if kind == _MATCH_TYPE:
-        line_of = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(own)))).tolist()
-        surfaces = [shown[i][a:b] for i, a, b in zip(line_of, (start - base).tolist(), (stop - base).tolist())]
-        fields = [pa.array(word, pa.int64()), pa.array(surfaces, pa.string())]
-    else:
-        fields = [pa.array(x, pa.int64()) for x in (start - base, word, stop - base)]
-    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+    sizes = np.diff(np.append(cuts, len(own)))
+    base = np.repeat(np.array(bases, np.int64), sizes)
+    line_of = np.repeat(np.arange(len(cuts)), sizes).tolist()
+    surfaces = [shown[i][a:b] for i, a, b in zip(line_of, (start - base).tolist(), (stop - base).tolist())]
+    fields = [pa.array(word, pa.int64()), pa.array(surfaces, pa.string())]
+    found = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(own)), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_MATCH_TYPE.value_type)))
     taken = batch.select(others).take(pa.array([rows[k] for k in of.tolist()]))
     return [*taken.columns, pa.array(lines - firsts[of] + 1, pa.int32()), pa.array(shown, pa.string()), found]
 
 
-_MATCHES = "array<struct<ord:bigint,surface:string>>"
-_MATCH_TYPE = pa.list_(pa.struct([("ord", pa.int64()), ("surface", pa.string())]))
-
-
-def _lines_with(df: DataFrame, trie, text: str, every: bool) -> DataFrame:
-    """Lines with a match: the other columns, line_no, the trimmed line and ``matches``; with ``every`` in place of these
-    the ``candidates`` of all starts by their places in the line."""
-    others = [c for c in df.columns if c != text]
-    kinds = dict(df.dtypes)
-    last, kind, shown = ("candidates", _CANDIDATE_TYPE, _CANDIDATES) if every else ("matches", _MATCH_TYPE, _MATCHES)
-
-    def run(batches):
-        for batch in batches:
-            for rows, texts in _chunked(batch, batch.column(len(others))):
-                points, closed, starts = _lines(texts)
-                start, word, stop = (trie.value.candidates if every else trie.value.matches)(points, closed)
-                if len(start):
-                    yield pa.RecordBatch.from_arrays(_by_line(batch, others, rows, texts, starts, start, word, stop, kind), [*others, "line_no", "line", last])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "line_no int", "line string", f"{last} {shown}"])
-    return df.select(*others, text).mapInArrow(run, schema)
-
-
-def _counted(df: DataFrame, trie, id_col: str, text: str) -> DataFrame:
+def _counted(df: DataFrame, tries: list, id_col: str, text: str) -> DataFrame:
     """(id, ord, n): how often a keyword matches in a row, without its lines."""
 
     def run(batches):
-        for batch in batches:
-            for rows, texts in _chunked(batch, batch.column(1)):
-                points, closed, starts = _lines(texts)
-                start, word, _ = trie.value.matches(points, closed)
-                if not len(start):
-                    continue
-                begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-                of = np.searchsorted(begins, start, "right") - 1
-                words, number = np.unique(word, return_inverse=True)
-                pairs, n = np.unique(of * len(words) + number, return_counts=True)
-                ids = batch.column(0).take(pa.array(np.array(rows)[pairs // len(words)]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(words[pairs % len(words)]), pa.array(n.astype(np.int64))], [id_col, "ord", "n"])
+        for batch, rows, texts, _, start, word, _ in _matched(batches, 1, tries):
+            if not len(start):
+                continue
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+            of = np.searchsorted(begins, start, "right") - 1
+            words, number = np.unique(word, return_inverse=True)
+            pairs, n = np.unique(of * len(words) + number, return_counts=True)
+            ids = batch.column(0).take(pa.array(np.array(rows)[pairs // len(words)]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words[pairs % len(words)]), pa.array(n.astype(np.int64))], [id_col, "ord", "n"])
 
     return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ord long, n long")
 
 
-def _taken(df: DataFrame) -> DataFrame:
-    """``matches`` in place of candidates: of each start the first in order, none inside another, left to right."""
-    kinds = dict(df.dtypes)
-    others = [c for c in df.columns if c != "candidates"]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for line, places in zip(batch.column(others.index("line")).to_pylist(), batch.column(len(others)).to_pylist()):
-                places.sort(key=lambda p: (p["start"], p["ord"]))
-                kept = leftmost([p["start"] for p in places], [p["stop"] for p in places])
-                out.append([{"ord": places[i]["ord"], "surface": line[places[i]["start"]:places[i]["stop"]]} for i in kept])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(others).columns, pa.array(out, pa.list_(pa.struct([("ord", pa.int64()), ("surface", pa.string())])))],
-                [*others, "matches"])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "matches array<struct<ord:bigint,surface:string>>"])
-    return df.select(*others, "candidates").mapInArrow(run, schema)
-
-
 def matching_lines(df: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     """Lines with a match, as ``line_no``, ``line`` and the array ``matches`` of (ord, surface), left to right.
 
-    ``table`` comes from ``keyword_table``. One pass over the texts, without a shuffle, while the trie is within
-    PART_ENTRIES; more keywords take a pass for each part, whose candidates then meet line by line.
+    ``table`` comes from ``keyword_table``. One pass over the texts, without a shuffle: a trie is within PART_ENTRIES, and of
+    more keywords one trie after the other goes over the texts that a task holds.
     """
-    return _matching_lines(df, _tries(table), text)
+    others, kinds, tries = [c for c in df.columns if c != text], dict(df.dtypes), _tries(table)
+    if not tries:
+        return df.where(F.lit(False)).drop(text).withColumns({"line_no": F.lit(0), "line": F.lit(""), "matches": F.lit(None).cast(_MATCHES)})
 
+    def run(batches):
+        for batch, rows, texts, starts, start, word, stop in _matched(batches, len(others), tries):
+            if len(start):
+                yield pa.RecordBatch.from_arrays(_by_line(batch, others, rows, texts, starts, start, word, stop), [*others, "line_no", "line", "matches"])
 
-def _matching_lines(df: DataFrame, tries: list, text: str) -> DataFrame:
-    if not tries:
-        return df.where(F.lit(False)).drop(text).withColumns(
-            {"line_no": F.lit(0), "line": F.lit(""), "matches": F.lit(None).cast("array<struct<ord:bigint,surface:string>>")})
-    if len(tries) == 1:
-        return _lines_with(df, tries[0], text, every=False)
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    found = [_lines_with(rows.select("_row", text), t, text, every=True) for t in tries]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    met = every.groupBy("_row", "line_no").agg(F.first("line").alias("line"), F.flatten(F.collect_list("candidates")).alias("candidates"))
-    return rows.drop(text).join(_taken(met), "_row").drop("_row")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "line_no int", "line string", f"matches {_MATCHES}"])
+    return df.select(*others, text).mapInArrow(run, schema)
 
 
 def line_findings(df: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
@@ -384,10 +419,7 @@ def line_findings(df: DataFrame, table: DataFrame, text: str = "text") -> DataFr
 def keyword_counts(df: DataFrame, id_col: str, table: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences and distinct documents of every keyword of the table, zero for those that aren't found."""
     tries, rows = _tries(table), df.select(id_col, text)
-    if len(tries) == 1:
-        each = _counted(rows, tries[0], id_col, text)
-    else:
-        each = _matching_lines(rows, tries, text).select(id_col, F.explode(F.col("matches")["ord"]).alias("ord"), F.lit(1).alias("n"))
+    each = _counted(rows, tries, id_col, text) if tries else rows.where(F.lit(False)).select(id_col, F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("n"))
     per_doc = each.groupBy("ord", id_col).agg(F.sum("n").alias("n"))
     counts = per_doc.groupBy("ord").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
     zero = F.lit(0).cast("long")

@@ -104,3 +104,80 @@ def test_one_trie_for_many_keywords(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "xx abaa"), (2, "none")], "id long, text string")
     plan = T.matching_lines(frame, table)._jdf.queryExecution().toString()
     assert len(T._tries(table)) == 1 and "Exchange" not in plan
+
+
+def test_many_tries_take_one_pass(spark, monkeypatch):
+    """Texts and what single tries find in them are not shuffled and not checkpointed, however many tries there are."""
+    monkeypatch.setattr(T, "PART_ENTRIES", 40)
+    words = ["".join(chr(97 + (i // 26 ** j) % 26) for j in range(4)) for i in range(300)]
+    table = T.keyword_table(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, ord int"))
+    frame = spark.createDataFrame([(1, "xx abaa"), (2, "none")], "id long, text string")
+    assert len(T._tries(table)) > 3
+    plan = T.matching_lines(frame, table)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_tries_are_in_memory_one_at_a_time(monkeypatch):
+    """Each of several tries goes over the chunks that are held; together they find what one trie finds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "_CHUNK", 50)
+    monkeypatch.setattr(T, "_HELD", 200)
+    held = []
+
+    class Sent:
+        _path = "file"
+
+        def __init__(self, trie):
+            self.trie = trie
+
+        @property
+        def value(self):
+            if "_value" not in vars(self):
+                held.append(sum("_value" in vars(t) for t in sent))
+                self._value = self.trie
+            return self._value
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcd", k=rng.randint(2, 5))) for _ in range(80)})
+    orders = rng.sample(range(1000), len(words))
+    sent = [Sent(T.Trie(words[i::4], orders[i::4])) for i in range(4)]
+    texts = ["".join(rng.choices("abcdxy \n", k=rng.randint(0, 90))) for _ in range(40)]
+    batches = pa.table({"id": list(range(40)), "text": texts}).to_batches(max_chunksize=7)
+
+    def found(tries):
+        return [(batch.column(0)[rows[0]].as_py(), *(x.tolist() for x in found)) for batch, rows, _, _, *found in T._matched(batches, 1, tries)]
+
+    several = found(sent)
+    assert several == found([Sent(T.Trie(words, orders))]) and sum(len(x[1]) for x in several) > 100
+    assert len(held) > 8 and not any(held) and not any("_value" in vars(t) for t in sent)
+
+
+@pytest.mark.parametrize("letters", ["abc", "".join(map(chr, range(97, 123))) + "0123456789абвгд", "".join(map(chr, range(0x4e00, 0x4e00 + 150)))])
+def test_what_is_sent_is_completed(letters):
+    """A trie is sent without what follows from the rest: few, more than 32 and more than 64 classes."""
+    import pickle
+
+    rng = random.Random(1)
+    words = list({"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(700)})
+    trie = T.Trie(words, list(range(len(words))))
+    sent = pickle.dumps(trie)
+    back = pickle.loads(sent)
+    assert len(trie.words) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)}) and b"least" not in sent
+    for name in ("first", "least", "words", "bits"):
+        assert (getattr(trie, name) == getattr(back, name)).all()
+
+    def least(word):
+        return min([i for i, w in enumerate(words) if w.startswith(word)])
+
+    at = {"": 0}
+    for word in sorted({w[:i] for w in words for i in range(1, len(w) + 1)}, key=len)[:60]:
+        at[word] = int(trie._children(np.array([at[word[:-1]]], np.int32), trie._codes[np.array([ord(word[-1])])].astype(np.int32))[1][0])
+        assert trie.least[at[word]] == least(word)
+
+
+def test_beginnings_are_counted(spark):
+    """The parts follow from the nodes: beginnings that keywords share count once."""
+    words = ["秘密", "秘", "abc", "abd", "abd😀", "b"]
+    table = T.keyword_table(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, ord int"))
+    assert T._size(table.coalesce(1)) == (14, 8) or T._size(table)[0] == 14 and 8 <= T._size(table)[1] <= 14
